@@ -137,7 +137,7 @@ class Vocabulary:
         at = np.flatnonzero(rank >= 0)
         at = at[np.argsort(rank[at], kind="stable")]
         active, cut = np.unique(rank[at], return_index=True)
-        index = {int(r): [p] for r, p in zip(active, np.split(at, cut[1:]), strict=True)}
+        index = {int(r): [p] for r, p in zip(active, np.split(at, cut[1:]), strict=len(at) > 0)}
         heap = [int(r) for r in active]
         while heap:
             r = heapq.heappop(heap)
