@@ -345,10 +345,19 @@ def learn(documents: DataFrame, labels: DataFrame, max_texts: int = 2000) -> Mod
     if not ids:
         return Model()
     spark = documents.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))  # at most 2 * max_texts ids
+    wanted = F.broadcast(spark.createDataFrame(sorted(ids.items()), "doc_id long, toxic int"))  # at most 2 * max_texts rows
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    rows = sorted({(r["doc_id"], r["text"]) for r in docs.join(wanted, "doc_id").collect()})
-    return fit([t for _, t in rows], [ids[i] for i, _ in rows])
+    sample = docs.join(wanted, "doc_id").select("doc_id", "text", "toxic").repartition(1)
+    r = sample.mapInArrow(_fit, "landmarks array<binary>, beta array<double>, bias double, slope double, shift double").first()
+    return Model([bytes(x) for x in r["landmarks"]], np.array(r["beta"]), r["bias"], r["slope"], r["shift"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fit on the bounded sample in one task, so that the driver holds neither texts nor features."""
+    rows = sorted({row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)})
+    model = fit([t for _, t, _ in rows], [y for *_, y in rows])
+    names = ["landmarks", "beta", "bias", "slope", "shift"]
+    yield pa.RecordBatch.from_arrays([pa.array([model.landmarks], pa.list_(pa.binary())), pa.array([np.asarray(model.beta, float).tolist()], pa.list_(pa.float64())), *(pa.array([float(x)]) for x in (model.bias, model.slope, model.shift))], names)
 
 
 def _score(model: Model):
