@@ -227,5 +227,6 @@ def matches(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
 def clean(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
     """The rows of `documents` of whose ids no text matches an item; null ids always stay."""
-    found = matches(documents, benchmark, similarity, recall).select(F.col("doc_id").alias("leaked_id")).filter("leaked_id is not null").distinct()
-    return documents.join(found, F.col("doc_id").cast("long") == F.col("leaked_id"), "left_anti")
+    found = matches(documents, benchmark, similarity, recall).select("doc_id").distinct()
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    return rows.join(found, "doc_id", "left_anti").select("row.*")

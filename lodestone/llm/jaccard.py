@@ -246,8 +246,8 @@ def keep_one(documents: DataFrame, threshold: str = "0.8") -> DataFrame:
     """The rows of `documents` whose doc_id is the least of their group; of rows that repeat an id, one
     stays. Rows with a null id all stay."""
     named = documents.filter("doc_id is not null")
-    kept = join(named, threshold).filter("doc_id = group_id").groupBy("doc_id").agg(F.count("*").alias("copies")).withColumnRenamed("doc_id", "kept_id")
-    both = named.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"))
-    once = both.filter("copies = 1").select(*documents.columns)
-    again = both.filter("copies > 1").dropDuplicates(["kept_id"]).select(*documents.columns)
+    kept = join(named, threshold).filter("doc_id = group_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    both = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row")).join(kept, "doc_id")
+    once = both.filter("copies = 1").select("row.*")
+    again = both.filter("copies > 1").dropDuplicates(["doc_id"]).select("row.*")
     return once.unionByName(again).unionByName(documents.filter("doc_id is null"))

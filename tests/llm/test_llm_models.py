@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
@@ -95,6 +96,13 @@ def test_keep_one_keeps_the_least_of_each_group(spark):
     assert {r.doc_id for r in jaccard.keep_one(rows.unionByName(rows.filter("doc_id < 30"))).collect()} == want
 
 
+def test_clashing_column_names_pass_through(spark):
+    rows = docs(spark, fixture(5)).withColumns({c: F.lit(7) for c in ("row", "copies", "kept_id", "group_id", "leaked_id", "score", "predicted", "rejected", "letters")})
+    bench = spark.createDataFrame([(1, "never to be found in any text")], "item_id long, text string")
+    for out in (jaccard.keep_one(rows), decontaminate.clean(rows, bench), langid.decide(rows, {}).select("row.*"), toxicity.decide(rows, toxicity.Model()).select("row.*")):
+        assert out.columns == rows.columns and out.count() > 0 and {r.row for r in out.collect()} == {7}
+
+
 def test_pruning_bounds_are_posterior_tails():
     least = jaccard.least_matches(0.8, 1e-6)
     assert len(least) == shingles.HASHES // jaccard.STEP and least == sorted(least) and 0 < least[0] < 32
