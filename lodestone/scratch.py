@@ -27,7 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path; nothing is there yet."""
-    return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +42,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def purge(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, once no result reads them any more."""
+    release(spark, _root(spark))
+
+
 def release(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through the file system that holds it."""
     jvm = spark.sparkContext._jvm
