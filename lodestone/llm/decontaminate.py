@@ -1,16 +1,13 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH.
-
-Texts and benchmark items are word sequences. A text's item-sized windows are embedded by the CGK
-random walk, which maps a small edit distance to a small Hamming distance; repeated sampling of
-embedded positions, as often as the target recall asks, finds windows and items that share a bucket,
-and every candidate is verified by exact edit distance. Windows are embedded only where the text
-shares with the item a run of words as long as any text within the edit bound must (the pigeonhole
-length, up to four words), which loses no match.
+"""Benchmark decontamination by pigeonhole seeds and exact word edit distance.
+
+Texts and benchmark items are word sequences. An item of n words within e edits of a part of a text
+leaves one of its e + 1 pieces untouched; so each place where a text shares a piece's first words (up
+to four) points to a window that holds the whole part. A window must also hold n - e words of the
+item; those that do are verified by exact edit distance. Neither step loses a match.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -20,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textbytes import blocks, mix, span_hashes, text_buffer, words
+from lodestone.llm.textbytes import blocks, expand, mix, span_hashes, text_buffer, words
 
 FOUND = "doc_id long, item_id long, first_word long, last_word long, distance long, similarity double"
 MIN_WORDS = 5
 _STREAM = np.random.Generator(np.random.PCG64(17))
 _PLACE = _STREAM.integers(1, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-WALKS, SAMPLED = 4, 2
+#: Windows expanded from seeds, and words looked up, at a time.
+PART = 1 << 20
 
 
 def edit_bound(n: int, similarity: float) -> int:
@@ -34,41 +32,6 @@ def edit_bound(n: int, similarity: float) -> int:
     return int(n * (1 - similarity) + 1e-9)
 
 
-def repetitions(recall: float, agreement: float = 0.5) -> int:
-    """Repetitions of SAMPLED positions that meet with probability `recall` where embeddings agree on a
-    share `agreement` of their positions."""
-    return max(WALKS, math.ceil(math.log(1 - recall) / math.log(1 - agreement**SAMPLED)))
-
-
-def embed(rows: np.ndarray, sizes: np.ndarray, walk: int) -> np.ndarray:
-    """CGK: rows of symbols (0 past a row's size or a text's ends) to rows three times as wide. At each
-    step the current symbol is copied, and a random bit of step and symbol says whether to go on."""
-    m, n = rows.shape
-    padded = np.hstack([rows, np.zeros((m, 1), np.uint64)]).ravel()
-    keys = np.random.Generator(np.random.PCG64(1000 + walk)).integers(1, 1 << 63, 3 * n, dtype=np.uint64)
-    base = np.arange(m) * (n + 1)
-    at, last, out = base.copy(), base + sizes, np.empty((3 * n, m), np.uint64)
-    for t in range(3 * n):
-        out[t] = symbol = padded[at]
-        at += (((symbol ^ keys[t]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.int64)
-        np.minimum(at, last, out=at)
-    return out
-
-
-def buckets(rows: np.ndarray, sizes: np.ndarray, repeats: int) -> np.ndarray:
-    """Bucket hashes, a column per repetition; rows of different sizes share none."""
-    out = np.empty((len(rows), repeats), np.uint64)
-    line = np.arange(len(rows))
-    for walk in range(WALKS):
-        walked = embed(rows, sizes, walk)
-        for r in range(walk, repeats, WALKS):
-            total = sizes.astype(np.uint64) * _PLACE[7] + np.uint64(r)
-            for k, u in enumerate(np.random.Generator(np.random.PCG64(5000 + r)).random(SAMPLED)):
-                total += walked[(u * 2 * sizes).astype(np.int64), line] * _PLACE[k]
-            out[:, r] = mix(total)
-    return out
-
-
 def nearest(item: list[int], text: list[int]) -> tuple[int, int]:
     """The least edit distance of `item` to a part of `text`, and that part's last place (the first
     such); Myers's bit-parallel scan."""
@@ -92,38 +55,52 @@ def nearest(item: list[int], text: list[int]) -> tuple[int, int]:
 
 
 class Items:
-    """The benchmark's items, their seed runs and their LSH buckets."""
+    """The benchmark's items, their seeds, and which words each holds."""
 
-    def __init__(self, rows: list[tuple[int, str]], similarity: float, recall: float):
-        self.repeats = repetitions(recall)
-        self.ids, self.words, self.bound = [], [], []
+    def __init__(self, rows: list[tuple[int, str]], similarity: float):
+        self.ids, self.words = [], []
         for i, text in sorted(rows):
             data = np.frombuffer(text.encode(), np.uint8)
             start, end, _ = words(data, np.array([0, len(data)]), unicode_marks=True)
             if len(start) >= MIN_WORDS:
                 self.ids.append(i)
                 self.words.append(span_hashes(data, start, end))
-                self.bound.append(edit_bound(len(start), similarity))
         self.lists = [w.tolist() for w in self.words]
-        seeds: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
+        self.n = np.array([len(w) for w in self.words], np.int64)
+        self.bound = np.array([edit_bound(len(w), similarity) for w in self.words], np.int64)
+        seeds: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for k, w in enumerate(self.words):
-            n, e = len(w), self.bound[k]
-            q = min(4, -(-(n - e) // (e + 1)))
-            for o, h in enumerate(runs(w, q).tolist()):
-                seeds[q][h].add((n, o))
+            n, pieces = len(w), int(self.bound[k]) + 1
+            q = min(4, n // pieces)
+            h = runs(w, q).tolist()
+            seeds[q] += [(h[o], k, o) for o in (i * n // pieces for i in range(pieces))]
         self.seeds = {}
-        for q, table in seeds.items():
-            h = np.array(sorted(table), np.uint64)
+        for q, found in seeds.items():
+            found.sort()
+            keys, first = np.unique(np.array([x[0] for x in found], np.uint64), return_index=True)
             maybe = np.zeros(1 << 20, bool)
-            maybe[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.seeds[q] = (h, maybe, [sorted(table[x]) for x in h.tolist()])
-        self.table: dict[tuple[int, int], list[int]] = defaultdict(list)
-        self.width = max(map(len, self.words), default=1)
-        if self.words:
-            rows = np.array([np.pad(w, (0, self.width - len(w))) for w in self.words])
-            for k, row in enumerate(buckets(rows, np.array([len(w) for w in self.words]), self.repeats).tolist()):
-                for r, h in enumerate(row):
-                    self.table[r, h].append(k)
+            maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
+            self.seeds[q] = (keys, maybe, np.append(first, len(found)), *np.array([x[1:] for x in found], np.int64).T)
+        pairs = max(1 << 10, 16 * int(self.n.sum()))
+        self.shift = np.uint64(64 - pairs.bit_length())
+        self.held = np.zeros(1 << pairs.bit_length(), bool)
+        for k, w in enumerate(self.words):
+            self.held[self._cells(w, np.full(len(w), k))] = True
+
+    def _cells(self, word: np.ndarray, item: np.ndarray) -> np.ndarray:
+        return (mix(word + item.astype(np.uint64) * _PLACE[7]) >> self.shift).astype(np.int64)
+
+    def count(self, h: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How many of the words lo .. hi - 1 (some) each window's item holds, or more (cells clash)."""
+        out, total = np.zeros(len(lo), np.int64), np.cumsum(hi - lo)
+        a = 0
+        while a < len(lo):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + PART)))
+            n = hi[a:b] - lo[a:b]
+            inside = self.held[self._cells(h[expand(lo[a:b], n)], np.repeat(item[a:b], n))]
+            out[a:b] = np.add.reduceat(inside, np.cumsum(n) - n, dtype=np.int64)
+            a = b
+        return out
 
 
 def runs(h: np.ndarray, q: int) -> np.ndarray:
@@ -135,77 +112,79 @@ def runs(h: np.ndarray, q: int) -> np.ndarray:
     return mix(total)
 
 
-def _windows(h: np.ndarray, cut: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
-    """The (text, start, size) windows that a shared run points to; starts are counted in the block."""
-    found: set[tuple[int, int, int]] = set()
-    for q, (keys, maybe, places) in items.seeds.items():
+def _windows(h: np.ndarray, cut: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
+    """The (text, item, first word, end) parts of the texts that can hold a match, counted in the block:
+    the windows that seeds point to and that hold enough of the item's words, joined where they meet."""
+    found: list[np.ndarray] = []
+    for q, (keys, maybe, first, item, offset) in items.seeds.items():
         g = runs(h, q)
         at = np.flatnonzero(maybe[(g >> np.uint64(44)).astype(np.int64)])
         if not len(at):
             continue
         k = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
-        hit = keys[k] == g[at]
-        at, k = at[hit], k[hit]
         text = np.searchsorted(cut, at, "right") - 1
-        inside = at + q <= cut[text + 1]
-        for p, t, s in zip(at[inside].tolist(), text[inside].tolist(), k[inside].tolist(), strict=True):
-            found.update((t, p - o, n) for n, o in places[s])
-    return sorted(found)
-
-
-def _match(rows: list[tuple[int, str]], similarity: float, recall: float):
+        hit = (keys[k] == g[at]) & (at + q <= cut[text + 1])
+        at, k, text = at[hit], k[hit], text[hit]
+        n = first[k + 1] - first[k]
+        total, a = np.cumsum(n), 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + PART)))
+            place = expand(first[k[a:b]], n[a:b])
+            t, i, start = np.repeat(text[a:b], n[a:b]), item[place], np.repeat(at[a:b], n[a:b]) - offset[place]
+            e = items.bound[i]
+            lo, hi = np.maximum(cut[t], start - e), np.minimum(cut[t + 1], start + items.n[i] + e)
+            rows = _joined(np.stack([t, i, lo, hi]), join=False)
+            rows = rows[:, items.count(h, *rows[1:]) >= (items.n - items.bound)[rows[1]]]
+            found.append(_joined(rows))
+            a = b
+    return list(map(tuple, _joined(np.hstack(found)).T.tolist())) if found else []
+
+
+def _joined(rows: np.ndarray, join: bool = True) -> np.ndarray:
+    """Columns (text, item, first word, end) in order, without repeats; with `join`, those of a text and
+    item that meet made one."""
+    rows = rows[:, np.lexsort(rows[::-1])]
+    if not rows.shape[1]:
+        return rows
+    new = np.ones(rows.shape[1], bool)
+    if not join:
+        new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+        return rows[:, new]
+    # the ends of a text's and item's rows, as far as any before reached
+    group = np.cumsum(np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)))
+    wide = int(rows[3].max()) + 1
+    reach = np.maximum.accumulate(group * wide + rows[3]) - group * wide
+    new[1:] = (group[1:] != group[:-1]) | (rows[2, 1:] > reach[:-1])
+    at = np.flatnonzero(new)
+    return np.vstack([rows[:3, at], reach[np.append(at[1:], len(new)) - 1]])
+
+
+def _match(rows: list[tuple[int, str]], similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows, similarity, recall)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        items = Items(rows, similarity)
         for batch in batches:
             buf, offs = text_buffer(batch.column(1))
-            waiting: list[tuple[int, int, int, np.ndarray, int]] = []
+            best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for a, b in blocks(offs):
                 data = buf[offs[a] : offs[b]]
                 start, end, cut = words(data, offs[a : b + 1] - offs[a], unicode_marks=True)
                 h = span_hashes(data, start, end)
-                for t, s, n in _windows(h, cut, items):
-                    e = edit_bound(n, similarity)
-                    lo, hi = max(int(cut[t]), s - e), min(int(cut[t + 1]), s + n + e)
-                    waiting.append((a + t, lo - int(cut[t]), s - lo, h[lo:hi], n))
-                if len(waiting) >= 8192:
-                    _settle(waiting, items, best)
-            _settle(waiting, items, best)
+                for t, k, lo, hi in _windows(h, cut, items):
+                    text, at = h[lo:hi].tolist(), lo - int(cut[t])
+                    d, last = nearest(items.lists[k], text)
+                    if d <= items.bound[k] and last >= 0:
+                        _, back = nearest(items.lists[k][::-1], text[last::-1])
+                        best[a + t, k] = min((d, at + last - back, at + last), best.get((a + t, k), (1 << 60,)))
             if best:
                 ids = batch.column(0)
                 out = [(ids[t].as_py(), items.ids[k], f, z, d, 1 - d / len(items.lists[k])) for (t, k), (d, f, z) in sorted(best.items())]
-                best.clear()
                 types = [pa.int64()] * 5 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "item_id", "first_word", "last_word", "distance", "similarity"])
 
     return run
 
 
-def _settle(waiting: list[tuple[int, int, int, np.ndarray, int]], items: Items, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
-    """Embed the waiting windows, look up their buckets and verify what meets; (text, item) -> (distance,
-    first word, last word) of the best place, the first of equals.
-
-    A window is a text's row, the place of its surroundings' first word, its own start in them (it may
-    lie before or reach past them), the surroundings' word hashes, and its size."""
-    for i in range(0, len(waiting), 4096):
-        part = waiting[i : i + 4096]
-        rows = np.zeros((len(part), items.width), np.uint64)
-        for x, (_, _, s, near, n) in enumerate(part):
-            own = near[max(0, s) : max(0, s + n)]
-            rows[x, max(0, -s) : max(0, -s) + len(own)] = own
-        for (t, at, _, near, _), row in zip(part, buckets(rows, np.array([w[4] for w in part]), items.repeats).tolist(), strict=True):
-            text = near.tolist()
-            for k in {k for r, x in enumerate(row) for k in items.table.get((r, x), ())}:
-                d, last = nearest(items.lists[k], text)
-                if d <= items.bound[k] and last >= 0:
-                    _, back = nearest(items.lists[k][::-1], text[last::-1])
-                    found = (d, at + last - back, at + last)
-                    if found < best.get((t, k), (1 << 60,)):
-                        best[t, k] = found
-    waiting.clear()
-
-
-def matches(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.999, pass_bytes: int = 8_000_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def matches(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, pass_bytes: int = 8_000_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`FOUND`: for each text and each item that a part of it matches, the best place (words from 0)
     and its word edit distance, at most (1 - similarity) of the item's words.
 
@@ -221,12 +200,12 @@ def matches(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     for p in range(passes):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p) if passes > 1 else items
         rows = sorted({(r["item_id"], r["text"]) for r in own.collect()})  # about pass_bytes
-        out.append(docs.mapInArrow(_match(rows, similarity, recall), FOUND))
+        out.append(docs.mapInArrow(_match(rows, similarity), FOUND))
     return reduce(DataFrame.unionByName, out)
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of `documents` of whose ids no text matches an item; null ids always stay."""
-    found = matches(documents, benchmark, similarity, recall).select("doc_id").distinct()
+    found = matches(documents, benchmark, similarity).select("doc_id").distinct()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"))
     return rows.join(found, "doc_id", "left_anti").select("row.*")

@@ -176,6 +176,28 @@ def test_planted_passages_are_found_and_others_left_alone(spark):
     assert kept == set(range(200)) - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("kind", ["delete", "insert", "mixed"])
+def test_passages_edited_up_to_the_bound_are_all_found(spark, kind):
+    rnd = random.Random(kind)
+    vocab = [f"y{i}" for i in range(20_000)]
+    items = [" ".join(rnd.choices(vocab, k=n)) for n in (5, 10, 30, 50, 100, 200) for _ in range(20)]
+    texts = []
+    for item in items:
+        p = item.split()
+        for at in sorted(rnd.sample(range(len(p)), decontaminate.edit_bound(len(p), 0.8)), reverse=True):
+            p[at : at + 1] = {"delete": [], "insert": [p[at], "zz"], "mixed": rnd.choice([[], ["zz"], [p[at], "zz"]])}[kind]
+        texts.append(" ".join(rnd.choices(vocab, k=30) + p + rnd.choices(vocab, k=30)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs(spark, texts), bench).collect()}
+    assert got == {(i, i) for i in range(len(items))}
+
+
+def test_windows_of_one_repeated_word_are_joined():
+    items = decontaminate.Items([(1, "a " * 60)], 0.8)
+    h = np.repeat(items.words[0][:1], 50_000)
+    assert decontaminate._windows(h, np.array([0, 20_000, 50_000]), items) == [(0, 0, 0, 20_000), (1, 0, 20_000, 50_000)]
+
+
 def test_no_items_or_documents(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.matches(docs(spark, ["a b c d e f", None]), bench).count() == 0
