@@ -1,6 +1,6 @@
 """Benchmark decontamination by pigeonhole seeds and exact word edit distance.
 
-Texts and benchmark items are word sequences. An item of n words within e edits of a part of a text
+Texts and benchmark items are word sequences; a character of a script without spaces is a word. An item of n words within e edits of a part of a text
 leaves one of its e + 1 pieces untouched; so each place where a text shares a piece's first words (up
 to four) points to a window that holds the whole part. A window must also hold n - e words of the
 item; those that do are verified by exact edit distance. Neither step loses a match.
@@ -17,10 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.textbytes import blocks, expand, mix, span_hashes, text_buffer, words
+from lodestone.llm.textbytes import blocks, expand, mix, span_hashes, text_buffer, units
 
 FOUND = "doc_id long, item_id long, first_word long, last_word long, distance long, similarity double"
-MIN_WORDS = 5
 _STREAM = np.random.Generator(np.random.PCG64(17))
 _PLACE = _STREAM.integers(1, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Windows expanded from seeds, and words looked up, at a time.
@@ -58,14 +57,19 @@ class Items:
     """The benchmark's items, their seeds, and which words each holds."""
 
     def __init__(self, rows: list[tuple[int, str]], similarity: float):
-        self.ids, self.words = [], []
+        self.ids, self.words, marks = [], [], []
         for i, text in sorted(rows):
             data = np.frombuffer(text.encode(), np.uint8)
-            start, end, _ = words(data, np.array([0, len(data)]), unicode_marks=True)
-            if len(start) >= MIN_WORDS:
+            start, end, _ = units(data, np.array([0, len(data)]))
+            if len(start):
                 self.ids.append(i)
                 self.words.append(span_hashes(data, start, end))
-        self.lists = [w.tolist() for w in self.words]
+            elif text.strip():
+                marks.append((i, text.strip().encode()))
+        #: Items of marks alone, which are searched as they are; their numbers follow those of the others.
+        self.marks = [(len(self.words) + k, x) for k, (_, x) in enumerate(marks)]
+        self.ids += [i for i, _ in marks]
+        self.lists = [w.tolist() for w in self.words] + [[] for _ in marks]
         self.n = np.array([len(w) for w in self.words], np.int64)
         self.bound = np.array([edit_bound(len(w), similarity) for w in self.words], np.int64)
         seeds: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -167,7 +171,7 @@ def _match(rows: list[tuple[int, str]], similarity: float):
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for a, b in blocks(offs):
                 data = buf[offs[a] : offs[b]]
-                start, end, cut = words(data, offs[a : b + 1] - offs[a], unicode_marks=True)
+                start, end, cut = units(data, offs[a : b + 1] - offs[a])
                 h = span_hashes(data, start, end)
                 for t, k, lo, hi in _windows(h, cut, items):
                     text, at = h[lo:hi].tolist(), lo - int(cut[t])
@@ -175,9 +179,15 @@ def _match(rows: list[tuple[int, str]], similarity: float):
                     if d <= items.bound[k] and last >= 0:
                         _, back = nearest(items.lists[k][::-1], text[last::-1])
                         best[a + t, k] = min((d, at + last - back, at + last), best.get((a + t, k), (1 << 60,)))
+                for t in range(a, b) if items.marks else ():
+                    raw = buf[offs[t] : offs[t + 1]].tobytes()
+                    for k, x in items.marks:
+                        if (at := raw.find(x)) >= 0:
+                            first = int(np.searchsorted(start, offs[t] - offs[a] + at) - cut[t - a])
+                            best[t, k] = (0, first, first - 1)
             if best:
                 ids = batch.column(0)
-                out = [(ids[t].as_py(), items.ids[k], f, z, d, 1 - d / len(items.lists[k])) for (t, k), (d, f, z) in sorted(best.items())]
+                out = [(ids[t].as_py(), items.ids[k], f, z, d, 1 - d / max(1, len(items.lists[k]))) for (t, k), (d, f, z) in sorted(best.items())]
                 types = [pa.int64()] * 5 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "item_id", "first_word", "last_word", "distance", "similarity"])
 
@@ -185,12 +195,13 @@ def _match(rows: list[tuple[int, str]], similarity: float):
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, pass_bytes: int = 8_000_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """`FOUND`: for each text and each item that a part of it matches, the best place (words from 0)
+    """`FOUND`: for each text and each item that a part of it matches, the best place (words, as of `units`, from 0)
     and its word edit distance, at most (1 - similarity) of the item's words.
 
     Items are read in passes of about `pass_bytes` bytes of text, each sent to the executors, so a
-    benchmark of any size works; every pass reads the documents once. Items that are null, have a null
-    id, or have fewer than MIN_WORDS words take no part; items that repeat are all reported, rows that
+    benchmark of any size works; every pass reads the documents once. Items that are null, blank or
+    have a null id take no part; those too short for an edit (under five words at 0.8) match exact
+    phrases, and those of punctuation alone its exact characters (last_word is then first_word - 1); items that repeat are all reported, rows that
     repeat give equal rows, null and empty texts give none. Other columns are ignored."""
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).filter("text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")

@@ -6,7 +6,9 @@ that the scratch arrays stay small; a longer text is a block of its own.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,16 +106,62 @@ def word_flags(data: np.ndarray, unicode_marks: bool = False) -> np.ndarray:
     return flags
 
 
+#: First and last code points of scripts that are written without spaces: Thai and Lao, Tibetan, Myanmar,
+#: Khmer, Tai and Balinese, CJK and kana, Javanese, Myanmar Extended, Tai Viet, compatibility and half-width forms.
+UNSPACED = (
+    (0xE00, 0xEFF), (0xF00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x312F), (0x31A0, 0x31BF),
+    (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9DF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 for punctuation, spaces and full-width symbols, 2 for a letter, mark or number of
+    the scripts of UNSPACED, else 0."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for a, b in UNSPACED:
+        kinds[a : b + 1] = 2
+    for c in range(0x80, 0x10000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "PZ" or (kind == "S" and (0xFF00 <= c < 0xFFF0 or kinds[c] == 2)) or c == 0xFEFF:
+            kinds[c] = 1
+    return kinds
+
+
+def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `words` with `unicode_marks`, but punctuation of every script separates, and each character of a
+    script without spaces is a word of its own."""
+    flags = word_flags(data, unicode_marks=True)
+    own: list[np.ndarray] = []
+    if len(data) and data.max() >= 0xC2:
+        padded = np.append(data, np.zeros(3, np.uint8)).astype(np.int32)
+        for n, low, high in ((2, 0xC2, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xF4)):
+            lead = np.flatnonzero((data >= low) & (data <= high))
+            code = padded[lead] & (0x7F >> n)
+            for k in range(1, n):
+                code = code << 6 | padded[lead + k] & 0x3F
+            kind = _kinds()[np.minimum(code, 0x10FFFF)]
+            for k in range(n):
+                flags[lead[kind == 1] + k] = False
+                flags[lead[kind == 2] + k] = True
+            own += [lead[kind == 2], lead[kind == 2] + n]
+    return _spans(flags, offs, np.concatenate([offs, *own]))
+
+
 def words(data: np.ndarray, offs: np.ndarray, unicode_marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of consecutive texts, and each text's first word's number.
 
     data: the texts' bytes; offs: their bounds in it, from 0 to len(data)."""
-    flags = word_flags(data, unicode_marks)
-    before, after = np.empty(len(data), bool), np.empty(len(data), bool)
-    if len(data):
+    return _spans(word_flags(data, unicode_marks), offs, offs)
+
+
+def _spans(flags: np.ndarray, offs: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the flagged runs, which end at `bounds`, and each text's first run's number."""
+    before, after = np.empty(len(flags), bool), np.empty(len(flags), bool)
+    if len(flags):
         before[0] = after[-1] = False
         before[1:], after[:-1] = flags[:-1], flags[1:]
-        inner = offs[(offs > 0) & (offs < len(data))]
+        inner = bounds[(bounds > 0) & (bounds < len(flags))]
         before[inner] = False
         after[inner - 1] = False
     starts = np.flatnonzero(flags & ~before)

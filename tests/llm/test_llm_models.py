@@ -192,6 +192,19 @@ def test_passages_edited_up_to_the_bound_are_all_found(spark, kind):
     assert got == {(i, i) for i in range(len(items))}
 
 
+def test_short_items_and_items_in_unspaced_scripts_are_found(spark):
+    chinese = "请问中国历史上第一个统一的封建王朝是哪一个，它的都城位于今天的什么地方？"
+    items = [chinese, "東京の天気は今日とても良いので、散歩に行きましょうか。", "ประเทศไทยมีเมืองหลวงชื่อว่ากรุงเทพมหานคร", "Too short", "x=2", "𠀀𠀁𠀂", "？！", "?;?", " "]
+    edited = list(chinese)
+    del edited[3], edited[12], edited[20]
+    texts = ["前文" + x.strip() + "后文" for x in items[:3]] + ["this is too, short!", "too very short", "so x = 2", "字𠀀𠀁𠀂字", "是吗？！", "why?;?", "", "前文" + "".join(edited) + "后文", "没有任何关系的句子，今天天气不错。"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs(spark, texts), bench).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 4), (6, 5), (7, 6), (8, 7), (10, 0)}
+    assert got[10, 0].distance == 3 and {got[k].distance for k in got if k != (10, 0)} == {0}
+    assert (got[6, 5].first_word, got[6, 5].last_word) == (1, 3) and (got[8, 7].first_word, got[8, 7].last_word) == (1, 0)
+
+
 def test_windows_of_one_repeated_word_are_joined():
     items = decontaminate.Items([(1, "a " * 60)], 0.8)
     h = np.repeat(items.words[0][:1], 50_000)
