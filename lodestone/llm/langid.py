@@ -19,6 +19,9 @@ PREDICTED = "doc_id long, lang_pred string, score double, margin double, rejecte
 UNKNOWN = "und"
 LEVEL = 5
 SHORT = 256
+#: Bytes of a text over which the margin is asked for: past them its own history serves it as well as a
+#: dictionary, so the difference in bytes stays and need not grow.
+REACH = 8192
 
 
 def held_out(id_column: str = "doc_id"):
@@ -101,7 +104,7 @@ def _predict(dictionaries: dict[str, bytes], level: int, temperature: float, min
                     continue
                 raw = fold(text)
                 lang, score, margin = model.decide(model.sizes(raw), len(raw))
-                rows.append((lang, score, margin, margin < min_margin))
+                rows.append((lang, score, margin, margin * max(1.0, len(raw) / REACH) < min_margin))
             lang, score, margin, rejected = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())], [batch.schema.names[0], "lang_pred", "score", "margin", "rejected"])
 
@@ -113,7 +116,8 @@ def identify(documents: DataFrame, dictionaries: dict[str, bytes], level: int =
 
     A text that is null or has no letter is `und`, rejected, with score 0; so is every text if no
     dictionary was learnt. Other texts get the learnt language of the smallest encoding (ties to the
-    first by name), and are rejected, though named, if the next is within `min_margin` bytes a byte.
+    first by name), and are rejected, though named, if the next is within `min_margin` bytes a
+    byte of the text or, if that is longer, of its first REACH bytes; `margin` is of the whole text.
     Repeated rows get equal rows, null ids stay null, other columns are ignored."""
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), _letters(text_column))
     return rows.mapInArrow(_predict(dictionaries, level, temperature, min_margin), PREDICTED)

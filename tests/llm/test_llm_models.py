@@ -297,6 +297,15 @@ def test_language_id_on_held_out_rows(spark, data):
     assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) >= 0.93 * len(rows)
 
 
+def test_long_and_repetitive_texts_are_not_rejected_for_their_length(spark):
+    rnd = random.Random(5)
+    words = {x: ["".join(rnd.choices(letters, k=rnd.randint(2, 8))) for _ in range(600)] for x, letters in (("aa", "aeiklmnost"), ("bb", "bdfgrupvwy"))}
+    model = langid.dictionaries({x: [" ".join(rnd.choices(w, k=60)) for _ in range(200)] for x, w in words.items()}, 98304)
+    texts = [(" ".join(rnd.choices(words[x], k=k)) + ". ") * (n // (6 * k)) for x in ("aa", "bb") for k, n in ((13, 700_000), (90, 1_600_000), (400, 7_000_000))]
+    got = [(r.lang_pred, r.rejected) for r in langid.identify(docs(spark, [*texts, "7 " * 400_000 + "\u00e9"]), model).orderBy("doc_id").collect()]
+    assert got[:-1] == [("aa", False)] * 3 + [("bb", False)] * 3 and got[-1][1]
+
+
 def test_language_id_of_odd_texts(spark):
     rnd = random.Random(3)
     model = langid.dictionaries({"aa": [" ".join(rnd.choices(["kala", "mato", "sina"], k=40)) for _ in range(30)], "bb": [" ".join(rnd.choices(["strub", "grond", "plerk"], k=40)) for _ in range(30)]}, 20_000)
