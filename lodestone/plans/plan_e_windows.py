@@ -99,6 +99,11 @@ def e12(t: Tables) -> DataFrame:
     return rows.withColumnRenamed("__rest", "rest").orderBy("rest", "p_partkey").limit(40)
 
 
+@query("e12_diversify_whole", "SELECT p_partkey, p_type, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) > 1 AS INTEGER) AS rest FROM part")
+def e12_whole(t: Tables) -> DataFrame:
+    return ranking.diversify(t.part.select("p_partkey", "p_type"), "p_type", "p_partkey").withColumnRenamed("__rest", "rest")
+
+
 @query("e13_gap_dedup", "SELECT p_type, p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2")
 def e13(t: Tables) -> DataFrame:
     return ranking.keep_best(t.part.withColumn("label", T.normalise("p_name")), ["p_type", "label"], "p_partkey").select("p_type", "p_name", "p_partkey")

@@ -413,6 +413,14 @@ def m10(t: Tables) -> DataFrame:
     return J.compared(old, new, "user_id", "v").select("user_id", status.alias("status"))
 
 
+@query("m10_task_sync_whole", "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'resolved' WHEN a.user_id IS NULL THEN 'open' ELSE 'reopened' END AS status FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND event_id < 300) a FULL JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND event_id >= 300) b ON a.user_id = b.user_id")
+def m10_whole(t: Tables) -> DataFrame:
+    e = t.events.filter("event_type = 'error'")
+    old, new = (e.filter(c).select("user_id").distinct().withColumn("v", F.lit(1)) for c in ("event_id < 300", "event_id >= 300"))
+    status = T.literal_map({"removed": "resolved", "added": "open", "unchanged": "reopened"})[F.col("change")]
+    return J.compared(old, new, "user_id", "v").select("user_id", status.alias("status"))
+
+
 @query("m12_candidate_tiers", "SELECT doc_id, CASE WHEN quality = 1 AND n_chars > 1000 THEN 'gold' WHEN quality = 1 THEN 'silver' ELSE 'bronze' END AS tier FROM documents JOIN labels USING (doc_id)")
 def m12(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "n_chars").join(t.labels, "doc_id")

@@ -1,0 +1,11 @@
+"""Queries over whole tables give rows beyond the subsets of their namesakes."""
+
+import pytest
+
+from lodestone.plans import registry
+
+
+@pytest.mark.parametrize("name", ["c16_set_overlap_join", "e12_diversify"])
+def test_whole_tables_hold_the_subset_and_more(spark, data, name):
+    part, whole = ({tuple(r) for r in registry.queries()[n](spark, f"{data}/sf0.001").select(*cols).collect()} for cols in [{"c": ("a", "b"), "e": ("p_partkey",)}[name[0]]] for n in (name, f"{name}_whole"))
+    assert part < whole
