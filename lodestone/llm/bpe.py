@@ -28,7 +28,6 @@ from lodestone.llm.textbytes import blocks, expand, mix, span_hashes, text_buffe
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SPACE, LETTER, NUMBER, OTHER = range(4)
 _CACHE_WORDS = 1_000_000
-_VALUES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @lru_cache(1)
@@ -213,7 +212,7 @@ class Encoder:
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """(a, b, ids, bounds, decoded) for consecutive row ranges: the ids of texts a..b-1, their
-        bounds, and the bytes they decode to, which are held against the texts."""
+        bounds, and the bytes they decode to. Each pre-token's ids are held against its bytes."""
         if len(self.known) > _CACHE_WORDS:
             self._forget()
         parts, fresh = [], {"h": [], "size": [], "data": []}
@@ -228,7 +227,7 @@ class Encoder:
                 inside = np.searchsorted(special[0], start, "right") - 1
                 start = start[(inside < 0) | (start >= special[1][inside]) | (start == special[0][inside])]
             end = np.append(start[1:], len(data)) if len(start) else start
-            h = span_hashes(data, start, end, _VALUES)
+            h = span_hashes(data, start, end, fold=False)
             if special is not None:
                 where = np.searchsorted(start, special[0])
                 h[where] = mix(np.array(special[2], np.uint64))
@@ -241,27 +240,35 @@ class Encoder:
                 fresh["size"].append(size)
                 fresh["data"].append(data[expand(s, size)])
                 seen = np.sort(np.concatenate((seen, u[new])))
-            parts.append((a, b, u, code.astype(np.int32), np.searchsorted(start, own), special))
+            parts.append((a, b, u, code.astype(np.int32), (end - start).astype(np.int32), np.searchsorted(start, own), special))
         if fresh["h"]:
             h, size = np.concatenate(fresh["h"]), np.concatenate(fresh["size"])
             self._learn(h, np.concatenate(fresh["data"]), np.concatenate(([0], np.cumsum(size))))
         pool = self.pool = [np.concatenate(self.pool)]
-        for a, b, u, code, cut, special in parts:
+        for a, b, u, code, length, cut, special in parts:
+            data, own = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
             slot = self.slot[np.searchsorted(self.known, u)][code]
             size = self.n[slot]
             ids = pool[0][expand(self.at[slot], size)]
             bounds = np.concatenate(([0], np.cumsum(size)))
+            if not self._spells(ids, bounds, length, data):
+                ids, bounds = self._by_bytes(data, length)
             if special is not None:
-                ids, bounds, cut = self._put(ids, bounds, cut, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], special)
-            text = self.vocab.decode_bytes(ids)
-            if np.array_equal(text, buf[offs[a] : offs[b]]):
-                yield a, b, ids, bounds[cut], text
-            elif b - a > 1 or len(self.known) > len(u):  # two pre-tokens share a hash: each text on its own
-                for r in range(a, b):
-                    for _, _, *one in Encoder(self.vocab.path).encode(buf, offs[r : r + 2]):
-                        yield r, r + 1, *one
-            else:
-                raise ValueError("two pre-tokens of one text share a 64-bit hash")
+                ids, bounds, cut = self._put(ids, bounds, cut, data, own, special)
+            yield a, b, ids, bounds[cut], self.vocab.decode_bytes(ids)
+
+    def _spells(self, ids: np.ndarray, bounds: np.ndarray, length: np.ndarray, data: np.ndarray) -> bool:
+        """Whether each pre-token's ids decode to its own bytes, so that no hash stood for two pre-tokens."""
+        ends = np.concatenate(([0], np.cumsum(self.vocab.piece_size[ids])))[bounds]
+        return np.array_equal(np.diff(ends), length) and np.array_equal(self.vocab.decode_bytes(ids), data)
+
+    def _by_bytes(self, data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and bounds of consecutive pre-tokens, told apart by their bytes instead of hashes."""
+        raw, end, kinds = data.tobytes(), np.cumsum(length), {}
+        code = np.array([kinds.setdefault(raw[i:j], len(kinds)) for i, j in zip((end - length).tolist(), end.tolist(), strict=True)], np.int64)
+        ids, cut = self.vocab.merge(np.frombuffer(b"".join(kinds), np.uint8), np.concatenate(([0], np.cumsum([len(k) for k in kinds]))))
+        size = np.diff(cut)[code]
+        return ids[expand(cut[:-1][code], size)], np.concatenate(([0], np.cumsum(size)))
 
     def _special(self, data: np.ndarray, own: np.ndarray):
         """Starts, ends and ids of control tokens in the texts, or None."""

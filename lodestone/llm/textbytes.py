@@ -6,6 +6,7 @@ that the scratch arrays stay small; a longer text is a block of its own.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -17,9 +18,10 @@ import pyarrow.compute as pc
 BLOCK = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-#: A random 64-bit value for each byte; capital ASCII letters share those of the small ones.
-_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUES[65:91] = _VALUES[97:123]
+#: A random 64-bit value for each byte; in the folded ones capital ASCII letters share those of the small ones.
+_EXACT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLDED = _EXACT.copy()
+_FOLDED[65:91] = _FOLDED[97:123]
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS = np.ones(1, np.uint64)
@@ -81,13 +83,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS, _INVERSES
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, by differences of one running polynomial sum."""
+#: Bytes from which a span is hashed by BLAKE2b: sums modulo 2**64 collide, whatever their base, on long spans
+#: of a known kind (the Thue-Morse word of 2,048 letters and its complement).
+LONG_SPAN = 64
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span (with `fold`, whatever the case of ASCII letters): differences
+    of one running polynomial sum, and BLAKE2b of long spans."""
     up, down = _powers(len(data))
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(values[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum((_FOLDED if fold else _EXACT)[data] * up[: len(data)], out=total[1:])
+    out = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_SPAN).tolist():
+        raw = data[starts[i] : ends[i]]
+        out[i] = int.from_bytes(hashlib.blake2b((LOWER[raw] if fold else raw).tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def word_flags(data: np.ndarray, unicode_marks: bool = False) -> np.ndarray:

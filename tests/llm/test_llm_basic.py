@@ -141,6 +141,33 @@ def test_encoding_equals_the_library(texts):
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def thue_morse(n):
+    """Words on which every polynomial hash modulo 2**64 collides."""
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_pretokens_that_polynomial_hashes_confuse(library):
+    a, b = thue_morse(2048)
+    texts = [f"{a}\n{b}", b, f"{a} {b} {a}", "ab" * 40]
+    buf, offs = text_buffer(pa.array(texts, pa.string()))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    encoder = bpe.Encoder(PATH)
+    assert [ids[c[i] : c[i + 1]].tolist() for x, z, ids, c, _ in encoder.encode(buf, offs) for i in range(z - x)] == want
+
+
+def test_equal_hashes_of_pretokens_are_told_apart_by_bytes(library, monkeypatch):
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, start, end, fold: (end - start).astype(np.uint64) % 3)
+    texts = ["some words of a text <|endoftext|>, and more", "", "other words's ends", "  x  "]
+    buf, offs = text_buffer(pa.array(texts, pa.string()))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    encoder = bpe.Encoder(PATH)
+    for _ in range(2):
+        assert [ids[c[i] : c[i + 1]].tolist() for x, z, ids, c, _ in encoder.encode(buf, offs) for i in range(z - x)] == want
+
+
 def test_bpe_query_equals_the_library(spark, data, library):
     df = spark.read.parquet(f"{data}/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in df.collect()} | {-1: None, -2: "", -3: "<|endoftext|> again "}
