@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.scratch import materialize
+from lodestone.scratch import free, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         if n == 0 or (n, h) == mark:
             break
         mark = (n, h)
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        free(before)
     else:
         raise RuntimeError(f"no fixed point after {max_steps} steps")
     found = now.select(F.col("src").alias("node"), F.col("dst").alias("root"))

@@ -16,16 +16,16 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.shingles import HASHES, min_hashes, set_key, shingle_sets
 from lodestone.llm.textbytes import blocks, mix, text_buffer
-from lodestone.scratch import materialize
+from lodestone.scratch import free, materialize
 
 ROWS, BANDS, STEP = 6, 42, 32
-_FEATURES = "doc_id long, key binary, n_shingles long, bands array<long>"
+_FEATURES = "doc_id long, sha binary, key binary, n_shingles long, bands array<long>"
 _LINKS = "node long, n_links long, n_linked_docs long, root long"
 _ROW_FACTORS = np.random.Generator(np.random.PCG64(13)).integers(1, 1 << 62, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -59,11 +59,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a),
+                    batch.column(2).slice(a, b - a),
                     pa.array([set_key(s) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(bands.ravel())),
                 ],
-                ["doc_id", "key", "n_shingles", "bands"],
+                ["doc_id", "sha", "key", "n_shingles", "bands"],
             )
 
 
@@ -194,38 +195,39 @@ def _verify(threshold: Fraction, least: list[int]):
     return run
 
 
-def join(documents: DataFrame, threshold: str = "0.8", tolerance: float = 1e-6, block_texts: int = 1024, block_shingles: int = 1_000_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, class_id, class_size, n_links, n_linked_docs, group_id: a row per row of `documents`.
+def _named(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, text, sha: each row and the digest of its text."""
+    text = F.col(text_column)
+    return documents.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), _sha(text).alias("sha"))
 
-    class_id is the least doc_id whose text has the same set of five-word shingles, class_size the
-    number of such rows; n_links counts the other classes whose sets have a Jaccard similarity of
-    `threshold` or more, n_linked_docs the rows in them; group_id is the least doc_id that chains of
-    links and copies reach.
 
-    A null, empty or wordless text has no shingles: it is a class and group of its own row's id. A
-    text of one to four words is one shingle. Rows that repeat an id with the same text are copies;
-    texts that share an id without being copies count as one node. Rows with null ids get the class
-    of their text, null if no other row has it. An empty table gives no rows; other columns are
-    ignored.
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
-    At similarity 0.8 a pair misses every one of 42 bands of 6 values with probability 3e-6; pruning
-    loses at most about `tolerance` of the pairs a step. Meetings of more than `block_texts` texts or
-    `block_shingles` shingles are split into pairs of blocks."""
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+
+def _first(*rest: str) -> Column:
+    """The least (doc_id, sha), null ids last, and what stands beside it."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sha", *rest))
+
+
+def _resolve(documents: DataFrame, threshold: str, tolerance: float, block_texts: int, block_shingles: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """Features of each row, and of each class: key, doc_id and sha of its first row, class_size, n_links,
+    n_linked_docs, group_id, and whether its group's first row is its own (`leads`).
+
+    Classes are numbered by the table that is written of them, so neither repeated nor null ids matter."""
+    docs = _named(documents, id_column, text_column)
     features = materialize(docs.mapInArrow(_features, _FEATURES), "jaccard-features")
-    worded = features.filter("n_shingles > 0")
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n_shingles", "bands"))).alias("first")
-    classes = worded.groupBy("key").agg(first, F.count("*").alias("class_size"))
-    classes = materialize(classes.select("key", "class_size", F.col("first.doc_id").alias("node"), "first.n_shingles", "first.bands"), "jaccard-classes")
-    bucketed = classes.filter("node is not null").select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    classes = features.filter("n_shingles > 0").groupBy("key").agg(_first("n_shingles", "bands").alias("first"), F.count("*").alias("class_size"))
+    classes = classes.select("key", "class_size", "first.doc_id", "first.sha", "first.n_shingles", "first.bands", F.monotonically_increasing_id().alias("node"))
+    classes = materialize(classes, "jaccard-classes")
+    bucketed = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = bucketed.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("last > centre").drop("last")
     met = materialize(bucketed.join(buckets, "bucket").select("node", "n_shingles", "centre").distinct(), "jaccard-meetings")
-    met = met.groupBy("node", "centre").agg(F.max("n_shingles").alias("n_shingles"))
     sizes = met.groupBy("centre").agg(F.greatest(F.ceil(F.count("*") / block_texts), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int").alias("n_blocks"))
     nodes = met.groupBy("node").agg(F.array_sort(F.collect_set("centre")).alias("centres"))
-    class_sizes = classes.groupBy("node").agg(F.sum("class_size").alias("class_size"))
-    texts = nodes.join(docs.withColumnRenamed("doc_id", "node"), "node").groupBy("node", "centres").agg(F.min("text").alias("text")).join(class_sizes, "node")
-    texts = materialize(texts, "jaccard-texts")
+    nodes = nodes.join(classes.select("node", "class_size", F.col("doc_id").alias("first_id"), F.col("sha").alias("first_sha")), "node")
+    own = (F.col("sha") == F.col("first_sha")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    texts = materialize(nodes.join(docs, own).groupBy("node", "class_size", "centres").agg(F.min("text").alias("text")), "jaccard-texts")
     seats = met.select("node", "centre").join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     seats = seats.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     seats = seats.select("node", "centre", "block", F.least("block", "other").alias("i_block"), F.greatest("block", "other").alias("j_block"))
@@ -233,21 +235,52 @@ def join(documents: DataFrame, threshold: str = "0.8", tolerance: float = 1e-6,
     tables = tables.repartition("centre", "i_block", "j_block").sortWithinPartitions("centre", "i_block", "j_block", "node")
     exact = Fraction(threshold)
     links = materialize(tables.mapInArrow(_verify(exact, least_matches(float(exact), tolerance)), _LINKS), "jaccard-links")
+    free(met, texts)
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.sum("n_linked_docs").alias("n_linked_docs"))
-    groups = components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
-    per_class = classes.join(counts, "node", "left").join(groups, "node", "left")
-    per_class = per_class.select("key", F.col("node").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked_docs", F.lit(0)).alias("n_linked_docs"), F.coalesce("root", "node").alias("group_id"))
-    own = worded.select("doc_id", "key").join(per_class, "key").drop("key")
-    empty = features.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_linked_docs"), F.col("doc_id").alias("group_id"))
+    roots = components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    firsts = roots.join(classes.select("node", "doc_id", "sha"), "node").groupBy("root").agg(_first("node").alias("first"))
+    groups = roots.join(firsts, "root").select("node", F.col("first.doc_id").alias("group_id"), F.col("first.node").alias("leader"))
+    per_class = classes.drop("bands").join(counts, "node", "left").join(groups, "node", "left")
+    return features, per_class.select(
+        "key", "doc_id", "sha", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked_docs", F.lit(0)).alias("n_linked_docs"),
+        F.when(F.col("leader").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), (F.coalesce("leader", "node") == F.col("node")).alias("leads"),
+    )
+
+
+def join(documents: DataFrame, threshold: str = "0.8", tolerance: float = 1e-6, block_texts: int = 1024, block_shingles: int = 1_000_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, class_id, class_size, n_links, n_linked_docs, group_id: a row per row of `documents`.
+
+    A class is the rows whose texts have the same set of five-word shingles, whatever their ids; class_id
+    is its least doc_id, class_size the number of its rows; n_links counts the other classes whose sets
+    have a Jaccard similarity of `threshold` or more, n_linked_docs the rows in them; group_id is the
+    least doc_id that chains of links and copies reach. Ids decide nothing else: different texts under
+    one id are different classes, rows with null ids are copies and links like others, and class_id or
+    group_id is null only where no row of the class or group has an id.
+
+    A null, empty or wordless text has no shingles: it is a class and group of its own row's id. A
+    text of one to four words is one shingle. An empty table gives no rows; other columns are ignored.
+
+    At similarity 0.8 a pair misses every one of 42 bands of 6 values with probability 3e-6; pruning
+    loses at most about `tolerance` of the pairs a step. Meetings of more than `block_texts` texts or
+    `block_shingles` shingles are split into pairs of blocks."""
+    features, per_class = _resolve(documents, threshold, tolerance, block_texts, block_shingles, id_column, text_column)
+    of_class = per_class.select("key", F.col("doc_id").alias("class_id"), "class_size", "n_links", "n_linked_docs", "group_id")
+    own = features.filter("n_shingles > 0").select("doc_id", "key").join(of_class, "key").drop("key")
+    none = lambda n: F.lit(n).cast("long")
+    empty = features.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), none(1).alias("class_size"), none(0).alias("n_links"), none(0).alias("n_linked_docs"), F.col("doc_id").alias("group_id"))
     return own.unionByName(empty)
 
 
-def keep_one(documents: DataFrame, threshold: str = "0.8") -> DataFrame:
-    """The rows of `documents` whose doc_id is the least of their group; of rows that repeat an id, one
-    stays. Rows with a null id all stay."""
-    named = documents.filter("doc_id is not null")
-    kept = join(named, threshold).filter("doc_id = group_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    both = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row")).join(kept, "doc_id")
-    once = both.filter("copies = 1").select("row.*")
-    again = both.filter("copies > 1").dropDuplicates(["doc_id"]).select("row.*")
-    return once.unionByName(again).unionByName(documents.filter("doc_id is null"))
+def keep_one(documents: DataFrame, threshold: str = "0.8", tolerance: float = 1e-6, block_texts: int = 1024, block_shingles: int = 1_000_000) -> DataFrame:
+    """One row of `documents` (doc_id, text and others) of each group of copies and near copies: that with
+    the least doc_id, or in a group without ids the least digest of its text; of rows that repeat it one.
+    Wordless texts are no copies of each other, so their rows all stay."""
+    features, per_class = _resolve(documents, threshold, tolerance, block_texts, block_shingles, "doc_id", "text")
+    keys = ["doc_id", "sha"]
+    many = features.filter("n_shingles > 0").groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("m_id"), F.col("sha").alias("m_sha"), F.lit(True).alias("many"))
+    leaders = per_class.filter("leads").select(*keys).join(many, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("sha") == F.col("m_sha")), "left")
+    kept = leaders.select(*keys, F.coalesce("many", F.lit(False)).alias("many")).unionByName(features.filter("n_shingles = 0").select(*keys, F.lit(False).alias("many")).distinct())
+    kept = materialize(kept.select(F.col("doc_id").alias("k_id"), F.col("sha").alias("k_sha"), "many"), "jaccard-kept")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _sha(F.col("text")).alias("sha"), F.struct("*").alias("row"))
+    both = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")))
+    return both.filter("not many").select("row.*").unionByName(both.filter("many").dropDuplicates(keys).select("row.*"))

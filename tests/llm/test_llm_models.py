@@ -91,6 +91,56 @@ def test_join_on_odd_tables(spark):
     assert got == {(1, 1, 3, 1), (None, 1, 3, 1), (None, None, 1, None), (2, 2, 1, 2)}
 
 
+def test_join_finds_links_of_repeated_and_null_ids(spark):
+    rnd = random.Random(9)
+    vocab = [f"v{i}" for i in range(400)]
+    rows, texts = [], fixture(6)
+    for i, t in enumerate(texts):
+        rows += [((None, i, i % 20, 5)[rnd.randrange(4)], t) for _ in range(rnd.choice((1, 1, 2)))]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    sets = sets_of([t for _, t in rows])
+    key = [frozenset(x) if x else ("empty", n) for n, x in enumerate(sets)]
+    of = {}
+    for n, k in enumerate(key):
+        of.setdefault(k, []).append(n)
+    least = lambda ns: min((rows[n][0] for n in ns if rows[n][0] is not None), default=None)
+    real = [k for k in of if not isinstance(k, tuple)]
+    links = {k: [] for k in of}
+    for a, b in combinations(real, 2):
+        if len(a & b) * 5 >= 4 * len(a | b):
+            links[a].append(b)
+            links[b].append(a)
+    group = {}
+    for k in of:
+        if k not in group:
+            stack, seen = [k], {k}
+            while stack:
+                for x in links[stack.pop()]:
+                    if x not in seen:
+                        seen.add(x)
+                        stack.append(x)
+            for x in seen:
+                group[x] = seen
+    want = sorted((str(rows[n][0]), str(least(of[k])), len(of[k]), len(links[k]), sum(len(of[x]) for x in links[k]), str(least([m for x in group[k] for m in of[x]]))) for n, k in enumerate(key))
+    got = sorted((str(r.doc_id), str(r.class_id), r.class_size, r.n_links, r.n_linked_docs, str(r.group_id)) for r in jaccard.join(df).collect())
+    assert got == want
+    kept = sorted(r.n for r in jaccard.keep_one(df).collect())
+    groups = {id(g): g for g in group.values()}.values()
+    assert len(kept) == len(groups)
+    for g in groups:
+        mine = [n for k in g for n in of[k] if n in kept]
+        assert len(mine) == 1 and rows[mine[0]][0] == least([n for k in g for n in of[k]])
+
+
+def test_texts_that_polynomial_hashes_confuse_are_no_copies(spark):
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = jaccard.join(docs(spark, [f"{a} one two three four", f"{b} one two three four"])).collect()
+    assert {(r.class_id, r.class_size) for r in got} == {(0, 1), (1, 1)}
+
+
 def test_keep_one_keeps_the_least_of_each_group(spark):
     texts = fixture(4)
     want = {i for i, v in expected(texts).items() if v[4] == i}
