@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -347,6 +348,32 @@ def test_language_id_on_held_out_rows(spark, data):
     assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) >= 0.93 * len(rows)
 
 
+def test_every_language_is_learnt(spark):
+    rnd = random.Random(12)
+    own = {f"l{k:03}": ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(4, 9))) for _ in range(30)] for k in range(300)}
+    rows = [(i, " ".join(rnd.choices(w, k=40)), lang) for i, (lang, w) in enumerate([x for x in own.items() for _ in range(1 if x[0] == "l299" else 6)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learnt = {r.lang for r in df.filter(~langid.held_out()).select("lang").distinct().collect()}
+    for bound in (100_000, 10):
+        model = langid.learn(df, max_texts=bound)
+        assert set(model) == learnt and len(learnt) > 290
+    asked = spark.createDataFrame([(k, " ".join(rnd.choices(own[lang], k=40)), lang) for k, lang in enumerate(sorted(learnt))], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(asked, langid.learn(df)).collect()}
+    assert sum(got[r.doc_id] == r.lang for r in asked.collect()) >= 0.97 * len(learnt)
+
+
+def test_predictions_equal_one_shot_compression(spark):
+    """Against the plain definition: the smallest whole-buffer encoding of the repeated text."""
+    rnd = random.Random(2)
+    words_of = {x: ["".join(rnd.choices(letters, k=rnd.randint(2, 8))) for _ in range(200)] for x, letters in (("aa", "aeiklmnost"), ("bb", "bdfgrupvwy"), ("cc", "aeioubdfgr"))}
+    model = langid.dictionaries({x: [" ".join(rnd.choices(w, k=60)) for _ in range(60)] for x, w in words_of.items()}, 98304)
+    texts = [" ".join(rnd.choices(words_of[rnd.choice("aa bb cc".split())], k=k)) for k in (1, 2, 3, 10, 40, 41, 42, 60, 500, 40_000) for _ in range(3)]
+    press = {x: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=langid.LEVEL, write_content_size=False, write_dict_id=False) for x, d in model.items()}
+    for r in langid.identify(docs(spark, texts), model).collect():
+        size = {x: len(p.compress((texts[r.doc_id].lower().encode() + b" ") * langid.COPIES)) for x, p in press.items()}
+        assert size[r.lang_pred] <= min(size.values()) + 2 and 0 <= r.score <= 1
+
+
 def test_long_and_repetitive_texts_are_not_rejected_for_their_length(spark):
     rnd = random.Random(5)
     words = {x: ["".join(rnd.choices(letters, k=rnd.randint(2, 8))) for _ in range(600)] for x, letters in (("aa", "aeiklmnost"), ("bb", "bdfgrupvwy"))}
