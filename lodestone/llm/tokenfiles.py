@@ -1,14 +1,19 @@
 """Token counts of flat, unindexed token files by separator scan.
 
 A token file is a bare sequence of unsigned 16-bit big-endian ids; each document ends in the
-end-of-document id. `write` makes such files (Spark's text sink writes the bytes as they are and
-supplies each document's last byte, the separator's low one, as its line end). `count` cuts files
-into blocks, searches each block for separators with numpy, finishes the documents that lie inside
-it, and stitches those that cross block bounds by a prefix sum over the blocks' separator counts.
+end-of-document id. `write` makes such files, of a bounded number of bytes whatever the documents'
+lengths: a task's tokens are one stream that is cut into chunks, and chunks fill files, so a long
+document runs on over chunks and files. (Spark's text sink writes the bytes as they are and supplies
+each chunk's last byte as its line end, so chunks end at a byte that equals the separator's low one.)
+
+`count` cuts files into blocks, searches each block for separators with numpy, finishes the documents
+that lie inside it, and stitches those that cross block or file bounds by a prefix sum over the
+blocks' separator counts. The pieces are written once, so files are read once.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,51 +25,67 @@ from pyspark.sql.window import Window
 
 from lodestone.llm.bpe import Encoder
 from lodestone.llm.textbytes import text_buffer
+from lodestone.scratch import materialize
+
+#: A document may open with ids beyond the vocabulary that spell its 64-bit number: five base-8192 digits. The id
+#: after those stands for a separator's string inside a text, so that a document has one separator.
+TAG_DIGITS, TAG_BITS = 5, 13
+TAG_BASE = 1 << TAG_BITS
+_PIECES = "stream string, file long, block long, piece long, whole boolean, n_tokens long, tags array<int>, separators long"
+
+
+def _documents(path: str, end_id: int, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """The bytes of consecutive documents, a block of texts at a time."""
+    encoder = Encoder(path)
+    for batch in batches:
+        buf, offs = text_buffer(batch.column(1))
+        null = np.asarray(batch.column(0).is_null())
+        numbers = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+        for a, b, ids, bounds, _ in encoder.encode(buf, offs):
+            ids = np.where(ids == end_id, size + TAG_BASE, ids)
+            tags = size + (numbers[a:b, None] >> (TAG_BITS * np.arange(TAG_DIGITS)[::-1]) & (TAG_BASE - 1))
+            n_tags = np.where(null[a:b], 0, TAG_DIGITS)
+            at = np.concatenate(([0], np.cumsum(np.diff(bounds) + n_tags + 1)))
+            out = np.empty(int(at[-1]), ">u2")
+            where = np.ones(len(out), bool)
+            tagged = ~null[a:b]
+            place = (at[:-1][tagged, None] + np.arange(TAG_DIGITS)).ravel()
+            out[place], where[place] = tags[tagged].ravel(), False
+            out[at[1:] - 1], where[at[1:] - 1] = end_id, False
+            out[where] = ids
+            yield out.tobytes()
+
+
+def _chunks(path: str, end_id: int, size: int, chunk_bytes: int):
+    mark = bytes([end_id & 0xFF])
 
-#: A document may open with ids beyond the vocabulary that spell a number: five base-8192 digits.
-TAG_DIGITS, TAG_BASE = 5, 8192
-_PIECES = "file string, block long, piece long, whole boolean, n_tokens long, tags array<int>, separators long"
-
-
-def _rows(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        for batch in batches:
-            buf, offs = text_buffer(batch.column(1))
-            ids_of_rows = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, ids, bounds, _ in encoder.encode(buf, offs):
-                ids, cut = ids.astype(np.int64), bounds
-                if (ids == end_id).any():  # a control string inside a text would end its document
-                    keep = ids != end_id
-                    cut = np.concatenate(([0], np.cumsum(keep)))[bounds]
-                    ids = ids[keep]
-                tags = size + (ids_of_rows[a:b, None] >> (13 * np.arange(TAG_DIGITS)[::-1]) & (TAG_BASE - 1))
-                n = np.diff(cut) + TAG_DIGITS + 1
-                at = np.concatenate(([0], np.cumsum(n)))
-                out = np.empty(int(at[-1]), ">u2")
-                out[(at[:-1, None] + np.arange(TAG_DIGITS)).ravel()] = tags.ravel()
-                where = np.ones(len(out), bool)
-                where[(at[:-1, None] + np.arange(TAG_DIGITS)).ravel()] = False
-                where[at[1:] - 1] = False
-                out[where] = ids
-                out[at[1:] - 1] = end_id
-                raw = out.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[2 * i : 2 * j - 1] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["value"])
+        """Rows of about `chunk_bytes`, each but for a last byte, the mark, that the sink writes."""
+        rest = bytearray()
+        for raw in _documents(path, end_id, size, batches):
+            rest += raw
+            while len(rest) >= chunk_bytes:
+                cut = rest.rfind(mark, 0, chunk_bytes)
+                if cut < 0 and (cut := rest.find(mark, chunk_bytes)) < 0:
+                    break
+                yield pa.RecordBatch.from_arrays([pa.array([bytes(rest[:cut])], pa.binary())], ["value"])
+                del rest[: cut + 1]
+        if rest:  # it ends in a separator
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(rest[:-1])], pa.binary())], ["value"])
 
     return run
 
 
-def write(documents: DataFrame, path: str, vocabulary_path: str, end_id: int, vocabulary_size: int, documents_per_file: int = 20000) -> str:
-    """Write token files of `documents` (doc_id, text) under `path` and return it.
+def write(documents: DataFrame, path: str, vocabulary_path: str, end_id: int, vocabulary_size: int, chunk_bytes: int = 4 << 20, chunks_per_file: int = 16) -> str:
+    """Write token files of `documents` (doc_id, text) under `path` and return it: every row, null text as a
+    document without tokens, and a document without a tag where the id is null. Other columns are ignored.
 
-    The separator's low byte must be ASCII and ids, tags included, must fit 16 bits. A separator's
-    string inside a text is left out, so that a document has one separator. Null text has no
-    tokens; rows with null or negative ids, or ids beyond 2**53, have no tag and are left out."""
-    if end_id & 0xFF >= 0x80 or vocabulary_size + TAG_BASE > 1 << 16:
+    The separator's low byte must be ASCII and ids, tags included, must fit 16 bits."""
+    if end_id & 0xFF >= 0x80 or vocabulary_size + TAG_BASE + 1 > 1 << 16:
         raise ValueError("ids do not fit the file format")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id >= 0 and doc_id < 9007199254740992")
-    rows = docs.mapInArrow(_rows(vocabulary_path, end_id, vocabulary_size), "value binary")
-    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", chr(end_id & 0xFF)).option("compression", "gzip").option("maxRecordsPerFile", documents_per_file).text(path)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.mapInArrow(_chunks(vocabulary_path, end_id, vocabulary_size, chunk_bytes), "value binary")
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", chr(end_id & 0xFF)).option("compression", "gzip").option("maxRecordsPerFile", chunks_per_file).text(path)
     return path
 
 
@@ -99,7 +120,7 @@ def _scan(end_id: int, size: int, block_tokens: int):
 
 def _pieces(name: str, block: int, tokens: np.ndarray, end_id: int, size: int) -> pa.RecordBatch:
     start, end = scan_block(tokens, end_id)
-    tag = tokens > size - 1
+    tag = (tokens >= size) & (tokens < size + TAG_BASE)
     n_tags = np.concatenate(([0], np.cumsum(tag)))
     spelled = tokens[tag].astype(np.int32) - size
     n, last = len(start), len(start) - 1
@@ -107,26 +128,29 @@ def _pieces(name: str, block: int, tokens: np.ndarray, end_id: int, size: int) -
     whole = np.ones(n, bool)
     whole[0] = whole[last] = False  # these may go on in the blocks beside
     tags = pa.ListArray.from_arrays(pa.array(np.append(n_tags[start], n_tags[end[-1]]), pa.int32()), pa.array(spelled, pa.int32()))
+    named = re.fullmatch(r"(.*)-c(\d+)\..*", name.rsplit("/", 1)[-1])  # the sink's part and file numbers
+    stream, file = (named[1], int(named[2])) if named else (name, 0)
     return pa.RecordBatch.from_arrays(
-        [pa.array([name] * n), pa.array(np.full(n, block), pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array(whole), pa.array(counts, pa.int64()), tags, pa.array(np.full(n, last), pa.int64())],
-        ["file", "block", "piece", "whole", "n_tokens", "tags", "separators"],
+        [pa.array([stream] * n), pa.array(np.full(n, file), pa.int64()), pa.array(np.full(n, block), pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array(whole), pa.array(counts, pa.int64()), tags, pa.array(np.full(n, last), pa.int64())],
+        ["stream", "file", "block", "piece", "whole", "n_tokens", "tags", "separators"],
     )
 
 
 def count(spark: SparkSession, path: str, end_id: int, vocabulary_size: int, block_tokens: int = 1 << 20) -> DataFrame:
-    """file, position (from 0), n_tokens, doc_id (null without a tag): a row per document of the
-    files under `path`. A file's last document may lack its separator; an empty file has none.
+    """stream, position (from 0), n_tokens, doc_id (null without a tag): a row per document of the files
+    under `path`. The files of one writing task, in order of their numbers, are one stream; its last
+    document may lack its separator; an empty file has none.
 
-    A document's position is the number of separators before it: those of earlier blocks of the
-    file, by a prefix sum over one row a block, plus those before it in its own."""
+    A document's position is the number of separators before it: those of the stream's earlier blocks, by
+    a prefix sum over one row a block, plus those before it in its own."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    pieces = files.select("path", "content").mapInArrow(_scan(end_id, vocabulary_size, block_tokens), _PIECES)
-    blocks = pieces.filter("piece = 0").select("file", "block", "separators")
-    before = F.sum("separators").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = blocks.select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))
-    placed = pieces.join(offsets, ["file", "block"]).withColumn("position", F.col("before") + F.col("piece"))
-    number = F.when(F.size("tags") == TAG_DIGITS, F.aggregate("tags", F.lit(0).cast("long"), lambda x, t: x * TAG_BASE + t))
-    inner = placed.filter("whole").select("file", "position", "n_tokens", number.alias("doc_id"))
-    edge = placed.filter("not whole").groupBy("file", "position").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("block", "tags"))).alias("parts"), F.max(F.col("piece") < F.col("separators")).alias("ended"))
-    edge = edge.filter("ended or n_tokens > 0").withColumn("tags", F.flatten("parts.tags"))
-    return inner.unionByName(edge.select("file", "position", "n_tokens", number.alias("doc_id")))
+    pieces = materialize(files.select("path", "content").mapInArrow(_scan(end_id, vocabulary_size, block_tokens), _PIECES), "token-pieces")
+    blocks = pieces.filter("piece = 0").select("stream", "file", "block", "separators")
+    before = F.sum("separators").over(Window.partitionBy("stream").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocks.select("stream", "file", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = pieces.join(offsets, ["stream", "file", "block"]).withColumn("position", F.col("before") + F.col("piece"))
+    number = F.when(F.size("tags") == TAG_DIGITS, F.aggregate("tags", F.lit(0).cast("long"), lambda x, t: F.shiftleft(x, TAG_BITS).bitwiseOR(t.cast("long"))))
+    inner = placed.filter("whole").select("stream", "position", "n_tokens", number.alias("doc_id"))
+    edge = placed.filter("not whole").groupBy("stream", "position").agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("file", "block", "tags"))).alias("parts"), F.max(F.col("piece") < F.col("separators")).alias("ended"))
+    edge = edge.withColumn("tags", F.flatten("parts.tags")).filter("ended or n_tokens > 0 or size(tags) > 0")
+    return inner.unionByName(edge.select("stream", "position", "n_tokens", number.alias("doc_id")))

@@ -1,6 +1,7 @@
 """Chat, licenses, token files, BPE, WARC and top-k against brute force on small fixtures."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -186,13 +187,24 @@ def test_bpe_round_trip(spark):
 
 
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1 << 20])
-def test_token_counts_are_stitched(spark, tmp_path, library, block):
-    texts = ["one two", "", None, "x" * 30, "<|endoftext|> in text", "last one here"] + ["doc %d of many" % i for i in range(20)]
-    df = spark.createDataFrame([(i * 3001, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
-    path = tokenfiles.write(df, f"file://{tmp_path}/t", PATH, 50256, 50257, documents_per_file=6)
-    got = {r.doc_id: r.n_tokens for r in tokenfiles.count(spark, path, 50256, 50257, block_tokens=block).collect()}
-    want = {i * 3001: len([x for x in library.encode(t or "", add_special_tokens=False).ids if x != 50256]) for i, t in enumerate(texts)}
-    assert got == want
+@pytest.mark.parametrize("chunk", [10, 200, 1 << 22])
+def test_token_counts_are_stitched(spark, tmp_path, library, block, chunk):
+    texts = ["one two", "", None, "x" * 30, "<|endoftext|> in <|endoftext|>text", "last one here", "a long text " * 300] + ["doc %d of many" % i for i in range(20)]
+    ids = [None, -1, -(1 << 63), (1 << 63) - 1, 1 << 53, 0, 0, None]
+    rows = [(ids[i] if i < len(ids) else i * 3001, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(*r, 7, "f", 1) for r in rows], "doc_id long, text string, n_tokens long, file string, position long").coalesce(2)
+    path = tokenfiles.write(df, f"file://{tmp_path}/t", PATH, 50256, 50257, chunk_bytes=chunk, chunks_per_file=3)
+    got = sorted((str(r.doc_id), r.n_tokens) for r in tokenfiles.count(spark, path, 50256, 50257, block_tokens=block).collect())
+    assert got == sorted((str(i), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    assert tokenfiles.count(spark, tokenfiles.write(df.limit(0), f"file://{tmp_path}/e", PATH, 50256, 50257), 50256, 50257).count() == 0
+
+
+def test_token_files_are_bounded_in_bytes(spark, tmp_path):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(i, " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(n))) for i, n in enumerate([20_000, 3, 9_000, 0, 40])], "doc_id long, text string").coalesce(1)
+    path = tokenfiles.write(df, f"file://{tmp_path}/t", PATH, 50256, 50257, chunk_bytes=4096, chunks_per_file=2)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "t").glob("*.gz")]
+    assert len(sizes) > 10 and max(sizes) <= 4 * 4096
 
 
 def test_token_counts_equal_the_encoder(spark, data, tmp_path):
