@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.scratch import materialize
+
 LOW = 2  # bits dropped from values and queries in the slices
 BEST = "query_id long, vec_id long, score long"
 
@@ -172,8 +174,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products among
     the vectors of its dimension, but for those with its own id; ties go to the smaller id.
 
-    Candidates are dealt over ceil(n / rows_per_block) blocks by a hash of their id and content, so
-    that equal vectors spread; every query block meets every candidate block (a stated query set
+    Candidates are written once with a number that deals them over ceil(n / rows_per_block) blocks, whatever
+    their ids and contents, so that equal ones spread and a task that is run again reads the same blocks;
+    every block has a task of its own, which the whole query set goes through; every query block meets every candidate block (a stated query set
     against all rows), and only k rows of each meeting are shuffled on. Vectors that are null, or
     hold null or non-finite components, take no part, neither do null ids; of repeated rows each
     counts, but of repeated query ids the least vector is asked; an empty table gives no rows. Other columns are ignored."""
@@ -181,12 +184,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
     def clean(df: DataFrame) -> DataFrame:
         return df.select(F.col(id_column).cast("long").alias("vec_id"), quantise(column, scale).alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
 
-    rows, asked = clean(vectors), clean(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    dealt = clean(vectors).withColumn("deal", F.xxhash64("vec_id", F.spark_partition_id(), F.monotonically_increasing_id()))
+    rows, asked = materialize(dealt, "topk-rows"), clean(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_blocks = max(1, -(-rows.count() // rows_per_block))
-    block = F.pmod(F.xxhash64("vec_id", F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")
-    dealt = rows.select(block.alias("block"), F.size("v").alias("dim"), F.lit(0).alias("kind"), "vec_id", "v")
+    held = rows.select(F.pmod("deal", F.lit(n_blocks)).cast("int").alias("block"), F.size("v").alias("dim"), F.lit(0).alias("kind"), "vec_id", "v")
     every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.size("v").alias("dim"), F.lit(1).alias("kind"), "vec_id", "v")
-    met = dealt.unionByName(every).repartition("block").sortWithinPartitions("block", "dim", "kind", "vec_id")
+    met = held.unionByName(every).repartitionById(n_blocks, "block").sortWithinPartitions("block", "dim", "kind", "vec_id")
     best = met.mapInArrow(_search(k), BEST)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
