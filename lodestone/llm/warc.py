@@ -3,9 +3,9 @@
 Headers (no payloads) are shuffled by payload digest; the record with the smallest page id of each
 digest is the response, the others revisit it. The decisions that are not "response" form a table
 of their own, which is joined back to the pages as they are written, and the archives get fresh
-headers. Records are built by Spark expressions and written by Spark's text sink: every record ends
-in a line feed, which the sink puts there, so the files are WARC/1.1 byte for byte (gzip around the
-whole file).
+headers. Records are built by Spark expressions, gathered to chunks and written by Spark's text sink:
+every record ends in a line feed, and the sink puts that of a chunk's last one there, so the files are
+WARC/1.1 byte for byte (gzip around the whole file) and of a bounded number of bytes.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.textbytes import blocks, text_buffer
 from lodestone.scratch import materialize, scratch_path
 
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload_ok boolean"
@@ -80,11 +81,23 @@ def records(pages: DataFrame, revisits: DataFrame, date: str = "2024-01-01T00:00
     return both.select(F.concat(head, block, F.lit("\r\n\r")).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, pages_per_file: int = 5000) -> str:
+def _gather(chunk_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = text_buffer(batch.column(0))
+            for a, b in blocks(offs, chunk_bytes):
+                rows = (buf[i:j].tobytes() for i, j in zip(offs[a:b].tolist(), offs[a + 1 : b + 1].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(rows)], pa.binary())], ["value"])
+
+    return run
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, chunk_bytes: int = 4 << 20, chunks_per_file: int = 16) -> str:
     """Write deduplicated archives of `pages` (page_id, url, html; other columns are ignored) under
-    `path` and return it. Null html is an empty payload, null url an empty target."""
-    out = records(pages, resolve(pages, min_bytes))
-    out.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", pages_per_file).text(path)
+    `path` and return it. Null html is an empty payload, null url an empty target. A file holds at most
+    `chunks_per_file` chunks, and a chunk about `chunk_bytes` bytes, or one record that is larger."""
+    chunks = records(pages, resolve(pages, min_bytes)).mapInArrow(_gather(chunk_bytes), "value binary")
+    chunks.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", chunks_per_file).text(path)
     return path
 
 

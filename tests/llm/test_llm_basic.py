@@ -42,6 +42,37 @@ def test_roles_are_reversible(role):
     assert b"\n" not in e and b"<|" not in e and chat.unescape_role(e) == role
 
 
+def plain_turn(role, text):
+    """One formatted turn, the plain way."""
+    guard = lambda x: re.sub(r"<(\\*\|)", r"<\\\1", x)
+    return "<|im_start|>" + guard(role.replace("\\", "\\\\").replace("\n", "\\n")) + "\n" + guard(text) + "<|im_end|>\n"
+
+
+def test_formatted_text_equals_plain_formatting(spark):
+    rnd = random.Random(6)
+    rows = [(c, t, rnd.choice(["user", "assistant", "a<|b"]), rnd.choice(HOSTILE[:-2]) or "") for c in (1, 2) for t in range(40)]
+    got = {}
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = chat.format_chat(df).orderBy("conv_id", "part").collect()
+    for r in parts:
+        got[r.conv_id] = got.get(r.conv_id, "") + r.formatted
+    assert got == {c: "".join(plain_turn(r, x) for i, _, r, x in sorted(rows, key=lambda r: r[:2]) if i == c) for c in (1, 2)}
+    for r in parts:
+        assert all(r.formatted[x.start - 10 : x.start] == "assistant\n" and r.formatted[x.start + x.length :].startswith("<|im_end|>") for x in r.loss)
+
+
+def test_a_conversation_is_spread_over_tasks(spark):
+    df = spark.createDataFrame([(7, t, "assistant", f"t{t} ") for t in range(4000)], "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = chat.format_chat(df)
+        assert len({r.part >> 32 for r in parts.select("part").collect()}) > 3
+        g = chat.read_back(parts).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert g.loss_sha256 == hashlib.sha256("".join(f"t{t} " for t in range(4000)).encode()).hexdigest()
+
+
 def test_chat_digests(spark):
     rnd = random.Random(3)
     rows = [(c, t, rnd.choice(["user", "assistant", "system", None, "a\nb"]), rnd.choice(HOSTILE)) for c in (1, 2, None) for t in range(9)]
@@ -55,6 +86,7 @@ def test_chat_digests(spark):
         g = got[c]
         assert g.n_turns == len(mine) and g.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
         assert g.loss_chars == len(loss) and g.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert g.formatted_chars == sum(len(plain_turn(r[2] or "", r[3] or "")) for r in mine)
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
 
 
@@ -235,6 +267,16 @@ def test_warc_revisits(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_are_bounded_in_bytes(spark, tmp_path):
+    rnd = random.Random(3)
+    rows = [(i, "u", "".join(rnd.choices("abcdefgh", k=1_000_000 if i % 10 == 0 else 2000))) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(df, f"file://{tmp_path}/w", chunk_bytes=100_000, chunks_per_file=2)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").glob("*.gz")]
+    assert len(sizes) >= 4 and max(sizes) < 2_300_000
+    assert {(r.page_id, r.payload_bytes, r.payload_ok) for r in warc.read_archives(spark, path).collect()} == {(i, len(h), True) for i, _, h in rows}
+
+
 def test_small_payloads_can_stay_whole(spark):
     df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(["a", "a", "long enough", "long enough"])], "page_id long, url string, html string")
     got = {r.page_id: r.record_type for r in warc.round_trip(df, min_bytes=5).collect()}
@@ -278,3 +320,12 @@ def test_top_k_over_blocks(spark):
         want = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:5]
         assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(want)]
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_repeated_rows_each_count(spark):
+    rows = [(1, [1.0, 0.5])] * 3 + [(50, [1.0, 1.0]), (50, [0.0, 2.0]), (2, [0.5, 0.5])] + [(9, [0.25, 0.0])] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.filter("vec_id = 50"), 5, rows_per_block=4).collect())
+    q = np.array([0, 512])  # of two vectors under one id the least is asked
+    want = sorted((-int(q @ np.floor(256 * np.array(v)).astype(int)), i) for i, v in rows if i != 50)[:5]
+    assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
