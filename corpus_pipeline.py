@@ -1,8 +1,7 @@
 """A corpus pipeline: language ID, toxicity, near-duplicates, benchmark decontamination, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the
-last return the columns of `documents`. Rows with null ids stay through the filters, unless their
-text is rejected.
+last return the columns of `documents`. Every stage decides rows, whatever their ids, nulls included.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, jaccard, langid, toxicity
 from lodestone.llm.queries import vocabulary_path
-from lodestone.scratch import materialize
+from lodestone.scratch import free, materialize
 from lodestone.sources import table
 
 
@@ -61,7 +60,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table `documents`, each written to the shared folder and reread."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{name}")
+            if i:
+                free(before)
     return docs
