@@ -262,6 +262,35 @@ def test_windows_of_one_repeated_word_are_joined():
     assert decontaminate._windows(h, np.array([0, 20_000, 50_000]), items) == [(0, 0, 0, 20_000), (1, 0, 20_000, 50_000)]
 
 
+def test_planted_edits_up_to_the_bound_reach_the_target_recall():
+    """1,800 plants against the exact edit distance, beside the kinds of `calibrate`: common words too."""
+    rnd = random.Random(21)
+    vocab = [f"y{i}" for i in range(300)]
+    found = wanted = 0
+    for n in (5, 7, 10, 15, 24, 40, 60, 90, 150):
+        rows, texts = [], []
+        for k in range(200):
+            item = rnd.choices(vocab, k=n)
+            p = list(item)
+            for at in sorted(rnd.sample(range(n), decontaminate.edit_bound(n, 0.8)), reverse=True):
+                p[at : at + 1] = rnd.choice([[], [rnd.choice(vocab)], [p[at], rnd.choice(vocab)]])
+            rows.append((k, " ".join(item)))
+            texts.append(" ".join(rnd.choices(vocab, k=30) + p + rnd.choices(vocab, k=30)))
+        items = decontaminate.Items(rows, 0.8)
+        best = decontaminate._best(pa.array(texts, pa.string()), items)
+        found += sum((k, k) in best for k in range(200))
+        wanted += 200
+    assert found >= 0.998 * wanted
+
+
+def test_rows_with_null_or_shared_ids_are_decided_by_their_texts(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    rows = spark.createDataFrame([(None, f"before {item} after", 1), (None, "something else", 2), (3, item, 3), (3, "no part of it", 4), (4, None, 5)], "doc_id long, text string, n int")
+    bench = spark.createDataFrame([(1, item), (2, "another item that is not there at all")], "item_id long, text string")
+    for pass_bytes in (8_000_000, 40):
+        assert sorted(r.n for r in decontaminate.clean(rows, bench, pass_bytes=pass_bytes).collect()) == [2, 4, 5]
+
+
 def test_no_items_or_documents(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.matches(docs(spark, ["a b c d e f", None]), bench).count() == 0
