@@ -14,7 +14,6 @@ and fitting the SVM to those against all units of clean texts.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -222,8 +221,12 @@ def gapped(text: bytes, rng: np.random.Generator) -> bytes:
     return bytes(out)[:WIDTH]
 
 
-def fit(texts: list[str], toxic: list[int], landmarks: int = 96, rounds: int = 3, negatives: int = 12000, seed: int = 5) -> Model:
-    """Fit on a bounded sample of labelled texts. One class alone gives a model that flags nothing."""
+def fit(texts: list[str], toxic: list[int], landmarks: int = 96, rounds: int = 3, negatives: int = 12000, positives: int = 1500, seed: int = 5) -> Model:
+    """Fit on a bounded sample of labelled texts. One class alone gives a model that flags nothing.
+
+    The SVM is given at most `positives` units of toxic texts (those of most texts first) and about
+    `negatives` of clean ones (a third each: the most frequent, random ones, and those that the round before
+    put nearest to the toxic side). Byte 4-grams only pick the units of the first round."""
     if not 0 < sum(toxic) < len(toxic):
         return Model()
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -279,8 +282,8 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 96, rounds: int = 3
         if not positive:
             return Model()
         pos = sorted(positive)
-        if len(pos) > 1500:
-            pos = sorted(sorted(pos, key=lambda u: (-df1[u], u))[:1500])
+        if len(pos) > positives:
+            pos = sorted(sorted(pos, key=lambda u: (-df1[u], u))[:positives])
         p_text = [text[u] for u in pos]
         p_weight = np.sqrt(df1[pos])
         spoiled = [gapped(t, rng) for t in p_text for _ in range(max(1, 600 // len(p_text))) if 4 <= len(t) < WIDTH]
@@ -332,9 +335,10 @@ def threshold(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(lo[i] + 0.4 * (hi[i] - lo[i])), 4.0
 
 
-def learn(documents: DataFrame, labels: DataFrame, max_texts: int = 2000) -> Model:
+def learn(documents: DataFrame, labels: DataFrame, max_texts: int = 2000, landmarks: int = 96, negatives: int = 12000, positives: int = 1500) -> Model:
     """Fit on at most about `max_texts` labelled texts that are not held out, by a hash of the id; half
-    of them toxic if there are so many. Null labels, ids and texts are left out."""
+    of them toxic if there are so many; `landmarks`, `negatives` and `positives` bound what `fit` draws from
+    them. Null labels, ids and texts are left out; an id with both labels is toxic."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -348,16 +352,19 @@ def learn(documents: DataFrame, labels: DataFrame, max_texts: int = 2000) -> Mod
     wanted = F.broadcast(spark.createDataFrame(sorted(ids.items()), "doc_id long, toxic int"))  # at most 2 * max_texts rows
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     sample = docs.join(wanted, "doc_id").select("doc_id", "text", "toxic").repartition(1)
-    r = sample.mapInArrow(_fit, "landmarks array<binary>, beta array<double>, bias double, slope double, shift double").first()
+    r = sample.mapInArrow(_fit(landmarks, negatives, positives), "landmarks array<binary>, beta array<double>, bias double, slope double, shift double").first()
     return Model([bytes(x) for x in r["landmarks"]], np.array(r["beta"]), r["bias"], r["slope"], r["shift"])
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fit on the bounded sample in one task, so that the driver holds neither texts nor features."""
-    rows = sorted({row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)})
-    model = fit([t for _, t, _ in rows], [y for *_, y in rows])
-    names = ["landmarks", "beta", "bias", "slope", "shift"]
-    yield pa.RecordBatch.from_arrays([pa.array([model.landmarks], pa.list_(pa.binary())), pa.array([np.asarray(model.beta, float).tolist()], pa.list_(pa.float64())), *(pa.array([float(x)]) for x in (model.bias, model.slope, model.shift))], names)
+def _fit(landmarks: int, negatives: int, positives: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fit on the bounded sample in one task, so that the driver holds neither texts nor features."""
+        rows = sorted({row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)})
+        model = fit([t for _, t, _ in rows], [y for *_, y in rows], landmarks, negatives=negatives, positives=positives)
+        names = ["landmarks", "beta", "bias", "slope", "shift"]
+        yield pa.RecordBatch.from_arrays([pa.array([model.landmarks], pa.list_(pa.binary())), pa.array([np.asarray(model.beta, float).tolist()], pa.list_(pa.float64())), *(pa.array([float(x)]) for x in (model.bias, model.slope, model.shift))], names)
+
+    return run
 
 
 def _score(model: Model):
@@ -411,7 +418,3 @@ def decide(documents: DataFrame, model: Model) -> DataFrame:
     kind = documents.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
     return documents.select(F.struct("*").alias("row"), "text").mapInArrow(_score(model), SCORED.replace("doc_id long", f"row {kind}"))
 
-
-def sentences(text: str) -> list[str]:
-    """The sentences of a text, for reports."""
-    return [s for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s.strip()]

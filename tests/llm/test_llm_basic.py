@@ -140,6 +140,43 @@ def test_license_templates_are_found_with_gaps(spark):
     assert got[0].score == 1.0 and got[1].spans[0].first_word == 1
 
 
+def plain_coverage(words, template, min_match, max_gap):
+    """The best share of `template` that rising matches of `min_match` words or more cover: a plain dynamic
+    programme over all common runs (place, template place, length), at most `max_gap` words apart."""
+    runs, n = {}, {}
+    for i, w in enumerate(words):
+        for j, t in enumerate(template):
+            if w == t:
+                n[i, j] = n.get((i - 1, j - 1), 0) + 1
+                if n[i, j] >= min_match:
+                    runs[i, j] = n[i, j]
+    best = {}
+    for (i, j), k in sorted(runs.items()):
+        best[i, j] = max([k, *(c + min(k, j - y, i - x) for (x, y), c in best.items() if x < i and y < j and i - k - x <= max_gap and j - k - y <= max_gap)])
+    return max(best.values(), default=0) / len(template)
+
+
+def test_template_labels_and_scores_match_a_plain_programme(spark):
+    rnd = random.Random(14)
+    templates = {k: " ".join(f"{k}{i}" for i in range(30)) for k in ("p", "q")}
+    texts = []
+    for _ in range(150):
+        k = rnd.choice("pq")
+        w, at = templates[k].split(), 0
+        w = w[rnd.randint(0, 8) : 30 - rnd.randint(0, 8)]
+        for _ in range(rnd.randint(0, 5)):
+            at = rnd.randrange(len(w) + 1)
+            w[at : at + rnd.randint(0, 2)] = ["odd"] * rnd.randint(0, 4)
+        texts.append(" ".join(["x"] * rnd.randint(0, 4) + w + ["mit license"] * rnd.randint(0, 1)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan(df, templates, licenses.PHRASES).collect():
+        w = texts[r.doc_id].split()
+        covered = {k: plain_coverage(w, t.split(), 3, 8) for k, t in templates.items()}
+        base = {"mit"} if "mit license" in texts[r.doc_id] else set()
+        assert set(filter(None, r.labels.split(","))) == base | {k for k, c in covered.items() if c >= 0.7}
+        assert r.score == pytest.approx(1.0 if base else max([0.0, *(c for c in covered.values() if c >= 0.7)]))
+
+
 def test_matching_statistics_match_brute_force():
     auto = licenses.Automaton({"t": "a b c a b d", "u": "b c a"}, {"a b": "p"})
     rnd = random.Random(1)
