@@ -13,11 +13,6 @@ def h01(t: Tables) -> DataFrame:
     return t.v_evidence.select("doc_id", "line_no", T.normalise("normalized_text").alias("s"))
 
 
-@query("h02_tokenise", "SELECT doc_id, term, tf FROM v_terms")
-def h02(t: Tables) -> DataFrame:
-    return t.v_terms
-
-
 @query("h03_char_grams", "SELECT DISTINCT p_type, substr(p_type, CAST(i AS INTEGER), 3) AS gram FROM (SELECT p_type, unnest(generate_series(1, length(p_type) - 2)) AS i FROM part)")
 def h03(t: Tables) -> DataFrame:
     return t.part.select("p_type", F.explode(T.grams("p_type", 3)).alias("gram")).distinct()
@@ -39,12 +34,6 @@ def h07(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(capped).cast("long").alias("n")).filter("n > 0")
 
 
-@query("h09_particle_removal", "SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x NOT IN ('red', 'small')), ' ') AS s FROM part")
-def h09(t: Tables) -> DataFrame:
-    kept = F.filter(F.split("p_name", " "), lambda x: ~x.isin("red", "small"))
-    return t.part.select("p_partkey", F.array_join(kept, " ").alias("s"))
-
-
 @query("h10_compact", "SELECT p_partkey, regexp_replace(translate(lower(p_name || ' — ' || p_brand), '—–', '--'), '[\\s_/]+', '', 'g') AS s FROM part")
 def h10(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.compact(F.concat("p_name", F.lit(" — "), "p_brand")).alias("s"))
@@ -55,20 +44,6 @@ def h13(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.strip_marks(F.concat("p_brand", "p_type")).alias("s"))
 
 
-_CODES = [("GBT 18487.1—2015",), ("gbt 1 – 2", ), ("ISO 14229-1", )]
-
-
-@query("h14_standard_code", "SELECT code, replace(upper(regexp_replace(translate(code, '—–', '--'), '\\s+', '', 'g')), 'GBT', 'GB/T') AS s FROM (VALUES ('GBT 18487.1—2015'), ('gbt 1 – 2'), ('ISO 14229-1')) v(code)")
-def h14(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(_CODES, "code string").select("code", T.standard_code("code").alias("s"))
-
-
-@query("h15_canonical_name", "SELECT * FROM (VALUES ('ISO 14229-1—2013', 'ISO 14229-1'), ('ISO 14229-7:2015(E)', 'ISO 14229-7'), ('GB/T 18487.1-2015', 'GB/T 18487.1')) v(name, s)")
-def h15(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("ISO 14229-1—2013",), ("ISO 14229-7:2015(E)",), ("GB/T 18487.1-2015",)], "name string")
-    return rows.select("name", T.canonical_name("name").alias("s"))
-
-
 @query("h16_slug", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || substr(md5(p_name || ' / ' || p_brand), 1, 8) AS s FROM part")
 def h16(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.slug_with_hash(F.concat("p_name", F.lit(" / "), "p_brand")).alias("s"))
@@ -79,30 +54,11 @@ def h17(t: Tables) -> DataFrame:
     return t.events.select("event_id", T.stable_id("FACT-", "event_type", "user_id").alias("id"))
 
 
-@query("h18_text_signature", "SELECT lang, sha256(string_agg(md5(text), ',' ORDER BY md5(text))) AS signature FROM documents GROUP BY 1")
-def h18(t: Tables) -> DataFrame:
-    prints = F.array_sort(F.collect_list(F.md5("text")))  # 32 characters a text of a language
-    return t.documents.groupBy("lang").agg(F.sha2(F.array_join(prints, ","), 256).alias("signature"))
-
-
-@query("h19_tag_strip", "SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g')) AS n FROM pages")
-def h19(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.length(F.regexp_replace("html", "<[^>]*>", "")).cast("long").alias("n"))
-
-
 @query("h20_first_sentence", "SELECT doc_id, trim(regexp_split_to_array(text, '[.!?]')[1]) AS s FROM documents")
 def h20(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.first_sentence("text").alias("s"))
 
 
-@query("h21_suffix_strip", "SELECT p_partkey, regexp_replace(regexp_replace(p_type || 'SS', 'S$', ''), 'S$', '') AS s FROM part")
-def h21(t: Tables) -> DataFrame:
-    s = F.concat("p_type", F.lit("SS"))
-    for _ in range(2):
-        s = F.regexp_replace(s, "S$", "")
-    return t.part.select("p_partkey", s.alias("s"))
-
-
 _RULES = [("(?i)license", "license"), ("(?i)password", "secret"), ("@", "contact"), (r"\d{3}", "number")]
 
 
@@ -111,43 +67,6 @@ def h22(t: Tables) -> DataFrame:
     return t.v_evidence.select("doc_id", "line_no", T.classify("normalized_text", _RULES, "text").alias("kind"))
 
 
-@query("h24_dictionary_anchors", "SELECT doc_id, array_to_string(list_filter(['apache', 'license', 'mail', 'version'], lambda x: contains(lower(text), x)), ',') AS anchors FROM documents")
-def h24(t: Tables) -> DataFrame:
-    words = F.array(*map(F.lit, ("apache", "license", "mail", "version")))
-    low = t.documents.select("doc_id", F.lower("text").alias("low"))
-    return low.select("doc_id", F.array_join(F.filter(words, lambda x: F.contains("low", x)), ",").alias("anchors"))
-
-
-@query("h28_code_extraction", "SELECT DISTINCT doc_id, code FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{3}-[0-9]{4}')) AS code FROM documents)")
-def h28(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{3}-[0-9]{4}"), F.lit(0))).alias("code")).distinct()
-
-
-@query(
-    "h30_range_values",
-    "SELECT raw, CAST(nominal AS DOUBLE) AS nominal, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, unit FROM (VALUES ('50 ms', 50, 50, 50, 'ms'), ('50 ± 10 ms', 50, 40, 60, 'ms'), ('50+/-10 ms', 50, 40, 60, 'ms'), ('10..20 Hz', 15, 10, 20, 'Hz'), ('12.5 V', 12.5, 12.5, 12.5, 'V'), ('100', 100, 100, 100, NULL), ('junk', NULL, NULL, NULL, NULL)) v(raw, nominal, low, high, unit)",
-)
-def h30(t: Tables) -> DataFrame:
-    raw = [("50 ms",), ("50 ± 10 ms",), ("50+/-10 ms",), ("10..20 Hz",), ("12.5 V",), ("100",), ("junk",)]
-    return t.spark.createDataFrame(raw, "raw string").select("raw", T.range_value("raw").alias("v")).select("raw", "v.*")
-
-
-@query("h33_section_levels", "SELECT url, len(string_split(regexp_replace(url, '^https?://', ''), '/')) AS level FROM pages")
-def h33(t: Tables) -> DataFrame:
-    return t.pages.select("url", F.size(F.split(F.regexp_replace("url", "^https?://", ""), "/")).cast("long").alias("level"))
-
-
-@query("h34_date_extraction", "SELECT o_orderkey, CAST(strptime('on ' || strftime(o_orderdate, '%Y-%m-%d'), 'on %Y-%m-%d') AS DATE) AS d FROM orders")
-def h34(t: Tables) -> DataFrame:
-    said = F.concat(F.lit("on "), F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return t.orders.select("o_orderkey", F.try_to_date(F.regexp_extract(said, r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd").alias("d"))
-
-
-@query("h35_age_days", "SELECT event_id, date_diff('day', CAST(ts AS DATE), DATE '2024-02-01') AS age FROM events")
-def h35(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.date_diff(F.lit("2024-02-01").cast("date"), F.col("ts").cast("date")).cast("long").alias("age"))
-
-
 @query("h36_clamped_ratio", "SELECT s_suppkey, round(greatest(0, least(1, s_acctbal / 10000)), 4) AS share FROM supplier")
 def h36(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", F.round(T.clamp(F.col("s_acctbal") / 10000), 4).alias("share"))
@@ -164,32 +83,6 @@ def h39(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(T.clamp((F.col("l_discount") + F.col("l_tax") * 10) / 2, 0.1, 1.0), 3).alias("c"))
 
 
-@query("h40_array_ops", "SELECT p_partkey, array_to_string(list_distinct_kept, ',') AS firsts FROM (SELECT p_partkey, list_slice(string_split(p_name, ' '), 1, 2) AS list_distinct_kept FROM part)")
-def h40(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.array_join(F.slice(F.split("p_name", " "), 1, 2), ",").alias("firsts"))
-
-
-@query("h42_json_extract", "SELECT event_id, k FROM v_props")
-def h42(t: Tables) -> DataFrame:
-    return t.v_props
-
-
 @query("h43_json_build", "SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS doc FROM nation")
 def h43(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", T.sorted_json("n_regionkey", "n_name").alias("doc"))
-
-
-@query("h44_json_scan", "SELECT event_id, regexp_extract('log ' || props || ' end', '\\{.*?\\}') AS found FROM events")
-def h44(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.regexp_extract(F.concat(F.lit("log "), "props", F.lit(" end")), r"\{.*?\}", 0).alias("found"))
-
-
-@query("h45_table_cells", "SELECT doc_id, line_no, len(string_split(trim(normalized_text, '| '), '|')) AS cells FROM v_evidence WHERE contains(normalized_text, '|')")
-def h45(t: Tables) -> DataFrame:
-    rows = t.v_evidence.filter(F.contains("normalized_text", F.lit("|")))
-    return rows.select("doc_id", "line_no", F.size(F.split(F.btrim("normalized_text", F.lit("| ")), r"\|")).cast("long").alias("cells"))
-
-
-@query("h47_edit_distance", "SELECT p_partkey, levenshtein(p_name, 'small ring') AS d FROM part")
-def h47(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.levenshtein("p_name", F.lit("small ring")).cast("long").alias("d"))

@@ -102,58 +102,11 @@ def h06(t: Tables) -> DataFrame:
     return t.part.select("p_type").distinct().select("p_type", F.explode(F.array_distinct(T.grams("p_type", 2))).alias("g"))
 
 
-@query("h08_overlap_steps", "WITH o AS (SELECT p_partkey, len(list_intersect(string_split(p_name, ' '), ['red', 'ring', 'widget'])) / 3 AS r FROM part) SELECT p_partkey, (CASE WHEN r >= 0.9 THEN 0.9 WHEN r >= 0.6 THEN 0.7 WHEN r >= 0.3 THEN 0.5 ELSE 0.1 END)::DOUBLE AS boost FROM o")
-def h08(t: Tables) -> DataFrame:
-    r = F.size(F.array_intersect(F.split("p_name", " "), F.array(F.lit("red"), F.lit("ring"), F.lit("widget")))) / 3
-    return t.part.select("p_partkey", F.when(r >= 0.9, 0.9).when(r >= 0.6, 0.7).when(r >= 0.3, 0.5).otherwise(0.1).alias("boost"))
-
-
-@query("h11_blob_normaliser", "SELECT p_partkey, replace(replace(regexp_replace(lower(p_name || '\\' || p_brand), '\\s+', '', 'g'), '\\', ''), '#', '') AS s FROM part")
-def h11(t: Tables) -> DataFrame:
-    s = F.regexp_replace(F.lower(F.concat("p_name", F.lit("\\"), "p_brand")), r"\s+", "")
-    return t.part.select("p_partkey", F.translate(s, "\\#", "").alias("s"))
-
-
 @query("h23_term_roles", "SELECT doc_id, CASE WHEN contains(text, '\"') THEN 'must' WHEN contains(text, ' not ') THEN 'negative' ELSE 'should' END AS role FROM documents")
 def h23(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.classify("text", [('"', "must"), (" not ", "negative")], "should").alias("role"))
 
 
-@query("h25_synonyms", "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') AND contains(p_name, 'red') THEN 'band,loop,crimson' WHEN contains(p_name, 'ring') THEN 'band,loop' WHEN contains(p_name, 'red') THEN 'crimson' ELSE '' END AS s FROM part")
-def h25(t: Tables) -> DataFrame:
-    words = F.array_compact(F.array(F.when(F.contains("p_name", F.lit("ring")), "band,loop"), F.when(F.contains("p_name", F.lit("red")), "crimson")))
-    return t.part.select("p_partkey", F.array_join(words, ",").alias("s"))
-
-
-@query("h26_acronyms", "SELECT doc_id, regexp_extract(text, '(?:^|[^A-Za-z])([A-Z]{2,6})(?:[^A-Za-z]|$)', 1) AS acronym FROM documents WHERE regexp_matches(text, '(?:^|[^A-Za-z])([A-Z]{2,6})(?:[^A-Za-z]|$)')")
-def h26(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.regexp_extract("text", "(?:^|[^A-Za-z])([A-Z]{2,6})(?:[^A-Za-z]|$)", 1).alias("acronym")).filter("acronym <> ''")
-
-
-@query("h27_boundary_match", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9])MIT([^A-Za-z0-9]|$)')")
-def h27(t: Tables) -> DataFrame:
-    return t.documents.filter(F.col("text").rlike(r"(?<![A-Za-z0-9])MIT(?![A-Za-z0-9])")).select("doc_id")
-
-
-@query("h29_constraints", "SELECT raw, op, CAST(v AS DOUBLE) AS v, unit FROM (VALUES ('<= 5 V', 'le', 5, 'V'), ('> 12.5 ms', 'gt', 12.5, 'ms'), ('not less than 3 A', 'ge', 3, 'A')) x(raw, op, v, unit)")
-def h29(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("<= 5 V",), ("> 12.5 ms",), ("not less than 3 A",)], "raw string")
-    op = T.classify("raw", [("<=|not more than", "le"), (">=|not less than", "ge"), ("<", "lt"), (">", "gt")], "eq")
-    number = r"(-?[0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]+)$"
-    return rows.select("raw", op.alias("op"), F.regexp_extract("raw", number, 1).cast("double").alias("v"), F.regexp_extract("raw", number, 2).alias("unit"))
-
-
-@query("h31_field_extraction", "SELECT event_id, nullif(regexp_extract(props, '\"k\": ([0-9]+)', 1), '') AS k FROM events")
-def h31(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.nullif(F.regexp_extract("props", '"k": ([0-9]+)', 1), F.lit("")).alias("k"))
-
-
-@query("h32_unit_aliases", "SELECT u, CASE u WHEN 'millivolt' THEN 'mV' WHEN 'Ω' THEN 'ohm' ELSE u END AS unit FROM (VALUES ('millivolt'), ('Ω'), ('A')) v(u)")
-def h32(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("millivolt",), ("Ω",), ("A",)], "u string")
-    return rows.select("u", F.coalesce(T.literal_map({"millivolt": "mV", "Ω": "ohm"})[F.col("u")], F.col("u")).alias("unit"))
-
-
 @query("h38_view_score", "SELECT doc_id, round(0.5 * least(n_chars / 1000, 1) + 0.3 * CASE WHEN lang = 'en' THEN 1 ELSE 0 END - 0.2 * CASE WHEN contains(text, '!!') THEN 1 ELSE 0 END, 6) AS score FROM documents")
 def h38(t: Tables) -> DataFrame:
     parts = t.documents.select("doc_id", F.least(F.col("n_chars") / 1000, F.lit(1.0)).alias("a"), F.when(F.col("lang") == "en", 1.0).otherwise(0.0).alias("b"), F.contains("text", F.lit("!!")).cast("double").alias("c"))
@@ -166,11 +119,6 @@ def h41(t: Tables) -> DataFrame:
     return t.v_terms.filter(F.col("term").isin("the", "license", "of")).groupBy("term").agg(F.sum(F.col("tf") * w).alias("w"))
 
 
-@query("h46_folded_equality", "SELECT count(*) AS n FROM part WHERE lower(trim(p_type)) = 'economy'")
-def h46(t: Tables) -> DataFrame:
-    return t.part.filter(T.normalise("p_type") == "economy").agg(F.count("*").alias("n"))
-
-
 @query("i03_match_boost", "SELECT doc_id, (CASE WHEN lang = 'en' THEN 2.0 WHEN lang = 'de' THEN 1.5 ELSE 1.0 END)::DOUBLE AS score FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9./-])license([^a-z0-9./-]|$)')")
 def i03(t: Tables) -> DataFrame:
     hits = t.v_terms.filter("term = 'license'").select("doc_id")
@@ -464,4 +412,3 @@ def q02(t: Tables) -> DataFrame:
     lines = t.v_evidence.groupBy("doc_id").agg(F.count("*").alias("lines"))
     out = t.documents.select("doc_id", "lang", "n_chars").join(lines, "doc_id", "left").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
     return out.select("doc_id", "lang", "n_chars", F.coalesce("lines", F.lit(0)).alias("lines"), "quality")
-
