@@ -2,31 +2,69 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import rules as R
+
+
+# Answers that say that there is no answer, stop words, and the share of a point that counts as covered.
+REFUSALS = ("当前候选证据不足以给出确定性答案", "知识库中未找到与该查询相关的信息", "知识库中未找到", "未找到", "无法回答", "无法给出", "insufficient evidence", "not found")
+COVERED = 0.3
+
+
+def _key(c: Column | str) -> Column:
+    return F.regexp_replace(F.lower(R.fold_width(c)), r"\s+", "")
 
-def anchor_ranks(hits: DataFrame, anchors: DataFrame, text: str = "text", rank: str = "rank") -> DataFrame:
-    """(case_id, anchor, kind, rank): the first rank of each case's hits whose text contains the anchor;
-    null if none does. Cases are few and their hits bounded, so the join is on the case."""
-    found = hits.join(anchors, "case_id").filter(F.contains(F.lower(text), F.lower("anchor")))
-    first = found.groupBy("case_id", "anchor", "kind").agg(F.min(rank).alias("rank"))
-    return anchors.join(first, ["case_id", "anchor", "kind"], "left")
 
+def retrieval_quality(hits: DataFrame, anchors: DataFrame, min_recall: float = 0.8) -> DataFrame:
+    """case_id, must, found, best_rank, recall_at_5, recall_at_10, mrr, negatives, attribution.
 
-def case_quality(ranks: DataFrame, k: int = 5) -> DataFrame:
-    """case_id, must, found, best_rank, recall, mrr, negatives, outcome (negative_hit, ok, partial, missed)."""
+    `hits` (case_id, rank, text) meet the case's `anchors` (case_id, anchor, kind must or negative): a text has
+    an anchor if it contains it, or, for one that must be there, all of its tokens (two or more); codes and
+    negative anchors count only as they are. Anchors without letters or digits do not count."""
+    code = F.col("anchor").rlike(r"(?i)^(?:[a-z]{2,6}\.\d+(?:\.bp\d+)?|[a-z]{2,6}\d+bp\d+)$")
+    parts = F.regexp_extract_all(F.lower("anchor"), F.lit(r"[a-z]{2,}|\d+(?:\.\d+)?|[一-鿿]+"), F.lit(0))
+    parts = F.array_distinct(F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit("且和及与的是了"))), lambda x: (F.length(x) >= 2) | x.rlike(r"^\d+$")))
+    asked = anchors.select("case_id", "anchor", "kind", _key("anchor").alias("__key"), F.when((F.col("kind") == "must") & ~code, parts).alias("__parts")).filter("__key <> ''").distinct()
+    said = hits.select("case_id", "rank", _key("text").alias("__text"))
+    whole = F.contains("__text", F.col("__key"))
+    pieces = F.coalesce((F.size("__parts") >= 2) & F.forall("__parts", lambda x: F.contains("__text", x)), F.lit(False))
+    first = said.join(asked, "case_id").groupBy("case_id", "anchor", "kind").agg(F.min(F.when(whole | pieces, F.col("rank"))).alias("rank"))
+    ranks = asked.select("case_id", "anchor", "kind").join(first, ["case_id", "anchor", "kind"], "left")
     must, bad = F.col("kind") == "must", F.col("kind") == "negative"
     out = ranks.groupBy("case_id").agg(
-        F.count_if(must).alias("must"),
-        F.count_if(must & F.col("rank").isNotNull()).alias("found"),
-        F.min(F.when(must, F.col("rank"))).alias("best_rank"),
-        F.count_if(must & (F.col("rank") <= k)).alias("__at_k"),
-        F.count_if(bad & F.col("rank").isNotNull()).alias("negatives"),
-    )
-    share = F.round(F.coalesce(F.col("__at_k") / F.nullif("must", F.lit(0)), F.lit(0.0)), 6)
-    outcome = F.when(F.col("negatives") > 0, "negative_hit").when(F.col("found") == F.col("must"), "ok").when(F.col("found") > 0, "partial").otherwise("missed")
-    return out.select("case_id", "must", "found", "best_rank", share.alias("recall"), F.round(F.coalesce(1 / F.col("best_rank"), F.lit(0.0)), 6).alias("mrr"), "negatives", outcome.alias("outcome"))
+        F.count_if(must).alias("must"), F.count_if(must & F.col("rank").isNotNull()).alias("found"), F.min(F.when(must, F.col("rank"))).alias("best_rank"),
+        F.count_if(must & (F.col("rank") <= 5)).alias("__5"), F.count_if(must & (F.col("rank") <= 10)).alias("__10"), F.count_if(bad & F.col("rank").isNotNull()).alias("negatives"),
+    )
+    recall = lambda c: F.round(F.col(c) / F.greatest("must", F.lit(1)), 6)
+    why = (
+        F.when(F.col("negatives") > 0, "negative_hit").when((F.col("must") > 0) & (F.col("found") == 0), "retrieval_miss")
+        .when(F.col("best_rank") > 5, "rank_too_low").when((F.col("must") > 0) & (recall("__5") < min_recall), "recall_at_5_below_threshold").otherwise("ok")
+    )
+    return out.select("case_id", "must", "found", "best_rank", recall("__5").alias("recall_at_5"), recall("__10").alias("recall_at_10"), F.round(F.coalesce(1 / F.col("best_rank"), F.lit(0.0)), 6).alias("mrr"), "negatives", why.alias("attribution"))
+
+
+def tokens(c: Column | str) -> Column:
+    """The distinct tokens that coverage counts: Chinese terms of 2 to 8 characters, numbers with units, codes of
+    standards, and every single letter or digit."""
+    s = F.col(c) if isinstance(c, str) else c
+    found = lambda p: F.regexp_extract_all(s, F.lit(p), F.lit(0))
+    codes = F.transform(found(r"GB[/T]?\s*\d+[\.\d]*[-—]\d+"), lambda x: F.replace(x, F.lit(" "), F.lit("")))
+    single = F.filter(F.split(F.lower(F.regexp_replace(s, r"[^\p{L}\p{N}]", "")), ""), lambda x: x != "")
+    return F.array_distinct(F.concat(found("[一-鿿]{2,8}"), found(r"\d+\.?\d*\s*[A-Za-zΩμ°℃％%]+"), codes, single))
+
+
+def coverage(answer: Column | str, points: Column) -> Column:
+    """The mean share of the points' tokens that an answer has, rounded to six digits; 0 for refusals, blank answers and no points."""
+    s = F.col(answer) if isinstance(answer, str) else answer
+    refused = reduce(lambda a, b: a | b, (F.contains(s, F.lit(m)) for m in REFUSALS), F.trim(s) == "")
+    said = tokens(s)
+    share = F.transform(points, lambda p: F.coalesce(F.size(F.array_intersect(said, tokens(p))) / F.nullif(F.size(tokens(p)), F.lit(0)), F.lit(0.0)))
+    mean = F.aggregate(share, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(points), F.lit(0))
+    return F.round(F.when(F.coalesce(refused, F.lit(True)), 0.0).otherwise(F.coalesce(mean, F.lit(0.0))), 6)
 
 
 def token_overlap(answer: Column, point: Column) -> Column:

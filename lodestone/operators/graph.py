@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.scratch import materialize
+
 
 def build_edges(rows: DataFrame, keys: list[str], confidence: str, evidence: str) -> DataFrame:
     """One edge a key: the highest confidence and how many distinct pieces of evidence support it."""
@@ -14,36 +18,41 @@ def build_edges(rows: DataFrame, keys: list[str], confidence: str, evidence: str
 def simple_paths(edges: DataFrame, start: DataFrame, max_hops: int) -> DataFrame:
     """(start, node, hops, path) of all paths of 1 to `max_hops` edges without a repeated node.
 
-    `start` has one column, node. Each hop is an equi-join on the frontier's last node."""
-    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    `start` has one column, node. Each hop is an equi-join on the frontier's last node; a frontier is written
+    once, and the next one and the result read it."""
+    step = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct(), "steps")
     front = start.select(F.col("node").alias("start"), "node", F.array("node").alias("path"))
-    out = None
+    fronts = []
     for hop in range(1, max_hops + 1):
-        front = front.join(step, "node").filter(~F.array_contains("path", F.col("next")))
-        front = front.select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
-        one = front.withColumn("hops", F.lit(hop))
-        out = one if out is None else out.unionByName(one)
-    return out.select("start", "node", "hops", F.array_join("path", ">").alias("path"))
+        met = front.join(step, "node").filter(~F.array_contains("path", F.col("next")))
+        front = materialize(met.select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path")), "front")
+        fronts.append(front.withColumn("hops", F.lit(hop)))
+    return reduce(DataFrame.unionByName, fronts).select("start", "node", "hops", F.array_join("path", ">").alias("path"))
 
 
-def ancestors(tree: DataFrame, max_depth: int) -> DataFrame:
+def ancestors(tree: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, ancestor, depth): the strict ancestors of every node of a child-parent table, with the
-    least depth. Each level is one equi-join; `max_depth` bounds cycles."""
-    up = tree.select("child", "parent").distinct()
-    front = up.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
-    out = front.withColumn("depth", F.lit(1))
-    for depth in range(2, max_depth + 1):
-        front = front.join(up, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor")).distinct()
-        out = out.unionByName(front.withColumn("depth", F.lit(depth)))
-    return out.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
-
-
-def descendants(tree: DataFrame, max_depth: int) -> DataFrame:
+    least depth, to any depth (or `max_depth`, where that is the question).
+
+    Each level is one equi-join of the pairs that the level before found first, so that cycles end; what is
+    written is each pair once."""
+    up = materialize(tree.select("child", "parent").filter("child is not null and parent is not null").distinct(), "tree")
+    front = materialize(up.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "pairs")
+    levels = [front]
+    while not front.isEmpty() and (max_depth is None or len(levels) < max_depth):
+        further = front.join(up, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor")).distinct()
+        known = reduce(DataFrame.unionByName, levels).select("node", "ancestor")
+        front = materialize(further.join(known, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(len(levels) + 1)), "pairs")
+        levels.append(front)
+    return reduce(DataFrame.unionByName, levels)
+
+
+def descendants(tree: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, descendant, depth), strict."""
     return ancestors(tree, max_depth).select(F.col("ancestor").alias("node"), F.col("node").alias("descendant"), "depth")
 
 
-def cyclic_nodes(tree: DataFrame, max_depth: int) -> DataFrame:
+def cyclic_nodes(tree: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes that are their own ancestors."""
     return ancestors(tree, max_depth).filter(F.col("node") == F.col("ancestor")).select("node")
 

@@ -28,17 +28,20 @@ def names_with_aliases(df: DataFrame, key: str, name: str, aliases: str) -> Data
 def containing(texts: DataFrame, text_key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
     """(text_key, term) where the text contains the term as a run of whole tokens.
 
-    Terms meet texts on their first token by an equi-join, and the run is verified after it, so no
-    pair of a text and a term that share nothing is formed."""
+    A term meets the texts that have its rarest token, by an equi-join, and the run is verified once for each
+    such pair; so common words bring no pairs together, and no pair that shares nothing is formed."""
     words = lambda c: F.regexp_extract_all(F.lower(F.col(c)), F.lit(r"[a-z0-9./-]+"), F.lit(0))
+    line = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
     t = terms.select(F.col(term).alias("__term"), words(term).alias("__run")).filter(F.size("__run") > 0).distinct()
-    longest = t.agg(F.max(F.size("__run"))).first()[0] or 1  # one number
-    t = t.withColumn("__first", F.col("__run")[0])
+    own = t.select("__term", line("__run").alias("__line"), F.explode(F.array_distinct("__run")).alias("__token"))
     split = texts.select(text_key, words(text).alias("__w"))  # on its own, so that a text is split once
-    at = F.transform("__w", lambda x, i: F.struct(x.alias("first"), F.slice("__w", i + 1, longest).alias("next")))
-    placed = split.select(text_key, F.explode(at).alias("__p")).select(text_key, F.col("__p.first").alias("__first"), F.col("__p.next").alias("__next"))
-    runs = placed.join(t, "__first").filter(F.slice("__next", 1, F.size("__run")) == F.col("__run"))
-    return runs.select(text_key, F.col("__term").alias(term)).distinct()
+    each = split.select(text_key, F.explode(F.array_distinct("__w")).alias("__token"))
+    counts = each.select("__token").join(own.select("__token").distinct(), "__token", "left_semi").groupBy("__token").agg(F.count("*").alias("__n"))
+    ranked = own.join(counts, "__token", "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    rarest = ranked.groupBy("__term", "__line").agg(F.min(F.struct("__n", "__token")).alias("__a")).filter("__a.__n > 0")
+    met = each.join(rarest.select("__term", "__line", F.col("__a.__token").alias("__token")), "__token").drop("__token")
+    found = met.join(split.select(text_key, line("__w").alias("__text")), text_key).filter(F.contains("__text", F.col("__line")))
+    return found.select(text_key, F.col("__term").alias(term)).distinct()
 
 
 def proximity(left: DataFrame, right: DataFrame, group: str, left_at: str, right_at: str, distance: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.scratch import materialize
+
 
 def keep_best(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key in an order."""
@@ -41,9 +43,10 @@ def shards(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """`shard` from 1 to n: contiguous runs in an order, the first ones a row longer where n does not divide.
 
     Positions come from a count per range partition and a prefix sum over those few counts, so no task
-    sees all rows."""
-    ranged = df.sortWithinPartitions(*order) if df.rdd.getNumPartitions() == 1 else df.repartitionByRange(*order).sortWithinPartitions(*order)
+    sees all rows. Places within partitions are written once, so that counts and rows agree whatever is run again."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    placed = materialize(placed, "shards")
     counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = counts.agg(F.sum("__n").alias("__total"))

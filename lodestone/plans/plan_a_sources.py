@@ -50,12 +50,14 @@ def a06(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.strip_tags("html").alias("s"))
 
 
-@query("a08_whole_texts", "SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE doc_id < 50")
+@query("a08_whole_texts", "SELECT c_nationkey AS page, count(*) AS lines, CAST(sum(length(c_name)) AS BIGINT) AS chars FROM customer GROUP BY 1")
 def a08(t: Tables) -> DataFrame:
+    """A text file for each nation's customers, each read whole and cut into blocks."""
     path = scratch_path(t.spark, "texts")
-    t.documents.filter("doc_id < 50").select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").option("lineSep", "\u0001").text(path)
-    texts = files.read_texts(t.spark, f"{path}/*").select(F.regexp_replace("text", "\u0001", "").alias("text"))
-    return texts.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    t.customer.select("c_nationkey", F.col("c_name").alias("value")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    whole = t.spark.read.option("wholetext", "true").text(path)
+    blocks = whole.select(F.col("c_nationkey").cast("long").alias("page"), F.explode(F.split("value", "\n")).alias("block")).filter("block <> ''")
+    return blocks.groupBy("page").agg(F.count("*").alias("lines"), F.sum(F.length("block")).alias("chars"))
 
 
 @query("a10_nested_documents", "SELECT conv_id AS doc_id, CAST(turn // 4 AS INTEGER) AS page_no, role AS type, text FROM conversations")

@@ -90,17 +90,8 @@ def e11(t: Tables) -> DataFrame:
     return ranking.shards(t.orders.select("o_orderkey"), 7, "o_orderkey")
 
 
-@query(
-    "e12_diversify",
-    "WITH x AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) > 1 AS rest FROM part WHERE p_size = 7) SELECT p_partkey, p_type, CAST(rest AS INTEGER) AS rest FROM x ORDER BY rest, p_partkey LIMIT 40",
-)
+@query("e12_diversify", "SELECT p_partkey, p_type, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) > 1 AS INTEGER) AS rest FROM part")
 def e12(t: Tables) -> DataFrame:
-    rows = ranking.diversify(t.part.filter("p_size = 7").select("p_partkey", "p_type"), "p_type", "p_partkey")
-    return rows.withColumnRenamed("__rest", "rest").orderBy("rest", "p_partkey").limit(40)
-
-
-@query("e12_diversify_whole", "SELECT p_partkey, p_type, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) > 1 AS INTEGER) AS rest FROM part")
-def e12_whole(t: Tables) -> DataFrame:
     return ranking.diversify(t.part.select("p_partkey", "p_type"), "p_type", "p_partkey").withColumnRenamed("__rest", "rest")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import retrieval as R
+from lodestone.operators import vectors
 from lodestone.operators.joins import with_flag
 from lodestone.plans.registry import query
 from lodestone.plans.views import Tables
@@ -34,23 +35,28 @@ def i01(t: Tables) -> DataFrame:
 
 @query("i02_bm25_top_k", f"WITH {_BM25} {_TOP.format('bm', 20)}")
 def i02(t: Tables) -> DataFrame:
-    return R.best_k(R.bm25(t.v_terms, asked(t).select("query_id", "term")), 20)
+    q = asked(t)
+    return R.best_k(R.bm25(R.index(t.documents, q), q.select("query_id", "term")), 20)
 
 
 @query("i04_tf_cosine", f"WITH {_Q}{_COS} {_TOP.format('cs', 20)}")
 def i04(t: Tables) -> DataFrame:
-    return R.best_k(R.tf_cosine(t.v_terms, asked(t)), 20)
+    q = asked(t)
+    return R.best_k(R.tf_cosine(R.index(t.documents, q), q), 20)
+
+
+_NORM = "sqrt(list_dot_product(CAST({0}.embedding AS DOUBLE[]), CAST({0}.embedding AS DOUBLE[])))"
 
 
 @query(
     "i05_dense_cosine",
-    """WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])))), 9) AS score
-    FROM embeddings q, embeddings c WHERE q.vec_id < 4)
+    f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / ({_NORM.format('q')} * {_NORM.format('c')}), 9) AS score
+    FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0)
     SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 10""",
 )
 def i05(t: Tables) -> DataFrame:
-    q = t.embeddings.filter("vec_id < 4").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return R.best_k(R.dense_cosine(t.embeddings, q), 10, "vec_id")
+    q = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vectors.nearest(t.embeddings, q, 10)
 
 
 _SYN = {"license": ["copyright", "apache"], "password": ["secret"]}
@@ -72,7 +78,8 @@ SELECT query_id, doc_id, score, channel FROM (SELECT *, row_number() OVER (PARTI
 
 def hybrid_hits(t: Tables, k: int) -> DataFrame:
     q = asked(t)
-    return R.hybrid({"bm25": (R.bm25(t.v_terms, q.select("query_id", "term")), 1.0), "cosine": (R.tf_cosine(t.v_terms, q), 0.6)}, k)
+    index = R.index(t.documents, q)
+    return R.hybrid({"bm25": (R.bm25(index, q.select("query_id", "term")), 1.0), "cosine": (R.tf_cosine(index, q), 0.6)}, k)
 
 
 @query("i07_hybrid_merge", _HYBRID)

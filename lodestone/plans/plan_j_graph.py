@@ -59,35 +59,35 @@ _CLOSURE = """WITH RECURSIVE c AS (SELECT child AS node, parent AS ancestor, 1 A
 
 @query("j09_ancestors", _CLOSURE + " SELECT node, ancestor, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY 1, 2")
 def j09(t: Tables) -> DataFrame:
-    return G.ancestors(t.v_tree, 6)
+    return G.ancestors(t.v_tree)
 
 
 @query("j10_descendants", _CLOSURE + " SELECT ancestor AS node, node AS descendant, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY 1, 2")
 def j10(t: Tables) -> DataFrame:
-    return G.descendants(t.v_tree, 6)
+    return G.descendants(t.v_tree)
 
 
 @query("j11_subclass_test", _CLOSURE + " SELECT DISTINCT c_custkey FROM customer JOIN c ON c.node = concat('C', CAST(c_custkey AS VARCHAR)) WHERE c.ancestor = 'R2'")
 def j11(t: Tables) -> DataFrame:
-    inside = G.ancestors(t.v_tree, 6).filter("ancestor = 'R2'").select("node")
+    inside = G.ancestors(t.v_tree).filter("ancestor = 'R2'").select("node")
     return t.customer.withColumn("node", F.concat(F.lit("C"), "c_custkey")).join(inside, "node", "left_semi").select("c_custkey")
 
 
 @query("j12_cycles", "SELECT node FROM (VALUES ('a'), ('b'), ('c')) v(node)")
 def j12(t: Tables) -> DataFrame:
     ring = t.spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "child string, parent string")
-    return G.cyclic_nodes(t.v_tree.unionByName(ring), 6)
+    return G.cyclic_nodes(t.v_tree.unionByName(ring))
 
 
 @query("j13_profile_expansion", _CLOSURE + " SELECT node, ancestor, priority FROM c JOIN (SELECT DISTINCT profile_id, priority FROM v_limits) ON profile_id = ancestor WHERE node LIKE 'C%'")
 def j13(t: Tables) -> DataFrame:
-    up = G.ancestors(t.v_tree, 6).filter("node like 'C%'")
+    up = G.ancestors(t.v_tree).filter("node like 'C%'")
     return up.join(t.v_limits.select(F.col("profile_id").alias("ancestor"), "priority").distinct(), "ancestor").select("node", "ancestor", "priority")
 
 
 @query("j14_reverse_closure", _CLOSURE + " SELECT ancestor AS profile, count(DISTINCT node) AS projects FROM c WHERE node LIKE 'C%' GROUP BY 1")
 def j14(t: Tables) -> DataFrame:
-    return G.ancestors(t.v_tree, 6).filter("node like 'C%'").groupBy(F.col("ancestor").alias("profile")).agg(F.countDistinct("node").alias("projects"))
+    return G.ancestors(t.v_tree).filter("node like 'C%'").groupBy(F.col("ancestor").alias("profile")).agg(F.countDistinct("node").alias("projects"))
 
 
 @query(

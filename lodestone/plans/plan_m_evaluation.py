@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
 from lodestone.operators import evaluation as E
@@ -10,32 +11,43 @@ from lodestone.plans.registry import query
 from lodestone.plans.views import Tables
 
 
+_ANCHORS = "(VALUES ('general public license', 'must', 'g'), ('mail', 'must', 'm'), ('password', 'negative', 'p'))"
+
+
 @query(
     "m01_retrieval_quality",
-    """WITH h AS (SELECT doc_id % 50 AS case_id, line_no AS rank, normalized_text AS text FROM v_evidence WHERE doc_id < 200 AND line_no <= 10),
-    a AS (SELECT c AS case_id, x.anchor, x.kind FROM (SELECT unnest(range(50)) AS c), (VALUES ('the', 'must'), ('und', 'must'), ('license', 'negative')) x(anchor, kind)),
-    r AS (SELECT a.case_id, a.anchor, a.kind, min(h.rank) AS rank FROM a LEFT JOIN h ON a.case_id = h.case_id AND contains(lower(h.text), a.anchor) GROUP BY 1, 2, 3),
+    f"""WITH h AS (SELECT doc_id AS case_id, line_no AS rank, lower(regexp_replace(normalized_text, '\s+', '', 'g')) AS text FROM v_evidence),
+    a AS (SELECT DISTINCT case_id, anchor, kind FROM h, {_ANCHORS} x(anchor, kind, k)),
+    r AS (SELECT a.case_id, a.anchor, a.kind, min(h.rank) FILTER (contains(h.text, replace(a.anchor, ' ', '')) OR (kind = 'must' AND contains(anchor, ' ') AND list_bool_and(list_transform(string_split(anchor, ' '), lambda t: contains(h.text, t))))) AS rank FROM a JOIN h ON a.case_id = h.case_id GROUP BY 1, 2, 3),
     q AS (SELECT case_id, count(*) FILTER (kind = 'must') AS must, count(*) FILTER (kind = 'must' AND rank IS NOT NULL) AS found, min(rank) FILTER (kind = 'must') AS best_rank,
-      count(*) FILTER (kind = 'must' AND rank <= 5) AS k, count(*) FILTER (kind = 'negative' AND rank IS NOT NULL) AS negatives FROM r GROUP BY 1)
-    SELECT case_id, must, found, best_rank, round(k / must, 6) AS recall, round(coalesce(1 / best_rank, 0), 6) AS mrr, negatives,
-      CASE WHEN negatives > 0 THEN 'negative_hit' WHEN found = must THEN 'ok' WHEN found > 0 THEN 'partial' ELSE 'missed' END AS outcome FROM q""",
+      count(*) FILTER (kind = 'must' AND rank <= 5) AS k5, count(*) FILTER (kind = 'must' AND rank <= 10) AS k10, count(*) FILTER (kind = 'negative' AND rank IS NOT NULL) AS negatives FROM r GROUP BY 1)
+    SELECT case_id, must, found, best_rank, round(k5 / must, 6) AS recall_at_5, round(k10 / must, 6) AS recall_at_10, round(coalesce(1 / best_rank, 0), 6) AS mrr, negatives,
+      CASE WHEN negatives > 0 THEN 'negative_hit' WHEN found = 0 THEN 'retrieval_miss' WHEN best_rank > 5 THEN 'rank_too_low' WHEN round(k5 / must, 6) < 0.8 THEN 'recall_at_5_below_threshold' ELSE 'ok' END AS attribution FROM q""",
 )
 def m01(t: Tables) -> DataFrame:
-    hits = t.v_evidence.filter("doc_id < 200 and line_no <= 10").select((F.col("doc_id") % 50).alias("case_id"), F.col("line_no").alias("rank"), F.col("normalized_text").alias("text"))
-    kinds = F.array(*(F.struct(F.lit(a).alias("anchor"), F.lit(k).alias("kind")) for a, k in (("the", "must"), ("und", "must"), ("license", "negative"))))
-    anchors = t.spark.range(50).select(F.col("id").alias("case_id"), F.inline(kinds))
-    return E.case_quality(E.anchor_ranks(hits, anchors))
+    hits = t.v_evidence.select(F.col("doc_id").alias("case_id"), F.col("line_no").alias("rank"), F.col("normalized_text").alias("text"))
+    anchors = F.array(*(F.struct(F.lit(a).alias("anchor"), F.lit(k).alias("kind")) for a, k in (("general public license", "must"), ("mail", "must"), ("password", "negative"))))
+    return E.retrieval_quality(hits, hits.select("case_id").distinct().select("case_id", F.inline(anchors)))
+
+
+_ANSWERED = "SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS asker FROM conversations"
+
+
+def _tokens_sql(c: str) -> str:
+    return rf"list_distinct(list_concat(regexp_extract_all({c}, '\d+\.?\d*\s*[A-Za-zΩμ°℃％%]+'), list_filter(string_split(lower(regexp_replace({c}, '[^\p{{L}}\p{{N}}]', '', 'g')), ''), lambda x: x <> '')))"
 
 
 @query(
     "m04_token_overlap",
-    """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9./-]+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9./-]+') AS p FROM benchmark)
-    SELECT doc_id, item_id, round(len(list_intersect(list_distinct(w), list_distinct(p))) / nullif(len(list_distinct(p)), 0), 6) AS overlap FROM d JOIN b ON doc_id % 40 = item_id % 40""",
+    f"""WITH a AS ({_ANSWERED}), p AS (SELECT conv_id, turn, text, {_tokens_sql('asked')} AS points, {_tokens_sql('text')} AS said FROM a WHERE role = 'assistant' AND asker = 'user'),
+    s AS (SELECT conv_id, turn, CASE WHEN trim(text) = '' OR regexp_matches(text, 'insufficient evidence|not found|未找到|无法回答|无法给出|当前候选证据不足以给出确定性答案') OR len(points) = 0 THEN 0 ELSE round(len(list_intersect(said, points)) / len(points), 6) END AS coverage FROM p)
+    SELECT conv_id, turn, CAST(coverage AS DOUBLE) AS coverage, coverage >= 0.3 AS passed FROM s""",
 )
 def m04(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", T.latin_tokens("text").alias("w"), (F.col("doc_id") % 40).alias("g"))
-    b = t.benchmark.select("item_id", T.latin_tokens("text").alias("p"), (F.col("item_id") % 40).alias("g"))
-    return d.join(b, "g").select("doc_id", "item_id", E.token_overlap(F.col("w"), F.col("p")).alias("overlap"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = t.conversations.select("conv_id", "turn", "role", "text", F.lag("text").over(w).alias("asked"), F.lag("role").over(w).alias("asker"))
+    rows = turns.filter("role = 'assistant' and asker = 'user'").select("conv_id", "turn", E.coverage("text", F.array("asked")).alias("coverage"))
+    return rows.withColumn("passed", F.col("coverage") >= 0.3)
 
 
 @query("m06_run_log", "SELECT suite_id, code_version, count(*) AS runs, max(started_at) AS last_run FROM v_runs GROUP BY 1, 2")

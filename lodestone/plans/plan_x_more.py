@@ -41,9 +41,9 @@ def a16(t: Tables) -> DataFrame:
     return A.histogram(t.documents, "lang").select(F.concat(F.lit("| "), "lang", F.lit(" | "), F.col("n").cast("string"), F.lit(" |")).alias("line"))
 
 
-@query("d08_min_depth", "SELECT parent, min(child) AS child, count(*) AS n FROM v_tree GROUP BY 1")
+@query("d08_min_depth", "WITH RECURSIVE c AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM v_tree UNION SELECT c.node, v_tree.parent, c.depth + 1 FROM c JOIN v_tree ON v_tree.child = c.ancestor) SELECT ancestor, CAST(min(depth) AS INTEGER) AS least, CAST(max(depth) AS INTEGER) AS most, count(*) AS n FROM (SELECT node, ancestor, min(depth) AS depth FROM c GROUP BY 1, 2) GROUP BY 1")
 def d08(t: Tables) -> DataFrame:
-    return t.v_tree.groupBy("parent").agg(F.min("child").alias("child"), F.count("*").alias("n"))
+    return graph.ancestors(t.v_tree).groupBy("ancestor").agg(F.min("depth").alias("least"), F.max("depth").alias("most"), F.count("*").alias("n"))
 
 
 @query("d19_metric_summary", "SELECT suite_id, round(avg(CASE WHEN score > 50 THEN 1.0 ELSE 0.0 END), 6) AS recall5, round(avg(1 / (1 + floor(score))), 6) AS mrr FROM v_runs GROUP BY 1")
@@ -87,7 +87,7 @@ def f09(t: Tables) -> DataFrame:
 
 @query("g02_distinct_recursion", "WITH RECURSIVE c AS (SELECT child, parent FROM v_tree UNION SELECT c.child, v_tree.parent FROM c JOIN v_tree ON v_tree.child = c.parent) SELECT child, parent FROM c")
 def g02(t: Tables) -> DataFrame:
-    return graph.ancestors(t.v_tree, 4).select(F.col("node").alias("child"), F.col("ancestor").alias("parent"))
+    return graph.ancestors(t.v_tree).select(F.col("node").alias("child"), F.col("ancestor").alias("parent"))
 
 
 @query("g06_symmetric_classes", "SELECT CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'kept' END AS change, count(*) AS n FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R') a FULL JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A') b ON a.k = b.k GROUP BY 1")
@@ -352,17 +352,8 @@ def m07(t: Tables) -> DataFrame:
     return per.select("suite_id", "weak", A.issues(many_weak=F.col("weak") > 30, outlier=F.col("top") > 200).alias("flags"))
 
 
-@query("m10_task_sync", "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'resolved' WHEN a.user_id IS NULL THEN 'open' ELSE 'reopened' END AS status FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND event_id < 300) a FULL JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND event_id >= 300 AND event_id < 700) b ON a.user_id = b.user_id")
+@query("m10_task_sync", "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'resolved' WHEN a.user_id IS NULL THEN 'open' ELSE 'reopened' END AS status FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND event_id < 300) a FULL JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND event_id >= 300) b ON a.user_id = b.user_id")
 def m10(t: Tables) -> DataFrame:
-    e = t.events.filter("event_type = 'error'")
-    old = e.filter("event_id < 300").select("user_id").distinct().withColumn("v", F.lit(1))
-    new = e.filter("event_id >= 300 and event_id < 700").select("user_id").distinct().withColumn("v", F.lit(1))
-    status = T.literal_map({"removed": "resolved", "added": "open", "unchanged": "reopened"})[F.col("change")]
-    return J.compared(old, new, "user_id", "v").select("user_id", status.alias("status"))
-
-
-@query("m10_task_sync_whole", "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'resolved' WHEN a.user_id IS NULL THEN 'open' ELSE 'reopened' END AS status FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND event_id < 300) a FULL JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND event_id >= 300) b ON a.user_id = b.user_id")
-def m10_whole(t: Tables) -> DataFrame:
     e = t.events.filter("event_type = 'error'")
     old, new = (e.filter(c).select("user_id").distinct().withColumn("v", F.lit(1)) for c in ("event_id < 300", "event_id >= 300"))
     status = T.literal_map({"removed": "resolved", "added": "open", "unchanged": "reopened"})[F.col("change")]

@@ -1,9 +1,10 @@
 """Operators on small literal tables."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import evaluation, folds, graph, joins, maintenance, ranking
+from lodestone.operators import evaluation, folds, graph, joins, maintenance, ranking, retrieval, vectors
 from lodestone.scratch import materialize, shared_dir
 
 
@@ -64,8 +65,45 @@ def test_ten_rows_in_three_shards(spark):
 def test_retrieval_quality_example(spark):
     hits = spark.createDataFrame([(1, 2, "swe.2.bp2"), (1, 3, "SWE.2.BP3"), (1, 4, "swe.2.bp4")], "case_id int, rank int, text string")
     anchors = spark.createDataFrame([(1, "SWE.2.BP3", "must"), (1, "SWE.2.BP4", "must"), (1, "SYS.3", "negative")], "case_id int, anchor string, kind string")
-    r = evaluation.case_quality(evaluation.anchor_ranks(hits, anchors)).first()
-    assert (r.found, r.best_rank, r.recall, r.outcome) == (2, 3, 1.0, "ok")
+    r = evaluation.retrieval_quality(hits, anchors).first()
+    assert (r.found, r.best_rank, r.recall_at_5, r.attribution) == (2, 3, 1.0, "ok")
+
+
+def test_ancestors_reach_any_depth_and_cycles_end(spark):
+    tree = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, None)], "child long, parent long")
+    got = {(r.node, r.ancestor): r.depth for r in graph.ancestors(tree).collect()}
+    assert got == {(i, j): j - i for i in range(40) for j in range(i + 1, 41)} | {(100, 101): 1, (101, 100): 1, (100, 100): 2, (101, 101): 2}
+    assert {r.node for r in graph.cyclic_nodes(tree).collect()} == {100, 101}
+    assert graph.ancestors(tree.limit(0)).count() == 0
+
+
+def test_the_index_is_the_same_by_set_and_by_join(spark):
+    texts = spark.createDataFrame([(1, "the license, the end"), (2, ""), (3, None), (4, "License of a password")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "license", 1), (1, "the", 1), (2, "nowhere", 1)], "query_id int, term string, tf int")
+    flat = lambda n: sorted((r.doc_id, r.dl, r.norm, sorted((c.term, c.tf) for c in r.counts)) for r in retrieval.index(texts.filter("text is not null"), asked, literal_terms=n).collect())
+    assert flat(10) == flat(0) and flat(10)[0] == (1, 4, 6**0.5, [("license", 1), ("the", 2)])
+    assert {(r.query_id, r.doc_id) for r in retrieval.bm25(retrieval.index(texts, asked), asked.select("query_id", "term")).collect()} == {(1, 1), (1, 4)}
+
+
+def test_contained_terms_meet_on_their_rarest_token(spark):
+    texts = spark.createDataFrame([(1, "the end of the line"), (2, "the line of the end"), (3, "")], "k long, text string")
+    terms = spark.createDataFrame([("The end",), ("of the",), ("the",), ("end line",), ("zzz",), ("!",)], "term string")
+    assert rows(joins.containing(texts, "k", "text", terms, "term")) == [(1, "The end"), (1, "of the"), (1, "the"), (2, "The end"), (2, "of the"), (2, "the")]
+
+
+def test_nearest_vectors_in_small_blocks(spark):
+    rng = np.random.Generator(np.random.PCG64(2))
+    rows_ = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(90)] + [(90, None), (91, [0.0] * 5), (92, [1.0]), (93, [1.0, None, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
+    q = df.filter("vec_id < 4").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    v = {i: np.array(x) / np.linalg.norm(x) for i, x in rows_[:90]}
+    want = {(a, b) for a in range(4) for _, b in sorted((-round(float(v[a] @ v[b]), 9), b) for b in v)[:6]}
+    assert {(r.query_id, r.vec_id) for r in vectors.nearest(df, q, 6, rows_per_block=16).collect()} == want
+
+
+def test_refusals_cover_nothing(spark):
+    df = spark.createDataFrame([("nothing was not found", "found"), ("abc 5 V", "5 V"), ("", "x"), (None, "x"), ("x", "")], "a string, p string")
+    assert [r.c for r in df.select(evaluation.coverage("a", F.array("p")).alias("c")).collect()] == [0.0, 1.0, 0.0, 0.0, 0.0]
 
 
 def test_freshness_states(spark):
