@@ -172,29 +172,6 @@ def i22(t: Tables) -> DataFrame:
     return good.unionByName(t.labels.filter("toxic = 1").select("doc_id", F.lit("bad").alias("kind"))).distinct()
 
 
-@query("i25_term_components", "SELECT doc_id, round(0.08 * (CAST(contains(text, 'the') AS INTEGER) + CAST(contains(text, 'of') AS INTEGER)) + 0.04 * CAST(contains(text, 'license') AS INTEGER), 6)::DOUBLE AS lexical FROM documents")
-def i25(t: Tables) -> DataFrame:
-    score = 0.08 * T.match_count("text", ["the", "of"]) + 0.04 * T.match_count("text", ["license"])
-    return t.documents.select("doc_id", F.round(score, 6).alias("lexical"))
-
-
-@query("i26_alignment_matrix", "SELECT event_id, (CASE event_type WHEN 'purchase' THEN 0.3 WHEN 'click' THEN 0.1 ELSE -0.1 END)::DOUBLE AS bonus FROM events")
-def i26(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.coalesce(T.literal_map({"purchase": 0.3, "click": 0.1})[F.col("event_type")], F.lit(-0.1)).alias("bonus"))
-
-
-@query("i29_document_bonus", "SELECT d.doc_id, round(least(0.05, coalesce(quality, 0) * 0.1) - least(0.2, coalesce(toxic, 0) * 0.3), 6)::DOUBLE AS bonus FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
-def i29(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id").join(t.labels, "doc_id", "left")
-    part = lambda c, w, cap: F.least(F.lit(cap), F.coalesce(F.col(c), F.lit(0)) * w)
-    return rows.select("doc_id", F.round(part("quality", 0.1, 0.05) - part("toxic", 0.3, 0.2), 6).alias("bonus"))
-
-
-@query("i33_evidence_judge", "SELECT doc_id, n, n >= 2 AS sufficient FROM (SELECT doc_id, CAST(contains(text, 'the') AS INTEGER) + CAST(contains(text, 'License') AS INTEGER) + CAST(contains(text, '@') AS INTEGER) AS n FROM documents)")
-def i33(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.match_count("text", ["the", "License", "@"]).alias("n")).withColumn("sufficient", F.col("n") >= 2)
-
-
 @query("i39_choice_cascade", "SELECT c_custkey, coalesce(p, o, f) AS chosen FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) FILTER (o_orderstatus = 'P') AS p, min(o_orderkey) FILTER (o_orderstatus = 'O') AS o, min(o_orderkey) AS f FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def i39(t: Tables) -> DataFrame:
     least = lambda s: F.min(F.when(F.col("o_orderstatus") == s, F.col("o_orderkey")))
