@@ -230,18 +230,6 @@ def k06(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.max_by("doc_id", F.col("n_chars") * 1000000 - F.col("doc_id")).alias("best"), F.count("*").alias("candidates"))
 
 
-@query("k09_knowledge_units", "SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'definition' WHEN role = 'user' AND length(text) < 100 THEN 'requirement' WHEN role = 'user' THEN 'procedure' ELSE 'answer' END AS unit_type FROM conversations")
-def k09(t: Tables) -> DataFrame:
-    kind = F.when(F.col("role") == "system", "definition").when((F.col("role") == "user") & (F.length("text") < 100), "requirement").when(F.col("role") == "user", "procedure").otherwise("answer")
-    return t.conversations.select("conv_id", "turn", kind.alias("unit_type"))
-
-
-@query("k11_unit_payloads", "SELECT p_partkey, 'size' AS field, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT p_partkey, 'brand', p_brand FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part")
-def k11(t: Tables) -> DataFrame:
-    fields = F.array(*(F.struct(F.lit(n).alias("field"), F.col(c).cast("string").alias("value")) for n, c in (("size", "p_size"), ("brand", "p_brand"), ("type", "p_type"))))
-    return t.part.select("p_partkey", F.inline(fields))
-
-
 @query("k12_scope_tags", "SELECT p_partkey, array_to_string(list_filter(['red', 'small', 'ring', 'widget'], lambda x: contains(p_name, x)), ',') AS tags FROM part")
 def k12(t: Tables) -> DataFrame:
     tags = F.array(*map(F.lit, ("red", "small", "ring", "widget")))
