@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import map_in_arrow
 from lodestone.llm.textbytes import blocks, expand, mix, span_hashes, text_buffer
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -330,7 +331,7 @@ def encode_digests(documents: DataFrame, vocabulary_path: str, id_column: str =
     """`ENCODED`: per row its number of tokens and the SHA-256 of its decimal ids joined by commas and
     of its decoded text. Null text is empty (no tokens); rows that repeat are each encoded; ids may
     be null; other columns are ignored; an empty table gives no rows."""
-    return documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(_encoded(vocabulary_path), ENCODED)
+    return map_in_arrow(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), _encoded(vocabulary_path), ENCODED)
 
 
 def _ids(path: str):
@@ -346,7 +347,7 @@ def _ids(path: str):
 
 def encode(documents: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id long, ids array<int>: the token ids of every text; nulls as in `encode_digests`."""
-    return documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(_ids(vocabulary_path), "doc_id long, ids array<int>")
+    return map_in_arrow(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), _ids(vocabulary_path), "doc_id long, ids array<int>")
 
 
 def _texts(path: str):
@@ -361,4 +362,4 @@ def _texts(path: str):
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id long, text string of rows of ids; control tokens are written out, null ids stay null."""
-    return encoded.select("doc_id", "ids").mapInArrow(_texts(vocabulary_path), "doc_id long, text string")
+    return map_in_arrow(encoded.select("doc_id", "ids"), _texts(vocabulary_path), "doc_id long, text string")

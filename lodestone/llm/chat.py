@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import map_in_arrow
 from lodestone.llm.textbytes import blocks, expand, text_buffer
 
 FORMATTED = "conv_id long, part long, n_turns long, formatted string, loss array<struct<start: long, length: long>>"
@@ -130,7 +131,7 @@ def format_chat(conversations: DataFrame, template: Template = Template()) -> Da
     turns = conversations.select("conv_id", "role", "text", "turn")
     keys = ["conv_id", "turn", "role"]
     turns = turns.repartitionByRange(*keys, F.substring("text", 1, 32)).sortWithinPartitions(*keys, "text")
-    return turns.select("conv_id", "role", "text").mapInArrow(_format(template), FORMATTED)
+    return map_in_arrow(turns.select("conv_id", "role", "text"), _format(template), FORMATTED)
 
 
 def parse_part(formatted: bytes, template: Template = Template()) -> list[tuple[str, bytes]]:
@@ -182,7 +183,7 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
     spans. Parts meet by conversation, since SHA-256 goes over a conversation in sequence; they are
     streamed in order, so that one of any length needs the memory of one part."""
     parts = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return parts.mapInArrow(_digest(template), DIGESTS)
+    return map_in_arrow(parts, _digest(template), DIGESTS)
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import map_in_arrow
 from lodestone.llm.textbytes import blocks, expand, mix, span_hashes, text_buffer, units
 
 FOUND = "doc_id long, item_id long, first_word long, last_word long, distance long, similarity double"
@@ -357,7 +358,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     phrases, and those of punctuation alone its exact characters (last_word is then first_word - 1); items that repeat are all reported, rows that
     repeat give equal rows, null and empty texts give none. Other columns are ignored."""
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).filter("text is not null")
-    return reduce(DataFrame.unionByName, [docs.mapInArrow(_match(rows, similarity, by), FOUND) for rows, by in _passes(benchmark, similarity, recall, pass_bytes)])
+    return reduce(DataFrame.unionByName, [map_in_arrow(docs, _match(rows, similarity, by), FOUND) for rows, by in _passes(benchmark, similarity, recall, pass_bytes)])
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.9999, pass_bytes: int = 8_000_000) -> DataFrame:
@@ -365,5 +366,5 @@ def clean(documents: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     rows = documents.select(F.struct("*").alias("row"), "text")
     kind = rows.schema["row"].dataType.simpleString()
     for own, by in _passes(benchmark, similarity, recall, pass_bytes):
-        rows = rows.mapInArrow(_without(own, similarity, by), f"row {kind}, text string")
+        rows = map_in_arrow(rows, _without(own, similarity, by), f"row {kind}, text string")
     return rows.select("row.*")

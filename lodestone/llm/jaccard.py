@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import map_in_arrow
 from lodestone.llm.components import components
 from lodestone.llm.shingles import HASHES, min_hashes, set_key, shingle_sets
 from lodestone.llm.textbytes import blocks, mix, text_buffer
@@ -216,7 +217,7 @@ def _resolve(documents: DataFrame, threshold: str, tolerance: float, block_texts
 
     Classes are numbered by the table that is written of them, so neither repeated nor null ids matter."""
     docs = _named(documents, id_column, text_column)
-    features = materialize(docs.mapInArrow(_features, _FEATURES), "jaccard-features")
+    features = materialize(map_in_arrow(docs, _features, _FEATURES), "jaccard-features")
     classes = features.filter("n_shingles > 0").groupBy("key").agg(_first("n_shingles", "bands").alias("first"), F.count("*").alias("class_size"))
     classes = classes.select("key", "class_size", "first.doc_id", "first.sha", "first.n_shingles", "first.bands", F.monotonically_increasing_id().alias("node"))
     classes = materialize(classes, "jaccard-classes")
@@ -234,7 +235,7 @@ def _resolve(documents: DataFrame, threshold: str, tolerance: float, block_texts
     tables = seats.join(texts, "node").select("centre", "i_block", "j_block", "node", "block", "class_size", "centres", "text")
     tables = tables.repartition("centre", "i_block", "j_block").sortWithinPartitions("centre", "i_block", "j_block", "node")
     exact = Fraction(threshold)
-    links = materialize(tables.mapInArrow(_verify(exact, least_matches(float(exact), tolerance)), _LINKS), "jaccard-links")
+    links = materialize(map_in_arrow(tables, _verify(exact, least_matches(float(exact), tolerance)), _LINKS), "jaccard-links")
     free(met, texts)
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"), F.sum("n_linked_docs").alias("n_linked_docs"))
     roots = components(links.select(F.col("node").alias("src"), F.col("root").alias("dst")))

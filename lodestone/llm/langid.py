@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import map_in_arrow
+
 PREDICTED = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
 UNKNOWN = "und"
 LEVEL, COPIES = 5, 4
@@ -124,7 +126,7 @@ def identify(documents: DataFrame, dictionaries: dict[str, bytes], level: int =
     an absolute number, since past the first kilobytes a text's own history serves it as well as any
     dictionary, and the difference stays however long it is. `margin` is that difference. Repeated rows get equal rows, null ids stay null, other columns are ignored."""
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), _letters(text_column))
-    return rows.mapInArrow(_predict(dictionaries, level, temperature, min_margin), PREDICTED)
+    return map_in_arrow(rows, _predict(dictionaries, level, temperature, min_margin), PREDICTED)
 
 
 def _letters(text_column: str) -> Column:
@@ -135,4 +137,4 @@ def decide(documents: DataFrame, dictionaries: dict[str, bytes], level: int = LE
     """`row`, a struct of all columns of `documents` (text among them), beside the columns of `identify`."""
     kind = documents.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
     rows = documents.select(F.struct("*").alias("row"), "text", _letters("text"))
-    return rows.mapInArrow(_predict(dictionaries, level, temperature, min_margin), PREDICTED.replace("doc_id long", f"row {kind}"))
+    return map_in_arrow(rows, _predict(dictionaries, level, temperature, min_margin), PREDICTED.replace("doc_id long", f"row {kind}"))

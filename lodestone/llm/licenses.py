@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import map_in_arrow
 from lodestone.llm.textbytes import LOWER, blocks, span_hashes, text_buffer, words
 
 # The base phrases and their labels.
@@ -273,4 +274,4 @@ def scan(documents: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: d
     base phrase, 0 with nothing. Null text is empty; empty and wordless texts have no words and empty
     labels; repeated rows give equal rows; other columns are ignored. A text of any length is streamed."""
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(_scan(templates, phrases, min_match, min_coverage, max_gap), SCANNED)
+    return map_in_arrow(rows, _scan(templates, phrases, min_match, min_coverage, max_gap), SCANNED)

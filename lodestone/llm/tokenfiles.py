@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.llm.batches import map_in_arrow
 from lodestone.llm.bpe import Encoder
 from lodestone.llm.textbytes import text_buffer
 from lodestone.scratch import materialize
@@ -84,7 +85,7 @@ def write(documents: DataFrame, path: str, vocabulary_path: str, end_id: int, vo
     if end_id & 0xFF >= 0x80 or vocabulary_size + TAG_BASE + 1 > 1 << 16:
         raise ValueError("ids do not fit the file format")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.mapInArrow(_chunks(vocabulary_path, end_id, vocabulary_size, chunk_bytes), "value binary")
+    rows = map_in_arrow(docs, _chunks(vocabulary_path, end_id, vocabulary_size, chunk_bytes), "value binary")
     rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", chr(end_id & 0xFF)).option("compression", "gzip").option("maxRecordsPerFile", chunks_per_file).text(path)
     return path
 
@@ -144,7 +145,7 @@ def count(spark: SparkSession, path: str, end_id: int, vocabulary_size: int, blo
     A document's position is the number of separators before it: those of the stream's earlier blocks, by
     a prefix sum over one row a block, plus those before it in its own."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    pieces = materialize(files.select("path", "content").mapInArrow(_scan(end_id, vocabulary_size, block_tokens), _PIECES), "token-pieces")
+    pieces = materialize(map_in_arrow(files.select("path", "content"), _scan(end_id, vocabulary_size, block_tokens), _PIECES), "token-pieces")
     blocks = pieces.filter("piece = 0").select("stream", "file", "block", "separators")
     before = F.sum("separators").over(Window.partitionBy("stream").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = blocks.select("stream", "file", "block", F.coalesce(before, F.lit(0)).alias("before"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.llm.batches import map_in_arrow
 from lodestone.scratch import materialize
 
 LOW = 2  # bits dropped from values and queries in the slices
@@ -190,6 +191,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_column: str = "
     held = rows.select(F.pmod("deal", F.lit(n_blocks)).cast("int").alias("block"), F.size("v").alias("dim"), F.lit(0).alias("kind"), "vec_id", "v")
     every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.size("v").alias("dim"), F.lit(1).alias("kind"), "vec_id", "v")
     met = held.unionByName(every).repartitionById(n_blocks, "block").sortWithinPartitions("block", "dim", "kind", "vec_id")
-    best = met.mapInArrow(_search(k), BEST)
+    best = map_in_arrow(met, _search(k), BEST)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

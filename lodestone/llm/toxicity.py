@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import map_in_arrow
 from lodestone.llm.textbytes import LOWER, blocks, expand, span_hashes, text_buffer, words
 
 SCORED = "doc_id long, score double, predicted int, worst string"
@@ -352,7 +353,7 @@ def learn(documents: DataFrame, labels: DataFrame, max_texts: int = 2000, landma
     wanted = F.broadcast(spark.createDataFrame(sorted(ids.items()), "doc_id long, toxic int"))  # at most 2 * max_texts rows
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     sample = docs.join(wanted, "doc_id").select("doc_id", "text", "toxic").repartition(1)
-    r = sample.mapInArrow(_fit(landmarks, negatives, positives), "landmarks array<binary>, beta array<double>, bias double, slope double, shift double").first()
+    r = map_in_arrow(sample, _fit(landmarks, negatives, positives), "landmarks array<binary>, beta array<double>, bias double, slope double, shift double").first()
     return Model([bytes(x) for x in r["landmarks"]], np.array(r["beta"]), r["bias"], r["slope"], r["shift"])
 
 
@@ -410,11 +411,11 @@ def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text_co
 
     Null, empty and wordless texts get the model's score of no unit and no worst one; repeated rows
     get equal rows; ids may be null; other columns are ignored; an empty table gives no rows."""
-    return documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(_score(model), SCORED)
+    return map_in_arrow(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), _score(model), SCORED)
 
 
 def decide(documents: DataFrame, model: Model) -> DataFrame:
     """`row`, a struct of all columns of `documents` (text among them), beside score, predicted, worst."""
     kind = documents.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    return documents.select(F.struct("*").alias("row"), "text").mapInArrow(_score(model), SCORED.replace("doc_id long", f"row {kind}"))
+    return map_in_arrow(documents.select(F.struct("*").alias("row"), "text"), _score(model), SCORED.replace("doc_id long", f"row {kind}"))
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.batches import map_in_arrow
 from lodestone.llm.textbytes import blocks, text_buffer
 from lodestone.scratch import materialize, scratch_path
 
@@ -96,7 +97,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, chunk_bytes:
     """Write deduplicated archives of `pages` (page_id, url, html; other columns are ignored) under
     `path` and return it. Null html is an empty payload, null url an empty target. A file holds at most
     `chunks_per_file` chunks, and a chunk about `chunk_bytes` bytes, or one record that is larger."""
-    chunks = records(pages, resolve(pages, min_bytes)).mapInArrow(_gather(chunk_bytes), "value binary")
+    chunks = map_in_arrow(records(pages, resolve(pages, min_bytes)), _gather(chunk_bytes), "value binary")
     chunks.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", chunks_per_file).text(path)
     return path
 
@@ -139,7 +140,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """`RECORDS` of the archives under `path`, a row a record; `payload_ok` says whether a
     response's payload has the digest and length that its header claims."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(_read, RECORDS)
+    return map_in_arrow(files.select("content"), _read, RECORDS)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
