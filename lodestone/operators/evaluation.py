@@ -95,3 +95,36 @@ def readiness(penalties: dict[str, tuple[Column, int]], reject: Column) -> tuple
         points = points - F.when(condition, n).otherwise(0)
     score = F.greatest(F.lit(0), points)
     return score, F.when(reject, "reject").when(score >= 85, "promotable").when(score >= 60, "ready_for_validation").otherwise("needs_review")
+
+
+# ---- feedback and packages -----------------------------------------------------------------------
+
+# What an answer can lack, and words of requirements.
+LACKS = ("incomplete_answer", "inaccurate_answer", "retrieval_miss", "irrelevant_answer", "missing_evidence", "unclear_term")
+REQUIRING = "应|必须|不得|不应|需|需要|要求|shall|must|should|require"
+
+
+def accepted_feedback(feedback: DataFrame) -> DataFrame:
+    """Feedback whose satisfaction and category are known; the rest is refused."""
+    return feedback.filter(F.col("satisfaction").isin("satisfied", "unsatisfied") & F.col("category").isin(*LACKS))
+
+
+def reflected(feedback: DataFrame) -> DataFrame:
+    """Unsatisfied feedback (category, hits, confidence, doc_id) with root_cause and action: what the search found and how sure
+    the answer was tell apart causes of one category."""
+    c, none = F.col("category"), F.coalesce(F.col("hits"), F.lit(0)) == 0
+    cause = (
+        F.when(c == "retrieval_miss", F.when(none, "fact_extraction_gap").otherwise("retrieval_quality_low")).when(c == "incomplete_answer", "knowledge_extraction_incomplete")
+        .when(c == "inaccurate_answer", F.when(F.col("confidence") < 0.5, "low_confidence_answer").otherwise("fact_quality_low")).when(c == "irrelevant_answer", "intent_mismatch")
+        .when(c == "missing_evidence", "evidence_link_missing").otherwise("term_definition_missing")
+    )
+    action = F.when(c == "retrieval_miss", F.when(none, "rebuild_coverage").otherwise("auto_activate_golden")).when(c == "incomplete_answer", F.when(F.col("doc_id").isNotNull(), "rebuild_coverage")).otherwise("review")
+    return feedback.filter("satisfaction = 'unsatisfied'").withColumn("root_cause", cause).withColumn("action", action)
+
+
+def imported(sources: DataFrame, package: str, text: str) -> DataFrame:
+    """package, candidates, promoted: the distinct sentences of a package's sources that state a requirement or a number are
+    candidates, and those with a number, which can be held against measurements, are promoted at once."""
+    parts = sources.select(package, F.explode(F.split(text, r"[\n。；;.!?]+")).alias("part")).withColumn("part", F.trim("part")).filter("part <> ''")
+    found = parts.filter(F.lower("part").rlike(f"{REQUIRING}|[0-9]")).distinct()
+    return found.groupBy(package).agg(F.count("*").alias("candidates"), F.count_if(F.col("part").rlike("[0-9]")).alias("promoted"))

@@ -15,15 +15,6 @@ def a01(t: Tables) -> DataFrame:
     return t.lineitem.filter("l_shipdate >= '1998-01-01' and l_discount > 0.05").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("a02_table_listing", "SELECT 'orders' AS name, (SELECT count(*) FROM orders) AS n UNION ALL SELECT 'part', (SELECT count(*) FROM part) UNION ALL SELECT 'events', (SELECT count(*) FROM events)")
-def a02(t: Tables) -> DataFrame:
-    out = None
-    for name in ("orders", "part", "events"):
-        one = getattr(t, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query("a03_registration", "SELECT min('doc/' || lpad(CAST(doc_id AS VARCHAR), 9, '0')) AS path, sha256(text) AS sha256 FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id < 20) GROUP BY 2")
 def a03(t: Tables) -> DataFrame:
     found = t.documents.select(F.concat(F.lit("doc/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.col("text").alias("content"))
@@ -31,12 +22,6 @@ def a03(t: Tables) -> DataFrame:
     return files.register(found, known).select("path", "sha256")
 
 
-@query("a04_source_types", "SELECT path, kind FROM (VALUES ('a/b.PDF', 'pdf'), ('x.md', 'markdown'), ('x.tar.xlsx', 'excel'), ('noext', 'file'), ('p/q.jpeg?x=1', 'image')) v(path, kind)")
-def a04(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(x,) for x in ("a/b.PDF", "x.md", "x.tar.xlsx", "noext", "p/q.jpeg?x=1")], "path string")
-    return rows.select("path", files.source_type("path").alias("kind"))
-
-
 @query("a05_text_profile", "SELECT page_id, length(html) AS n, round((length(html) - length(regexp_replace(html, '[A-Za-z]', '', 'g'))) / length(html), 6) AS letters FROM pages")
 def a05(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.length("html").cast("long").alias("n"), F.round(T.share_of("html", "A-Za-z"), 6).alias("letters"))

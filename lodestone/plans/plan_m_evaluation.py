@@ -127,11 +127,6 @@ def m23(t: Tables) -> DataFrame:
 # ---- N, P --------------------------------------------------------------------------------------
 
 
-@query("n01_job_queue", "SELECT user_id, arg_max(event_type, ts) AS status, count(*) FILTER (event_type = 'error') AS retries FROM events GROUP BY 1")
-def n01(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.max_by("event_type", "ts").alias("status"), F.count_if(F.col("event_type") == "error").alias("retries"))
-
-
 @query(
     "n04_freshness",
     "SELECT CASE WHEN m + o > 0 THEN 'stale' ELSE 'fresh' END AS status, m AS missing, o AS orphan FROM (SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS m, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS o)",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,3 +82,9 @@ def chunks(lines: DataFrame, doc: str, line_no: str, text: str, is_heading: Colu
     numbered = lines.withColumn("chunk", F.sum(is_heading.cast("long")).over(w))
     body = F.array_sort(F.collect_list(F.struct(line_no, text)))
     return numbered.groupBy(doc, "chunk").agg(F.count("*").alias("lines"), F.array_join(F.transform(body, lambda x: x[text]), "\n").alias("body"))
+
+
+def listing(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n: each table and its number of rows."""
+    one = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, one)
