@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.functions import rules as R
 
@@ -47,6 +48,13 @@ def retrieval_quality(hits: DataFrame, anchors: DataFrame, min_recall: float = 0
     return out.select("case_id", "must", "found", "best_rank", recall("__5").alias("recall_at_5"), recall("__10").alias("recall_at_10"), F.round(F.coalesce(1 / F.col("best_rank"), F.lit(0.0)), 6).alias("mrr"), "negatives", why.alias("attribution"))
 
 
+def retrieval_run(hits: DataFrame, texts: DataFrame, anchors: DataFrame, item: str = "doc_id", text: str = "text") -> DataFrame:
+    """`retrieval_quality` of the hits (query_id, item, score) of all cases at once, ranked by score, over their texts."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), item)
+    ranked = hits.withColumn("rank", F.row_number().over(w)).join(texts.select(item, F.col(text).alias("text")), item)
+    return retrieval_quality(ranked.select(F.col("query_id").alias("case_id"), "rank", "text"), anchors)
+
+
 def tokens(c: Column | str) -> Column:
     """The distinct tokens that coverage counts: Chinese terms of 2 to 8 characters, numbers with units, codes of
     standards, and every single letter or digit."""
@@ -74,8 +82,6 @@ def token_overlap(answer: Column, point: Column) -> Column:
 
 def run_deltas(runs: DataFrame, suite: str, at: str, metrics: list[str]) -> DataFrame:
     """Each run with its metrics' changes against the suite's run before."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(suite).orderBy(at)
     return runs.select("*", *(F.round(F.col(m) - F.lag(m).over(w), 6).alias(f"{m}_delta") for m in metrics))
 

@@ -62,15 +62,6 @@ def i05(t: Tables) -> DataFrame:
 _SYN = {"license": ["copyright", "apache"], "password": ["secret"]}
 
 
-@query(
-    "i06_query_variants",
-    f"""SELECT query_id, lower(question) AS variant FROM (VALUES {_VALUES}) v(query_id, question)
-    UNION SELECT query_id, s.w FROM (VALUES {_VALUES}) v(query_id, question), (VALUES ('license', 'copyright'), ('license', 'apache'), ('password', 'secret')) s(k, w) WHERE contains(question, s.k)""",
-)
-def i06(t: Tables) -> DataFrame:
-    return R.expand_synonyms(t.spark.createDataFrame(QUESTIONS, "query_id int, question string"), _SYN)
-
-
 _HYBRID = f"""WITH {_BM25}{_COS}, u AS (SELECT query_id, doc_id, round(score * 1.0, 9) AS score, 'bm25' AS channel FROM bm UNION ALL SELECT query_id, doc_id, round(score * 0.6, 9), 'cosine' FROM cs),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, channel) AS m FROM u) WHERE m = 1)
 SELECT query_id, doc_id, score, channel FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM b) WHERE n <= 15"""
