@@ -147,13 +147,14 @@ def one(q: tuple) -> dict[str, str]:
     t = plain(target)
     names = [t, t.replace("测试", "验证"), t.replace("验证", "测试"), t.replace("过程域", ""), t.replace("过程", "")]
     named, practice, life = has(body, *names), rf"regexp_matches(payload, '{K.PRACTICE}')", kind == "lifecycle_lookup"
+    flat_practice = f"regexp_matches({body}, '{K.PRACTICE[:-2]}([^0-9A-Za-z_一-鿿]|$)')"  # a letter of any script after the number goes on with the word
     if kind == "parameter_lookup":
         fact = f"CASE fact_type WHEN 'parameter_value' THEN {value} + {resist} WHEN 'table_requirement' THEN {table} + {resist} WHEN 'term_definition' THEN CASE WHEN {matched} > 0 THEN 0.08 ELSE -0.12 END WHEN 'process_fact' THEN -0.18 WHEN 'transition_fact' THEN -0.18 WHEN 'section_heading' THEN -0.18 ELSE 0 END"
     else:
         special = ""
         if kind in ("lifecycle_lookup", "timing_lookup"):
             process = f"CASE WHEN {practice} THEN 0.55 + {focus} ELSE -0.18 END" if life else "0.55"
-            special = f"WHEN 'process_fact' THEN {process} WHEN 'table_requirement' THEN CASE WHEN {practice} THEN 0.62 + {focus} WHEN {named} THEN 0.3 ELSE 0.05 END WHEN 'section_heading' THEN CASE WHEN {named} THEN 0.22 ELSE -0.12 END WHEN 'transition_fact' THEN {-0.12 if life else 0.35}"
+            special = f"WHEN 'process_fact' THEN {process} WHEN 'table_requirement' THEN CASE WHEN {flat_practice} THEN 0.62 + {focus} WHEN {named} THEN 0.3 ELSE 0.05 END WHEN 'section_heading' THEN CASE WHEN {named} THEN 0.22 ELSE -0.12 END WHEN 'transition_fact' THEN {-0.12 if life else 0.35}"
         if kind == "test_method_lookup":
             wanted = [plain(x) for x in [normal, target, *must, *should, *aliases]] + [plain(x) for x in (("输入过、欠压", "交流输入过、欠压", "过压保护试验") if "输入过压" in normal + target else ())]
             tests = points(("true", 0.35), (f"{has(body, '试验', '测试', '测量', '检测')} AND {has(body, '试验方法及步骤', '按照图', '接好试验电路', '调节', '测量', '观察')}", 0.65), (has(body, *wanted), 0.45))
