@@ -92,12 +92,6 @@ def i11(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.round(T.match_count(F.lower("text"), seeds) / len(seeds), 6).alias("ratio"))
 
 
-@query("i12_typed_hits", "SELECT doc_id, CAST(CASE WHEN contains(text, 'Apache License') THEN 2.0 WHEN contains(text, 'MIT License') THEN 1.5 ELSE 1.0 END AS DOUBLE) AS score FROM documents WHERE contains(lower(text), 'licen')")
-def i12(t: Tables) -> DataFrame:
-    score = F.when(F.contains("text", F.lit("Apache License")), 2.0).when(F.contains("text", F.lit("MIT License")), 1.5).otherwise(1.0)
-    return t.documents.filter(F.contains(F.lower("text"), F.lit("licen"))).select("doc_id", score.alias("score"))
-
-
 @query("i15_weighted_terms", "SELECT doc_id, CAST(least(0.28 * CAST(contains(lower(text), 'license') AS INTEGER) + 0.12 * CAST(contains(lower(text), 'the') AS INTEGER) + 0.12 * CAST(contains(lower(text), 'version') AS INTEGER), 0.4) AS DOUBLE) AS score FROM documents")
 def i15(t: Tables) -> DataFrame:
     low = F.lower("text")
@@ -105,12 +99,6 @@ def i15(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.round(F.least(score, F.lit(0.4)), 6).alias("score"))
 
 
-@query("i17_prefix_injection", "SELECT p_partkey, 0.99::DOUBLE AS score FROM part WHERE starts_with(upper(replace(p_brand, '#', '')), 'BRAND1')")
-def i17(t: Tables) -> DataFrame:
-    code = F.upper(F.replace("p_brand", F.lit("#"), F.lit("")))
-    return t.part.filter(F.startswith(code, F.lit("BRAND1"))).select("p_partkey", F.lit(0.99).alias("score"))
-
-
 @query("i23_linked_evidence", "SELECT DISTINCT d.doc_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1 AND d.n_chars > 1000")
 def i23(t: Tables) -> DataFrame:
     return t.documents.filter("n_chars > 1000").select("doc_id").join(t.labels.filter("quality = 1").select("doc_id"), "doc_id", "left_semi").distinct()
@@ -150,12 +138,6 @@ def i32(t: Tables) -> DataFrame:
     return e.groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.min("src").alias("first_source"))
 
 
-@query("i38_evidence_ranking", "SELECT doc_id, line_no, length(normalized_text) AS score FROM v_evidence WHERE contains(normalized_text, 'License') ORDER BY score DESC, doc_id, line_no LIMIT 20")
-def i38(t: Tables) -> DataFrame:
-    rows = t.v_evidence.filter(F.contains("normalized_text", F.lit("License"))).select("doc_id", "line_no", F.length("normalized_text").cast("long").alias("score"))
-    return rows.orderBy(F.desc("score"), "doc_id", "line_no").limit(20)
-
-
 @query("i43_ambiguity", "SELECT p_name AS name, count(DISTINCT p_type) AS senses FROM part GROUP BY 1 HAVING count(DISTINCT p_type) >= 2")
 def i43(t: Tables) -> DataFrame:
     return t.part.groupBy(F.col("p_name").alias("name")).agg(F.countDistinct("p_type").alias("senses")).filter("senses >= 2")

@@ -16,7 +16,7 @@ _ANCHORS = "(VALUES ('general public license', 'must', 'g'), ('mail', 'must', 'm
 
 @query(
     "m01_retrieval_quality",
-    f"""WITH h AS (SELECT doc_id AS case_id, line_no AS rank, lower(regexp_replace(normalized_text, '\s+', '', 'g')) AS text FROM v_evidence),
+    rf"""WITH h AS (SELECT doc_id AS case_id, line_no AS rank, lower(regexp_replace(normalized_text, '\s+', '', 'g')) AS text FROM v_evidence),
     a AS (SELECT DISTINCT case_id, anchor, kind FROM h, {_ANCHORS} x(anchor, kind, k)),
     r AS (SELECT a.case_id, a.anchor, a.kind, min(h.rank) FILTER (contains(h.text, replace(a.anchor, ' ', '')) OR (kind = 'must' AND contains(anchor, ' ') AND list_bool_and(list_transform(string_split(anchor, ' '), lambda t: contains(h.text, t))))) AS rank FROM a JOIN h ON a.case_id = h.case_id GROUP BY 1, 2, 3),
     q AS (SELECT case_id, count(*) FILTER (kind = 'must') AS must, count(*) FILTER (kind = 'must' AND rank IS NOT NULL) AS found, min(rank) FILTER (kind = 'must') AS best_rank,

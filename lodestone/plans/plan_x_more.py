@@ -143,29 +143,11 @@ def i13(t: Tables) -> DataFrame:
     return t.part.filter(J.either(a, b, c)).select("p_partkey", F.round(score, 6).alias("score"))
 
 
-@query("i14_code_siblings", "SELECT a.p_partkey, count(*) AS siblings FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey GROUP BY 1")
-def i14(t: Tables) -> DataFrame:
-    w = Window.partitionBy("p_brand", "p_size")
-    return t.part.select("p_partkey", (F.count("*").over(w) - 1).alias("siblings")).filter("siblings > 0")
-
-
 @query("i16_routing_terms", "SELECT term, CASE WHEN regexp_matches(term, '^[0-9]') THEN 'hard' WHEN length(term) >= 8 THEN 'long' ELSE 'plain' END AS route FROM (SELECT DISTINCT term FROM v_terms)")
 def i16(t: Tables) -> DataFrame:
     return t.v_terms.select("term").distinct().select("term", F.when(F.col("term").rlike("^[0-9]"), "hard").when(F.length("term") >= 8, "long").otherwise("plain").alias("route"))
 
 
-@query("i18_definition_tiers", "SELECT doc_id, (CASE WHEN starts_with(text, 'The') THEN 3.6 WHEN contains(text, ' is the ') THEN 3.2 ELSE 3.0 END)::DOUBLE AS score FROM documents WHERE contains(text, 'the')")
-def i18(t: Tables) -> DataFrame:
-    score = F.when(F.startswith("text", F.lit("The")), 3.6).when(F.contains("text", F.lit(" is the ")), 3.2).otherwise(3.0)
-    return t.documents.filter(F.contains("text", F.lit("the"))).select("doc_id", score.alias("score"))
-
-
-@query("i19_two_phase", "SELECT doc_id, 1 AS phase FROM documents WHERE contains(text, 'MIT License') UNION ALL SELECT doc_id, 2 FROM documents WHERE contains(text, 'License') AND NOT contains(text, 'MIT License')")
-def i19(t: Tables) -> DataFrame:
-    full, part = F.contains("text", F.lit("MIT License")), F.contains("text", F.lit("License"))
-    return t.documents.select("doc_id", F.when(full, 1).when(part, 2).alias("phase")).filter("phase is not null")
-
-
 @query("i22_context_union", "SELECT doc_id, 'good' AS kind FROM labels WHERE quality = 1 UNION SELECT doc_id, 'bad' FROM labels WHERE toxic = 1")
 def i22(t: Tables) -> DataFrame:
     good = t.labels.filter("quality = 1").select("doc_id", F.lit("good").alias("kind"))
@@ -294,17 +276,6 @@ def l14(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.classify(F.lower("text"), [("license", "license"), ("password|secret", "security")], "general").alias("intent"))
 
 
-@query("m02_answer_quality", "SELECT run_id, CASE WHEN score < 10 THEN 'no_answer' WHEN passed = 1 THEN 'ok' WHEN suite_id = 'error' THEN 'error' ELSE 'weak' END AS attribution FROM v_runs")
-def m02(t: Tables) -> DataFrame:
-    return t.v_runs.select("run_id", F.when(F.col("score") < 10, "no_answer").when(F.col("passed") == 1, "ok").when(F.col("suite_id") == "error", "error").otherwise("weak").alias("attribution"))
-
-
-@query("m03_safety", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'unsafe' WHEN quality = 0 THEN 'degraded' WHEN quality IS NULL THEN 'unknown' ELSE 'safe' END AS diagnosis FROM documents LEFT JOIN labels USING (doc_id)")
-def m03(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id").join(t.labels, "doc_id", "left")
-    return rows.select("doc_id", F.when(F.col("toxic") == 1, "unsafe").when(F.col("quality") == 0, "degraded").when(F.col("quality").isNull(), "unknown").otherwise("safe").alias("diagnosis"))
-
-
 @query("m05_question_quota", "SELECT lang, doc_id, 'What does document ' || doc_id || ' say?' AS question FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents WHERE n_chars > 300) WHERE n <= 7")
 def m05(t: Tables) -> DataFrame:
     top = ranking.top_per_group(t.documents.filter("n_chars > 300").select("lang", "doc_id"), ["lang"], 7, "doc_id")
