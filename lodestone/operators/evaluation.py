@@ -134,3 +134,69 @@ def imported(sources: DataFrame, package: str, text: str) -> DataFrame:
     parts = sources.select(package, F.explode(F.split(text, r"[\n。；;.!?]+")).alias("part")).withColumn("part", F.trim("part")).filter("part <> ''")
     found = parts.filter(F.lower("part").rlike(f"{REQUIRING}|[0-9]")).distinct()
     return found.groupBy(package).agg(F.count("*").alias("candidates"), F.count_if(F.col("part").rlike("[0-9]")).alias("promoted"))
+
+
+# ---- failures, golden cases and comparisons --------------------------------------------------------
+
+# What a failed answer's attribution means, and words of a failure's reason, first match first.
+FAILED_ANSWERS = {
+    "answer_render_artifact": "answer_render_artifact", "forbidden_content": "llm_generation_wrong", "answer_mode_wrong": "answer_policy_wrong", "evidence_shape_wrong": "evidence_shape_wrong",
+    "evidence_not_sufficient": "evidence_judge_wrong", "fallback_answer": "answer_policy_wrong", "citation_missing": "citation_missing",
+}
+REASONS = (
+    ("parse", "parse_missing"), ("evidence", "evidence_missing"), ("unit", "source_unit_missing"), ("graph", "graph_path_missing"), ("judge", "evidence_judge_wrong"), ("policy|answer_mode", "answer_policy_wrong"),
+    ("llm|generation", "llm_generation_wrong"), ("rerank", "rerank_wrong"), ("retrieval|miss", "retrieval_miss"),
+)
+BLOCKING = ("missing_query", "missing_assertion_signal", "candidate_tier_blocked", "eval_failure_missing_stable_expected_contract", "ontology_gap_generation_not_implemented")
+
+
+def failure_types(cases: DataFrame) -> DataFrame:
+    """Failed cases (reason, attribution, entities noisy, graph_candidates, expects_graph, topic_confidence, assert_mode, retrieved,
+    answer) with `failure`: what the answer's check said, else noise, graph and topic, else the words of the reason."""
+    table = F.create_map(*(F.lit(x) for pair in FAILED_ANSWERS.items() for x in pair))
+    reason, answer = F.lower(F.coalesce("reason", F.lit(""))), F.coalesce("answer", F.lit(""))
+    chain = F.when(reason.rlike("shape"), "evidence_shape_wrong").when(F.col("noisy"), "entity_quality_pollution").when((F.col("graph_candidates") == 0) & F.col("expects_graph"), "graph_not_engaged").when(F.col("topic_confidence") <= 0, "topic_resolution_wrong")
+    for pattern, kind in REASONS:
+        chain = chain.when(reason.rlike(pattern), kind)
+    context = F.col("assert_mode") == "context_contains"
+    last = chain.when(context & (F.col("retrieved") == 0), "retrieval_miss").when(~context & (answer != ""), "answer_policy_wrong").otherwise("unknown")
+    return cases.withColumn("failure", F.coalesce(table[F.col("attribution")], last))
+
+
+def activation(candidates: DataFrame) -> DataFrame:
+    """Golden candidates (query, signals, tier, origin, expects) with `reasons` and `readiness`: blocked, review_required, active or ready."""
+    reasons = {
+        "missing_query": F.trim(F.coalesce("query", F.lit(""))) == "", "missing_assertion_signal": F.coalesce("signals", F.lit(0)) == 0, "candidate_tier_blocked": F.col("tier") == "blocked", "corpus_eval_requires_review": F.col("tier") == "corpus_eval",
+        "eval_failure_missing_stable_expected_contract": (F.col("origin") == "eval_failure") & ~F.coalesce("expects", F.lit(False)), "ontology_gap_generation_not_implemented": F.col("origin") == "ontology_gap",
+    }
+    names = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in reasons.items())))
+    rows = candidates.withColumn("reasons", names)
+    state = F.when(F.arrays_overlap("reasons", F.array(*map(F.lit, BLOCKING))), "blocked").when(F.size("reasons") > 0, "review_required").when(F.col("tier") == "golden_active", "active").otherwise("ready")
+    return rows.withColumn("readiness", state)
+
+
+def stale_cases(cases: DataFrame, documents: DataFrame, doc: str, made: str, updated: str) -> DataFrame:
+    """(doc, total, stale): cases older than their document's last update; those of unknown documents are fresh."""
+    both = cases.join(documents.select(doc, F.col(updated).alias("__updated")), doc, "left")
+    return both.groupBy(doc).agg(F.count("*").alias("total"), F.count_if(F.col(made) < F.col("__updated")).alias("stale"))
+
+
+def quality_summary(quality: DataFrame, by: list[str]) -> DataFrame:
+    """by, cases, recall_at_5, recall_at_10, mrr, negative_rate, failures of `retrieval_quality` rows."""
+    mean = lambda c: F.round(F.avg(c), 6)
+    negative = F.round(F.avg((F.col("negatives") > 0).cast("int")), 6)
+    return quality.groupBy(*by).agg(F.count("*").alias("cases"), mean("recall_at_5").alias("recall_at_5"), mean("recall_at_10").alias("recall_at_10"), mean("mrr").alias("mrr"), negative.alias("negative_rate"), F.count_if(F.col("attribution") != "ok").alias("failures"))
+
+
+def compared_answers(old: DataFrame, new: DataFrame, key: str, category: str, ok: str) -> DataFrame:
+    """category, questions, old_passed, new_passed, gained, lost of two runs over the same questions; a question that
+    a run lacks failed there."""
+    a, b = old.select(key, F.col(category).alias("__c1"), F.col(ok).alias("__old")), new.select(key, F.col(category).alias("__c2"), F.col(ok).alias("__new"))
+    both = a.join(b, key, "full_outer").select(F.coalesce("__c1", "__c2").alias(category), F.coalesce("__old", F.lit(False)).alias("o"), F.coalesce("__new", F.lit(False)).alias("n"))
+    return both.groupBy(category).agg(F.count("*").alias("questions"), F.count_if("o").alias("old_passed"), F.count_if("n").alias("new_passed"), F.count_if(~F.col("o") & F.col("n")).alias("gained"), F.count_if(F.col("o") & ~F.col("n")).alias("lost"))
+
+
+def hotspots(queries: DataFrame, doc: str, confidence: str, least: int, below: float) -> DataFrame:
+    """(doc, n, mean): documents with at least `least` answers under confidence `below`, which are to be looked at."""
+    return queries.filter(F.col(confidence) < below).groupBy(doc).agg(F.count("*").alias("n"), F.round(F.avg(confidence), 6).alias("mean")).filter(F.col("n") >= least)
+

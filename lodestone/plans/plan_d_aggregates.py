@@ -260,5 +260,3 @@ def d36(t: Tables) -> DataFrame:
 def d37(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "source", "n_chars").join(t.labels, "doc_id", "left")
     return rows.groupBy("source").agg(F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.round(F.avg("quality"), 4).alias("mean_quality"))
-
-

@@ -136,8 +136,3 @@ def i30(t: Tables) -> DataFrame:
 def i32(t: Tables) -> DataFrame:
     e = t.v_edges.filter(F.col("src").isin("S1", "S2", "S3", "N1", "N2"))
     return e.groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.min("src").alias("first_source"))
-
-
-@query("i43_ambiguity", "SELECT p_name AS name, count(DISTINCT p_type) AS senses FROM part GROUP BY 1 HAVING count(DISTINCT p_type) >= 2")
-def i43(t: Tables) -> DataFrame:
-    return t.part.groupBy(F.col("p_name").alias("name")).agg(F.countDistinct("p_type").alias("senses")).filter("senses >= 2")

@@ -17,20 +17,6 @@ def k02(t: Tables) -> DataFrame:
     return K.typed_lines(t.v_evidence, "normalized_text").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(
-    "k03_layout_cleaning",
-    """WITH f AS (SELECT doc_id, normalized_text, min(line_no) AS line_no FROM v_evidence GROUP BY 1, 2) SELECT doc_id, line_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INTEGER) AS position FROM f""",
-)
-def k03(t: Tables) -> DataFrame:
-    return K.without_repeats(t.v_evidence, "doc_id", "line_no", "normalized_text").select("doc_id", "line_no", "position")
-
-
-@query("k04_reading_order", "SELECT doc_id, string_agg(left(normalized_text, 1), '' ORDER BY line_no) AS initials FROM v_evidence GROUP BY 1")
-def k04(t: Tables) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("line_no", F.substring("normalized_text", 1, 1).alias("c"))))
-    return t.v_evidence.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda x: x["c"]), "").alias("initials"))
-
-
 @query(
     "k05_wrapped_lines",
     """WITH b AS (SELECT *, CASE WHEN regexp_matches(coalesce(lag(normalized_text) OVER (PARTITION BY doc_id ORDER BY line_no), '.'), '[.!?:;]$') THEN 1 ELSE 0 END AS b FROM v_evidence),
@@ -128,9 +114,3 @@ def k24(t: Tables) -> DataFrame:
 def k26(t: Tables) -> DataFrame:
     per = t.events.groupBy("user_id").agg(F.collect_set(F.when(F.col("event_id") % 2 == 0, F.col("event_type"))).alias("o"), F.collect_set(F.when((F.col("event_id") % 2 == 1) & (F.col("value") > 30), F.col("event_type"))).alias("n"))
     return per.select("user_id", K.scope_change(F.col("o"), F.col("n")).alias("status"))
-
-
-@query("k28_missing_sections", "SELECT DISTINCT lower(trim(normalized_text)) AS title FROM v_evidence WHERE length(normalized_text) < 40 AND lower(trim(normalized_text)) NOT IN (SELECT lower(trim(normalized_text)) FROM v_evidence WHERE doc_id % 2 = 0)")
-def k28(t: Tables) -> DataFrame:
-    lines = t.v_evidence.withColumn("title", F.lower(F.trim("normalized_text")))
-    return lines.filter("length(normalized_text) < 40").select("title").distinct().join(lines.filter("doc_id % 2 = 0").select("title").distinct(), "title", "left_anti")

@@ -14,16 +14,16 @@ from lodestone.plans.views import Tables
 _ANCHORS = "(VALUES ('general public license', 'must', 'g'), ('mail', 'must', 'm'), ('password', 'negative', 'p'))"
 
 
-@query(
-    "m01_retrieval_quality",
-    rf"""WITH h AS (SELECT doc_id AS case_id, line_no AS rank, lower(regexp_replace(normalized_text, '\s+', '', 'g')) AS text FROM v_evidence),
+M01_SQL = rf"""WITH h AS (SELECT doc_id AS case_id, line_no AS rank, lower(regexp_replace(normalized_text, '\s+', '', 'g')) AS text FROM v_evidence),
     a AS (SELECT DISTINCT case_id, anchor, kind FROM h, {_ANCHORS} x(anchor, kind, k)),
     r AS (SELECT a.case_id, a.anchor, a.kind, min(h.rank) FILTER (contains(h.text, replace(a.anchor, ' ', '')) OR (kind = 'must' AND contains(anchor, ' ') AND list_bool_and(list_transform(string_split(anchor, ' '), lambda t: contains(h.text, t))))) AS rank FROM a JOIN h ON a.case_id = h.case_id GROUP BY 1, 2, 3),
     q AS (SELECT case_id, count(*) FILTER (kind = 'must') AS must, count(*) FILTER (kind = 'must' AND rank IS NOT NULL) AS found, min(rank) FILTER (kind = 'must') AS best_rank,
       count(*) FILTER (kind = 'must' AND rank <= 5) AS k5, count(*) FILTER (kind = 'must' AND rank <= 10) AS k10, count(*) FILTER (kind = 'negative' AND rank IS NOT NULL) AS negatives FROM r GROUP BY 1)
     SELECT case_id, must, found, best_rank, round(k5 / must, 6) AS recall_at_5, round(k10 / must, 6) AS recall_at_10, round(coalesce(1 / best_rank, 0), 6) AS mrr, negatives,
-      CASE WHEN negatives > 0 THEN 'negative_hit' WHEN found = 0 THEN 'retrieval_miss' WHEN best_rank > 5 THEN 'rank_too_low' WHEN round(k5 / must, 6) < 0.8 THEN 'recall_at_5_below_threshold' ELSE 'ok' END AS attribution FROM q""",
-)
+      CASE WHEN negatives > 0 THEN 'negative_hit' WHEN found = 0 THEN 'retrieval_miss' WHEN best_rank > 5 THEN 'rank_too_low' WHEN round(k5 / must, 6) < 0.8 THEN 'recall_at_5_below_threshold' ELSE 'ok' END AS attribution FROM q"""
+
+
+@query("m01_retrieval_quality", M01_SQL)
 def m01(t: Tables) -> DataFrame:
     hits = t.v_evidence.select(F.col("doc_id").alias("case_id"), F.col("line_no").alias("rank"), F.col("normalized_text").alias("text"))
     anchors = F.array(*(F.struct(F.lit(a).alias("anchor"), F.lit(k).alias("kind")) for a, k in (("general public license", "must"), ("mail", "must"), ("password", "negative"))))
@@ -65,12 +65,6 @@ def m08(t: Tables) -> DataFrame:
     return E.run_deltas(daily, "suite_id", "day", ["pass_rate"])
 
 
-@query("m09_failure_typing", "SELECT run_id, CASE WHEN score < 5 THEN 'no_hit' WHEN suite_id = 'error' THEN 'runtime' WHEN score < 50 THEN 'low_score' ELSE 'near_miss' END AS failure FROM v_runs WHERE passed = 0")
-def m09(t: Tables) -> DataFrame:
-    kind = F.when(F.col("score") < 5, "no_hit").when(F.col("suite_id") == "error", "runtime").when(F.col("score") < 50, "low_score").otherwise("near_miss")
-    return t.v_runs.filter("passed = 0").select("run_id", kind.alias("failure"))
-
-
 @query(
     "m11_golden_sync",
     """WITH s AS (SELECT p_partkey AS case_id, p_brand AS v FROM part WHERE p_size < 30), i AS (SELECT p_partkey AS case_id, CASE WHEN p_size = 20 THEN 'new' ELSE p_brand END AS v FROM part WHERE p_size >= 20)
@@ -88,12 +82,6 @@ def m13(t: Tables) -> DataFrame:
     return t.documents.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("m17_stale_golden", "SELECT o_orderkey FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS d FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE d > o_orderdate + INTERVAL 100 DAY")
-def m17(t: Tables) -> DataFrame:
-    last = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("d"))
-    return t.orders.join(last, "o_orderkey").filter(F.col("d") > F.col("o_orderdate") + F.expr("INTERVAL 100 DAYS")).select("o_orderkey")
-
-
 @query(
     "m21_health_risks",
     """WITH m AS (SELECT avg(CAST(passed AS DOUBLE)) AS pass_rate, count(*) FILTER (suite_id = 'error') / count(*) AS error_rate FROM v_runs)
@@ -118,12 +106,6 @@ def m22(t: Tables) -> DataFrame:
     return rows.select("doc_id", score.alias("score"), status.alias("status"))
 
 
-@query("m23_old_new_comparison", "SELECT lang, count(*) FILTER (quality = 1) AS old_ok, count(*) FILTER (toxic = 0) AS new_ok, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1")
-def m23(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", "lang").join(t.labels, "doc_id")
-    return rows.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("old_ok"), F.count_if(F.col("toxic") == 0).alias("new_ok"), F.count("*").alias("n"))
-
-
 # ---- N, P --------------------------------------------------------------------------------------
 
 

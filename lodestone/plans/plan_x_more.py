@@ -46,11 +46,6 @@ def d08(t: Tables) -> DataFrame:
     return graph.ancestors(t.v_tree).groupBy("ancestor").agg(F.min("depth").alias("least"), F.max("depth").alias("most"), F.count("*").alias("n"))
 
 
-@query("d19_metric_summary", "SELECT suite_id, round(avg(CASE WHEN score > 50 THEN 1.0 ELSE 0.0 END), 6) AS recall5, round(avg(1 / (1 + floor(score))), 6) AS mrr FROM v_runs GROUP BY 1")
-def d19(t: Tables) -> DataFrame:
-    return t.v_runs.groupBy("suite_id").agg(A.rate(F.col("score") > 50).alias("recall5"), F.round(F.avg(1 / (1 + F.floor("score"))), 6).alias("mrr"))
-
-
 @query("d21_tristate_match", "SELECT lang, count(*) FILTER (quality = 1) AS matched, count(*) FILTER (quality = 0) AS missed, count(*) FILTER (quality IS NULL) AS open FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def d21(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "lang").join(t.labels, "doc_id", "left")
@@ -143,11 +138,6 @@ def i13(t: Tables) -> DataFrame:
     return t.part.filter(J.either(a, b, c)).select("p_partkey", F.round(score, 6).alias("score"))
 
 
-@query("i16_routing_terms", "SELECT term, CASE WHEN regexp_matches(term, '^[0-9]') THEN 'hard' WHEN length(term) >= 8 THEN 'long' ELSE 'plain' END AS route FROM (SELECT DISTINCT term FROM v_terms)")
-def i16(t: Tables) -> DataFrame:
-    return t.v_terms.select("term").distinct().select("term", F.when(F.col("term").rlike("^[0-9]"), "hard").when(F.length("term") >= 8, "long").otherwise("plain").alias("route"))
-
-
 @query("i22_context_union", "SELECT doc_id, 'good' AS kind FROM labels WHERE quality = 1 UNION SELECT doc_id, 'bad' FROM labels WHERE toxic = 1")
 def i22(t: Tables) -> DataFrame:
     good = t.labels.filter("quality = 1").select("doc_id", F.lit("good").alias("kind"))
@@ -212,18 +202,6 @@ def k06(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.max_by("doc_id", F.col("n_chars") * 1000000 - F.col("doc_id")).alias("best"), F.count("*").alias("candidates"))
 
 
-@query("k12_scope_tags", "SELECT p_partkey, array_to_string(list_filter(['red', 'small', 'ring', 'widget'], lambda x: contains(p_name, x)), ',') AS tags FROM part")
-def k12(t: Tables) -> DataFrame:
-    tags = F.array(*map(F.lit, ("red", "small", "ring", "widget")))
-    return t.part.select("p_partkey", F.array_join(F.filter(tags, lambda x: F.contains("p_name", x)), ",").alias("tags"))
-
-
-@query("k14_entity_status", "SELECT p_name, CASE WHEN count(*) < 10 THEN 'quarantined' WHEN max(p_size) < 40 THEN 'stale' ELSE 'ready' END AS status FROM part GROUP BY 1")
-def k14(t: Tables) -> DataFrame:
-    per = t.part.groupBy("p_name").agg(F.count("*").alias("n"), F.max("p_size").alias("m"))
-    return per.select("p_name", F.when(F.col("n") < 10, "quarantined").when(F.col("m") < 40, "stale").otherwise("ready").alias("status"))
-
-
 @query("k17_gap_candidates", "SELECT p_type, p_partkey FROM (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)) WHERE n <= 5")
 def k17(t: Tables) -> DataFrame:
     used = t.lineitem.filter("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey")).distinct()
@@ -231,12 +209,6 @@ def k17(t: Tables) -> DataFrame:
     return ranking.top_per_group(open_, ["p_type"], 5, F.desc("p_retailprice"), "p_partkey").select("p_type", "p_partkey")
 
 
-@query("k18_unit_maps", "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity > 40")
-def k18(t: Tables) -> DataFrame:
-    arrays = t.lineitem.filter("l_quantity > 40").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))  # an order's lines are few
-    return arrays.select("l_orderkey", F.explode("parts").alias("l_partkey"))
-
-
 @query("k20_diagnostics", "SELECT source, count(*) AS docs, round(avg(n_chars), 4) AS mean_chars, CASE WHEN avg(n_chars) < 1500 THEN 'thin' ELSE 'fine' END AS attribution FROM documents GROUP BY 1")
 def k20(t: Tables) -> DataFrame:
     per = t.documents.groupBy("source").agg(F.count("*").alias("docs"), F.avg("n_chars").alias("m"))
@@ -296,12 +268,6 @@ def m10(t: Tables) -> DataFrame:
     return J.compared(old, new, "user_id", "v").select("user_id", status.alias("status"))
 
 
-@query("m12_candidate_tiers", "SELECT doc_id, CASE WHEN quality = 1 AND n_chars > 1000 THEN 'gold' WHEN quality = 1 THEN 'silver' ELSE 'bronze' END AS tier FROM documents JOIN labels USING (doc_id)")
-def m12(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", "n_chars").join(t.labels, "doc_id")
-    return rows.select("doc_id", F.when((F.col("quality") == 1) & (F.col("n_chars") > 1000), "gold").when(F.col("quality") == 1, "silver").otherwise("bronze").alias("tier"))
-
-
 @query("m16_source_trace", "SELECT b.item_id, count(d.doc_id) AS sources FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def m16(t: Tables) -> DataFrame:
     # Passages meet documents on word runs, and whole containment is verified after.
@@ -317,12 +283,6 @@ def m18(t: Tables) -> DataFrame:
     return t.documents.filter("n_chars > 200").select("doc_id").join(t.labels.filter("quality = 0").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("m19_feedback_hotspots", "SELECT user_id, count(*) AS n, round(avg(value), 4) AS mean FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 3 AND avg(value) < 60")
-def m19(t: Tables) -> DataFrame:
-    per = t.events.filter("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("m"))
-    return per.filter("n >= 3 and m < 60").select("user_id", "n", F.round("m", 4).alias("mean"))
-
-
 @query("m24_health_checks", "SELECT 'documents' AS check_name, count(*) >= 100 AS ok FROM documents UNION ALL SELECT 'labels', count(*) >= 10 FROM labels UNION ALL SELECT 'orders', count(*) >= 10000000 FROM orders")
 def m24(t: Tables) -> DataFrame:
     n = lambda df, name, least: df.agg((F.count("*") >= least).alias("ok")).select(F.lit(name).alias("check_name"), "ok")
