@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.scratch import materialize
+
 
 def dangling(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Rows of `left` whose non-null key has no row in `right`."""
@@ -55,31 +57,52 @@ def proximity(left: DataFrame, right: DataFrame, group: str, left_at: str, right
     return own.join(near, [group, "__bucket"]).filter(F.abs(F.col(left_at) - F.col(right_at)) <= distance).drop("__bucket")
 
 
+def _spread(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows dealt into ranges of (key, order), with the number of their range; written once, so that a task that is
+    run again finds the same ranges. A key of any size is spread over as many ranges as it fills."""
+    return materialize(rows.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def _last_known(placed: DataFrame, key: str, order: list[str], value: str, alias: str, ahead: bool = False) -> DataFrame:
+    """`placed` with the last non-null value of the key at or before each row (`ahead`: the first at or after it).
+
+    Ranges are filled on their own, and what a key carries into a range is the last value of its earlier ranges:
+    one row for each range and key, in a window of a key's ranges."""
+    turned = [F.desc(o) if ahead else F.asc(o) for o in order]
+    own = F.last(value, True).over(Window.partitionBy("__part", key).orderBy(*turned).rowsBetween(Window.unboundedPreceding, 0))
+    end = (F.min_by if ahead else F.max_by)(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
+    ends = placed.groupBy("__part", key).agg(end.alias("__end"))
+    before = Window.partitionBy(key).orderBy(F.desc("__part") if ahead else F.asc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.withColumn("__carry", F.last("__end", True).over(before)).filter("__carry is not null").select(F.col("__part").alias("__p"), F.col(key).alias("__k"), "__carry")
+    filled = placed.withColumn(alias, own).join(carry, (F.col("__part") == F.col("__p")) & (F.col(key) == F.col("__k")), "left")
+    return filled.withColumn(alias, F.coalesce(alias, "__carry")).drop("__p", "__k", "__carry")
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, value: str, alias: str) -> DataFrame:
     """`left` and the value of the right row of its key with the nearest position; ties to the smaller
     position, then value. Both sides are merged into one sorted stream per key and filled from
-    either end, so nothing is paired up; rows of keys that `right` lacks get null."""
-    r = right.select(F.col(key), F.col(right_at).alias("__at"), F.struct(F.col(right_at).alias("p"), F.col(value).alias("v")).alias("__r"), F.lit(0).alias("__left"))
+    either end, range by range, so nothing is paired up and a key may hold any share of the rows; rows of keys
+    that `right` lacks, and null keys, get null."""
+    r = right.filter(F.col(key).isNotNull()).select(F.col(key), F.col(right_at).alias("__at"), F.struct(F.col(right_at).alias("p"), F.col(value).alias("v")).alias("__r"), F.lit(0).alias("__left"))
     r = r.groupBy(key, "__at", "__left").agg(F.min("__r").alias("__r"))
     own = left.withColumn("__at", F.col(left_at)).withColumn("__left", F.lit(1))
-    both = own.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("__at", "__left")
-    back = F.last("__r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.last("__r", True).over(Window.partitionBy(key).orderBy(F.desc("__at"), "__left").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("__b", back).withColumn("__a", ahead).filter("__left = 1")
+    placed = _spread(own.unionByName(r, allowMissingColumns=True), key, "__at", "__left")
+    back = _last_known(placed, key, ["__at", "__left"], "__r", "__b")
+    found = _last_known(back, key, ["__at", "__left"], "__r", "__a", ahead=True).filter("__left = 1")
     gap = lambda c: F.abs(F.col("__at") - F.col(f"{c}.p"))
     pick = F.when(F.col("__a").isNull() | (gap("__b") <= gap("__a")), F.col("__b.v")).otherwise(F.col("__a.v"))
-    return found.withColumn(alias, F.when(F.col("__b").isNull(), F.col("__a.v")).otherwise(pick)).drop("__at", "__left", "__r", "__a", "__b")
+    return found.withColumn(alias, F.when(F.col("__b").isNull(), F.col("__a.v")).otherwise(pick)).drop("__at", "__left", "__r", "__a", "__b", "__part")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, alias: str, strict: bool = False) -> DataFrame:
-    """`left` and the value of its key's latest right row not after it (before it if `strict`)."""
-    r = right.select(F.col(key), F.col(right_time).alias("__at"), F.col(value).alias("__v"), F.lit(1 if strict else 0).alias("__order"))
+    """`left` and the value of its key's latest right row not after it (before it if `strict`), null for null keys.
+    As in `nearest`, a key may hold any share of the rows."""
+    r = right.filter(F.col(key).isNotNull()).select(F.col(key), F.col(right_time).alias("__at"), F.struct(F.col(value).alias("v")).alias("__v"), F.lit(1 if strict else 0).alias("__order"))
     r = r.groupBy(key, "__at", "__order").agg(F.max("__v").alias("__v"))
     own = left.withColumn("__at", F.col(left_time)).withColumn("__order", F.lit(0 if strict else 1)).withColumn("__left", F.lit(True))
-    both = own.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("__at", "__order").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(alias, F.last("__v", True).over(w)).filter("__left").drop("__at", "__v", "__order", "__left")
+    placed = _spread(own.unionByName(r, allowMissingColumns=True), key, "__at", "__order")
+    found = _last_known(placed, key, ["__at", "__order"], "__v", "__found").filter("__left")
+    return found.withColumn(alias, F.col("__found.v")).drop("__at", "__v", "__order", "__left", "__found", "__part")
 
 
 def compared(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:

@@ -18,9 +18,9 @@ from lodestone.scratch import materialize
 K1, B = 1.2, 0.75
 
 
-def index(texts: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "text", literal_terms: int = 10_000) -> DataFrame:
+def index(texts: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "text", norms: bool = True, literal_terms: int = 10_000) -> DataFrame:
     """(key, dl, norm, counts): each text's length in terms, the norm of its term counts, and how often it has
-    each of the asked terms (`asked` has a column term).
+    each of the asked terms (`asked` has a column term). Without `norms`, which cost as much as the rest, the norm is null.
 
     Texts are split once, in one narrow pass, and what is written is a few numbers a text, so that statistics
     and scores never see the texts again. Up to `literal_terms` terms go into the expression as a set; of more,
@@ -28,10 +28,11 @@ def index(texts: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "
     words = texts.select(key, T.latin_tokens(text).alias("w"))
     terms = asked.select("term").distinct()
     squares = F.aggregate(
-        F.array_sort("w"), F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s")),
+        F.sort_array("w"), F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s")),
         lambda a, x: F.when(a["t"] == x, F.struct(x.alias("t"), (a["n"] + 1).alias("n"), (a["s"] + 2 * a["n"] + 1).alias("s"))).otherwise(F.struct(x.alias("t"), F.lit(1).cast("long").alias("n"), (a["s"] + 1).alias("s"))),
         lambda a: F.sqrt(a["s"]),
     )
+    squares = squares if norms else F.lit(None).cast("double")
     few = [r[0] for r in terms.limit(literal_terms + 1).collect()]
     if len(few) <= literal_terms:
         hits = F.filter("w", lambda x: x.isin(few) if few else F.lit(False))

@@ -36,7 +36,7 @@ def i01(t: Tables) -> DataFrame:
 @query("i02_bm25_top_k", f"WITH {_BM25} {_TOP.format('bm', 20)}")
 def i02(t: Tables) -> DataFrame:
     q = asked(t)
-    return R.best_k(R.bm25(R.index(t.documents, q), q.select("query_id", "term")), 20)
+    return R.best_k(R.bm25(R.index(t.documents, q, norms=False), q.select("query_id", "term")), 20)
 
 
 @query("i04_tf_cosine", f"WITH {_Q}{_COS} {_TOP.format('cs', 20)}")
