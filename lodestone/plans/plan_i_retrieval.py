@@ -28,11 +28,6 @@ def asked(t: Tables) -> DataFrame:
     return T.term_counts(rows, "query_id", "question")
 
 
-@query("i01_inverted_index", "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS most FROM v_terms GROUP BY 1")
-def i01(t: Tables) -> DataFrame:
-    return t.v_terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("most"))
-
-
 @query("i02_bm25_top_k", f"WITH {_BM25} {_TOP.format('bm', 20)}")
 def i02(t: Tables) -> DataFrame:
     q = asked(t)

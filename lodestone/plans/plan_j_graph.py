@@ -25,13 +25,6 @@ def j03(t: Tables) -> DataFrame:
     return G.seeded_edges(t.v_edges, seeds, {"part_of": 1.2, "located_in": 1.0}, 0.4)
 
 
-@query("j04_topic_expansion", "SELECT e.src AS topic, count(DISTINCT l_orderkey) AS facts FROM v_edges e JOIN lineitem ON e.dst = concat('P', CAST(l_partkey AS VARCHAR)) WHERE e.relation = 'supplies' AND e.src IN ('S1', 'S2') GROUP BY 1")
-def j04(t: Tables) -> DataFrame:
-    e = t.v_edges.filter("relation = 'supplies' and src in ('S1', 'S2')")
-    facts = t.lineitem.select(F.concat(F.lit("P"), "l_partkey").alias("dst"), "l_orderkey")
-    return e.join(facts, "dst").groupBy(F.col("src").alias("topic")).agg(F.countDistinct("l_orderkey").alias("facts"))
-
-
 @query("j05_path_payload", "SELECT a.src, concat_ws(' -> ', a.src, a.dst, b.dst) AS path FROM v_edges a JOIN v_edges b ON a.dst = b.src WHERE a.relation = 'located_in' AND b.relation = 'part_of'")
 def j05(t: Tables) -> DataFrame:
     a = t.v_edges.filter("relation = 'located_in'").select("src", F.col("dst").alias("mid"))

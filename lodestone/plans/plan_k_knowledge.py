@@ -97,14 +97,6 @@ def k21(t: Tables) -> DataFrame:
     return K.acceptance(m, {"has documents": (F.col("n") > 0, "failed"), "no empty text": (F.col("empty") == 0, "warn"), "five languages": (F.col("langs") >= 5, "warn")})
 
 
-@query("k24_risk_history", "SELECT suite_id, day, n, n - lag(n) OVER (PARTITION BY suite_id ORDER BY day) AS delta FROM (SELECT suite_id, CAST(started_at AS DATE) AS day, count(*) AS n FROM v_runs WHERE passed = 0 GROUP BY 1, 2)")
-def k24(t: Tables) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    daily = t.v_runs.filter("passed = 0").groupBy("suite_id", F.col("started_at").cast("date").alias("day")).agg(F.count("*").alias("n"))
-    return daily.withColumn("delta", F.col("n") - F.lag("n").over(Window.partitionBy("suite_id").orderBy("day")))
-
-
 @query(
     "k26_scope_change",
     """WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type) FILTER (event_id % 2 = 0))) AS o, list_sort(list_distinct(list(event_type) FILTER (event_id % 2 = 1 AND value > 30))) AS n FROM events GROUP BY 1),

@@ -76,24 +76,6 @@ def m11(t: Tables) -> DataFrame:
     return E.merge_golden(stored, new, "case_id", "v")
 
 
-@query("m13_skip_reasons", "SELECT CASE WHEN n_chars < 60 THEN 'too_short' WHEN lang <> 'en' THEN 'other_language' WHEN contains(text, '!!') THEN 'noise' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1")
-def m13(t: Tables) -> DataFrame:
-    reason = F.when(F.col("n_chars") < 60, "too_short").when(F.col("lang") != "en", "other_language").when(F.contains("text", F.lit("!!")), "noise").otherwise("kept")
-    return t.documents.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
-@query(
-    "m21_health_risks",
-    """WITH m AS (SELECT avg(CAST(passed AS DOUBLE)) AS pass_rate, count(*) FILTER (suite_id = 'error') / count(*) AS error_rate FROM v_runs)
-    SELECT 'low_pass_rate' AS risk, 'high' AS severity FROM m WHERE pass_rate < 0.5 UNION ALL SELECT 'errors', 'medium' FROM m WHERE error_rate > 0.1 UNION ALL SELECT 'no_runs', 'low' FROM m WHERE pass_rate IS NULL""",
-)
-def m21(t: Tables) -> DataFrame:
-    m = t.v_runs.agg(F.avg("passed").alias("pass_rate"), (F.count_if(F.col("suite_id") == "error") / F.count("*")).alias("error_rate"))
-    rules = [(F.col("pass_rate") < 0.5, "low_pass_rate", "high"), (F.col("error_rate") > 0.1, "errors", "medium"), (F.col("pass_rate").isNull(), "no_runs", "low")]
-    rows = F.array(*(F.struct(c.alias("hit"), F.lit(r).alias("risk"), F.lit(s).alias("severity")) for c, r, s in rules))
-    return m.select(F.inline(rows)).filter("hit").select("risk", "severity")
-
-
 @query(
     "m22_draft_readiness",
     """WITH s AS (SELECT doc_id, quality, greatest(0, 100 - CASE WHEN n_chars < 200 THEN 30 ELSE 0 END - CASE WHEN lang <> 'en' THEN 20 ELSE 0 END - CASE WHEN quality IS NULL THEN 10 ELSE 0 END) AS score FROM documents LEFT JOIN labels USING (doc_id))

@@ -114,12 +114,6 @@ def h41(t: Tables) -> DataFrame:
     return t.v_terms.filter(F.col("term").isin("the", "license", "of")).groupBy("term").agg(F.sum(F.col("tf") * w).alias("w"))
 
 
-@query("i03_match_boost", "SELECT doc_id, (CASE WHEN lang = 'en' THEN 2.0 WHEN lang = 'de' THEN 1.5 ELSE 1.0 END)::DOUBLE AS score FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9./-])license([^a-z0-9./-]|$)')")
-def i03(t: Tables) -> DataFrame:
-    hits = t.v_terms.filter("term = 'license'").select("doc_id")
-    return t.documents.join(hits, "doc_id", "left_semi").select("doc_id", F.when(F.col("lang") == "en", 2.0).when(F.col("lang") == "de", 1.5).otherwise(1.0).alias("score"))
-
-
 @query("i08_staleness_guard", "SELECT count(*) FILTER (l.doc_id IS NULL) AS missing, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id)")
 def i08(t: Tables) -> DataFrame:
     rows = J.with_flag(t.documents.select("doc_id"), t.labels, "doc_id", "doc_id", "indexed")
@@ -144,13 +138,6 @@ def i22(t: Tables) -> DataFrame:
     return good.unionByName(t.labels.filter("toxic = 1").select("doc_id", F.lit("bad").alias("kind"))).distinct()
 
 
-@query("i39_choice_cascade", "SELECT c_custkey, coalesce(p, o, f) AS chosen FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) FILTER (o_orderstatus = 'P') AS p, min(o_orderkey) FILTER (o_orderstatus = 'O') AS o, min(o_orderkey) AS f FROM orders GROUP BY 1) ON o_custkey = c_custkey")
-def i39(t: Tables) -> DataFrame:
-    least = lambda s: F.min(F.when(F.col("o_orderstatus") == s, F.col("o_orderkey")))
-    per = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.coalesce(least("P"), least("O"), F.min("o_orderkey")).alias("chosen"))
-    return t.customer.select("c_custkey").join(per, "c_custkey", "left")
-
-
 @query("i41_answer_confidence", "SELECT user_id, round(greatest(0, least(1, 0.3 + 0.05 * count(*) FILTER (event_type = 'purchase') - 0.04 * count(*) FILTER (event_type = 'error'))), 4)::DOUBLE AS confidence FROM events GROUP BY 1")
 def i41(t: Tables) -> DataFrame:
     n = lambda k: F.count_if(F.col("event_type") == k)
@@ -227,22 +214,12 @@ def k23(t: Tables) -> DataFrame:
     return t.documents.groupBy(action.alias("action")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query("k25_expected_points", "SELECT doc_id, count(*) AS points FROM v_evidence WHERE length(normalized_text) BETWEEN 30 AND 200 GROUP BY 1")
-def k25(t: Tables) -> DataFrame:
-    return t.v_evidence.filter(F.length("normalized_text").between(30, 200)).groupBy("doc_id").agg(F.count("*").alias("points"))
-
-
 @query("k27_text_repair", "SELECT doc_id, line_no, regexp_replace(regexp_replace(normalized_text, '!!+', '', 'g'), '\\s{2,}', ' ', 'g') AS s FROM v_evidence WHERE contains(normalized_text, '!!')")
 def k27(t: Tables) -> DataFrame:
     s = F.regexp_replace(F.regexp_replace("normalized_text", "!!+", ""), r"\s{2,}", " ")
     return t.v_evidence.filter(F.contains("normalized_text", F.lit("!!"))).select("doc_id", "line_no", s.alias("s"))
 
 
-@query("l12_promotion", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'promoted' WHEN toxic = 1 THEN 'rejected' ELSE 'candidate' END AS status FROM labels")
-def l12(t: Tables) -> DataFrame:
-    return t.labels.select("doc_id", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "promoted").when(F.col("toxic") == 1, "rejected").otherwise("candidate").alias("status"))
-
-
 @query("l14_intents", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'license') THEN 'license' WHEN regexp_matches(lower(text), 'password|secret') THEN 'security' ELSE 'general' END AS intent FROM documents")
 def l14(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.classify(F.lower("text"), [("license", "license"), ("password|secret", "security")], "general").alias("intent"))
@@ -278,17 +255,6 @@ def m16(t: Tables) -> DataFrame:
     return items.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("sources", F.lit(0)).alias("sources"))
 
 
-@query("m18_rejection_memory", "SELECT doc_id FROM documents WHERE n_chars > 200 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
-def m18(t: Tables) -> DataFrame:
-    return t.documents.filter("n_chars > 200").select("doc_id").join(t.labels.filter("quality = 0").select("doc_id"), "doc_id", "left_anti")
-
-
-@query("m24_health_checks", "SELECT 'documents' AS check_name, count(*) >= 100 AS ok FROM documents UNION ALL SELECT 'labels', count(*) >= 10 FROM labels UNION ALL SELECT 'orders', count(*) >= 10000000 FROM orders")
-def m24(t: Tables) -> DataFrame:
-    n = lambda df, name, least: df.agg((F.count("*") >= least).alias("ok")).select(F.lit(name).alias("check_name"), "ok")
-    return n(t.documents, "documents", 100).unionByName(n(t.labels, "labels", 10)).unionByName(n(t.orders, "orders", 10_000_000))
-
-
 @query("o02_rows_to_rows", "SELECT doc_id, count(*) AS sentences FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?]')) AS s FROM documents) WHERE trim(s) <> '' GROUP BY 1")
 def o02(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(F.split("text", "[.!?]")).alias("s")).filter("trim(s) <> ''").groupBy("doc_id").agg(F.count("*").alias("sentences"))
