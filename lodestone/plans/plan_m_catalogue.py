@@ -78,7 +78,7 @@ def k24(t: Tables) -> DataFrame:
     return E.run_deltas(daily, "suite_id", "day", ["runs", "mean"])
 
 
-_LINE = f"concat({pick('p_partkey * 3 + p_size', quoted('## '), quoted(''), quoted(''), quoted('###### '), quoted('short '))}, p_type, repeat(' text of a line', p_size % 20))"
+_LINE = f"concat({pick('(p_partkey * 3 + p_size)', quoted('## '), quoted(''), quoted(''), quoted('###### '), quoted('short '))}, p_type, repeat(' text of a line', p_size % 20))"
 
 
 @query(
