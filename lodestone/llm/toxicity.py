@@ -1,15 +1,16 @@
 """Toxicity by a subsequence string-kernel SVM with Nystrom landmarks.
 
-Units are the words of a sentence, and words whose letters are spelled out or broken by marks
-("i d i o t", "id*iot") joined again. The kernel counts common subsequences of three bytes, each
+Units are the words of a text, each behind a start mark, and words whose letters are spelled out or broken
+by marks ("i d i o t", "id*iot") joined again. The kernel counts common subsequences of three bytes, each
 weighted by LAMBDA to the length it spans, gaps included, and is normalised; so inserted characters
 and gaps lower it only gradually. Training embeds units by Nystrom landmarks and fits a linear
 squared-hinge SVM there. The decision function sum(beta_m k(x, landmark_m)) is linear in x's
 subsequence features, so it is evaluated exactly from one weight per triple of bytes.
 
-Labels are of whole texts: a text is toxic if one of its sentences is, and a sentence if one of its
-units is. Training therefore alternates between choosing the units that make each toxic text toxic
-and fitting the SVM to those against all units of clean texts.
+Labels are of whole texts, and words of insults may occur in clean ones by chance. A text is toxic by the
+rate of its units that the SVM places beyond `CUT`; training alternates between choosing the units that
+make each toxic text toxic and fitting the SVM to those against units of clean texts, and sets the rate
+between the labelled texts of either kind.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ from lodestone.llm.textbytes import LOWER, blocks, expand, span_hashes, text_buf
 
 SCORED = "doc_id long, score double, predicted int, worst string"
 P, LAMBDA, WIDTH, STRIDE = 3, 0.75, 16, 8
+#: The byte before a unit that begins with its word, the margin from which a unit counts, the fewest units that a rate is
+#: taken of, how often a unit counts in a text, how much more frequent an insult is in toxic texts, and the bytes of a gram.
+MARK, CUT, FLOOR, REPEATS, RATIO, GRAM = 1, 0.9, 30, 3, 8.0, 5
 _CACHE = 1_000_000
 
 
@@ -47,7 +51,8 @@ def is_held_out(doc_id: int) -> bool:
 def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Units of consecutive texts: bytes to draw from, starts, ends and each unit's text.
 
-    Words longer than WIDTH bytes give overlapping windows, so that every byte is scored."""
+    A unit is a mark and up to WIDTH - 1 bytes of a word; longer words go on in overlapping windows without
+    a mark, so that every byte is scored."""
     start, end, cut = words(data, offs)
     low = LOWER[data]
     n = len(start)
@@ -72,16 +77,16 @@ def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         at = len(low) + np.concatenate(([0], np.cumsum(size)))
         low = np.concatenate((low, np.frombuffer(b"".join(extra), np.uint8)))
         start, end, doc = np.concatenate((start, at[:-1])), np.concatenate((end, at[1:])), np.concatenate((doc, np.array(extra_doc, doc.dtype)))
-    long = np.flatnonzero(end - start > WIDTH)
-    if len(long):
-        pieces = -(-(end[long] - start[long] - WIDTH) // STRIDE) + 1
-        k = expand(np.zeros(len(long), np.int64), pieces)
-        s = np.repeat(start[long], pieces) + STRIDE * k
-        e = np.minimum(s + WIDTH, np.repeat(end[long], pieces))
-        keep = np.ones(len(start), bool)
-        keep[long] = False
-        start, end, doc = np.concatenate((start[keep], np.maximum(e - WIDTH, s - STRIDE))), np.concatenate((end[keep], e)), np.concatenate((doc[keep], np.repeat(doc[long], pieces)))
-    return low, start, end, doc
+    size = np.minimum(end - start, WIDTH - 1)
+    at = np.concatenate(([0], np.cumsum(size + 1)))
+    marked = np.empty(int(at[-1]), np.uint8)
+    marked[at[:-1]] = MARK
+    marked[expand(at[:-1] + 1, size)] = low[expand(start, size)]
+    long = np.flatnonzero(end - start > WIDTH - 1)
+    pieces = -(-(end[long] - start[long] - (WIDTH - 1)) // STRIDE)
+    s = np.repeat(start[long] + WIDTH - 1 - STRIDE, pieces) + STRIDE * expand(np.zeros(len(long), np.int64), pieces)
+    e = np.minimum(s + WIDTH, np.repeat(end[long], pieces))
+    return np.concatenate((marked, low)), np.concatenate((at[:-1], len(marked) + s)), np.concatenate((at[1:], len(marked) + e)), np.concatenate((doc, np.repeat(doc[long], pieces)))
 
 
 # ---- kernel ------------------------------------------------------------------------------------
@@ -175,13 +180,12 @@ def gram(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """beta over landmarks and a bias; `slope` and `shift` turn a text's largest margin to a score."""
+    """beta over landmarks, a bias, and the rate of units beyond CUT at which a text is as likely toxic as not."""
 
     landmarks: list[bytes] = field(default_factory=list)
     beta: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -1.0
-    slope: float = 4.0
-    shift: float = 0.0
+    rate: float = 1.0
 
     def __post_init__(self) -> None:
         self.kernel = Kernel(self.landmarks, np.asarray(self.beta, float)[:, None])
@@ -190,8 +194,15 @@ class Model:
         """The decision value of each unit data[start:end] of at most WIDTH bytes."""
         return self.kernel.values(data, start, end)[:, 0] + np.float32(self.bias)
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (margin - self.shift), -30, 30)))
+    def score(self, top: np.ndarray, rate: np.ndarray) -> np.ndarray:
+        """0.5 at the model's rate, more above it; below, at least what the worst unit's margin is worth, under 0.3."""
+        odds = (rate / self.rate) ** 2
+        return np.maximum(odds / (1 + odds), 0.3 / (1 + np.exp(-np.clip(2 * (top - CUT), -30, 30))))
+
+
+def rates(margins: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Each text's share of units beyond CUT, of FLOOR units at least."""
+    return np.bincount(doc, margins >= CUT, n) / np.maximum(np.bincount(doc, minlength=n), FLOOR)
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-4, steps: int = 15) -> tuple[np.ndarray, float]:
@@ -223,11 +234,22 @@ def gapped(text: bytes, rng: np.random.Generator) -> bytes:
 
 
 def fit(texts: list[str], toxic: list[int], landmarks: int = 96, rounds: int = 3, negatives: int = 12000, positives: int = 1500, seed: int = 5) -> Model:
-    """Fit on a bounded sample of labelled texts. One class alone gives a model that flags nothing.
+    """Fit on a bounded sample of labelled texts. One class alone gives a model that flags nothing."""
+    model = trained(texts, toxic, landmarks, rounds, negatives, positives, seed)
+    if model.landmarks:
+        buf, offs = text_buffer(pa.array([t or "" for t in texts], pa.string()))
+        low, start, end, doc = units(buf, offs)
+        _, first, code = np.unique(span_hashes(low, start, end), return_index=True, return_inverse=True)
+        model.rate = threshold(rates(model.margins(low, start[first], end[first])[code], doc, len(texts)), np.array(toxic, bool))
+    return model
+
+
+def trained(texts: list[str], toxic: list[int], landmarks: int, rounds: int, negatives: int, positives: int, seed: int) -> Model:
+    """The SVM, its rate not yet set.
 
-    The SVM is given at most `positives` units of toxic texts (those of most texts first) and about
+    It is given at most `positives` units of toxic texts (those of most texts first) and about
     `negatives` of clean ones (a third each: the most frequent, random ones, and those that the round before
-    put nearest to the toxic side). Byte 4-grams only pick the units of the first round."""
+    put nearest to the toxic side). Byte grams only pick the units of the first round."""
     if not 0 < sum(toxic) < len(toxic):
         return Model()
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -236,31 +258,29 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 96, rounds: int = 3
     h = span_hashes(low, start, end)
     _, first, code = np.unique(h, return_index=True, return_inverse=True)
     y = np.array(toxic, bool)
-    pair = np.unique(code.astype(np.int64) * len(texts) + doc)
+    pair, times = np.unique(code.astype(np.int64) * len(texts) + doc, return_counts=True)
+    times = np.minimum(times, REPEATS)
     unit, of = pair // len(texts), pair % len(texts)
     order = np.argsort(of, kind="stable")
     unit_by_text, by_text = unit[order], of[order]
-    df1, df0 = np.bincount(unit, y[of], len(first)), np.bincount(unit, ~y[of], len(first))
+    df1, df0 = np.bincount(unit, y[of] * times, len(first)), np.bincount(unit, ~y[of] * times, len(first))
+    all1, all0 = max(1, int(times[y[of]].sum())), max(1, int(times[~y[of]].sum()))
     text = [low[a:b].tobytes() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
     s, e = start[first], end[first]
-    clean = df0 > 0
-    # How far each unit speaks for toxicity: its best byte 4-gram, by the texts of either class that hold it.
-    n_grams = np.maximum(e - s - 3, 0)
+    clean = (df0 > 0) & ((df0 + 1) * all1 * RATIO > df1 * all0)  # not so much more frequent in toxic texts
+    # How far each unit speaks for toxicity: its best byte gram, by how frequent it is in the texts of either class.
+    n_grams = np.maximum(e - s - (GRAM - 1), 0)
     at = expand(s, n_grams)
-    g = low[at].astype(np.uint32) << 24 | low[at + 1].astype(np.uint32) << 16 | low[at + 2].astype(np.uint32) << 8 | low[at + 3]
+    g = np.zeros(len(at), np.uint64)
+    for k in range(GRAM):
+        g = g << np.uint64(8) | low[at + k].astype(np.uint64)
     g = np.unique(g, return_inverse=True)[1].astype(np.int32)
     cut = np.concatenate(([0], np.cumsum(n_grams)))
     n_kinds = int(g.max(initial=0)) + 1
-    g1, g0 = np.zeros(n_kinds), np.zeros(n_kinds)
-    for k in range(0, len(texts), 64):  # texts by the gram, some texts at a time
-        lo, hi = np.searchsorted(by_text, (k, k + 64))
-        u, d = unit_by_text[lo:hi], by_text[lo:hi]
-        seen = np.unique(g[expand(cut[u], n_grams[u])].astype(np.int64) * 64 + np.repeat(d - k, n_grams[u]))
-        bad = y[k + seen % 64]
-        g1 += np.bincount(seen[bad] // 64, minlength=n_kinds)
-        g0 += np.bincount(seen[~bad] // 64, minlength=n_kinds)
-    n1, n0 = y.sum(), (~y).sum()
-    odds = np.log((g1 + 0.1) / (n1 + 0.2)) - np.log((g0 + 0.1) / (n0 + 0.2))
+    who = np.repeat(np.arange(len(first)), n_grams)
+    g1, g0 = np.bincount(g, df1[who], n_kinds), np.bincount(g, df0[who], n_kinds)
+    n1 = y.sum()
+    odds = np.log((g1 + 0.5) / all1) - np.log((g0 + 0.5) / all0)
     odds[g1 < max(2, 0.015 * n1)] = -9.0
     odds = np.append(odds, -9.0)
     speak = np.where(n_grams > 0, np.maximum.reduceat(odds[np.append(g, n_kinds)], np.minimum(cut[:-1], len(g))), -9.0)
@@ -305,9 +325,6 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 96, rounds: int = 3
         hard = np.flatnonzero(clean & (f > -0.5))
         hard = hard[np.argsort(-f[hard])][: negatives // 3]
         negative = np.unique(np.concatenate((negative, hard)))
-    top = np.full(len(texts), model.bias)
-    np.maximum.at(top, of, f[unit])
-    model.shift, model.slope = threshold(top, y)
     return model
 
 
@@ -324,16 +341,18 @@ def pick(texts: list[bytes], weight: np.ndarray, n: int) -> list[bytes]:
     return [texts[best[i]] for i in chosen]
 
 
-def threshold(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """The margin two fifths up the widest gap among cuts with the fewest errors (gapped insults score
-    lower than the plain ones of the sample), and a slope."""
-    order = np.argsort(top)
-    t, v = top[order], y[order]
+def threshold(rate: np.ndarray, y: np.ndarray) -> float:
+    """The rate in the middle of the widest gap (as a factor) among cuts above 0 with the fewest errors; a gap counts from
+    a quarter of its upper end, since the model has seen these clean texts and others may have a unit by chance."""
+    order = np.argsort(rate, kind="stable")
+    t, v = rate[order], y[order]
     wrong = np.concatenate(([0], np.cumsum(v))) + np.concatenate((np.cumsum((~v)[::-1])[::-1], [0]))
-    lo, hi = np.concatenate(([t[0] - 1], t)), np.concatenate((t, [t[-1] + 1]))
-    best = np.flatnonzero(wrong == wrong.min())
-    i = best[np.argmax((hi - lo)[best])]
-    return float(lo[i] + 0.4 * (hi[i] - lo[i])), 4.0
+    lo, hi = np.concatenate(([0.0], t)), np.concatenate((t, [1.0]))
+    real = np.flatnonzero(hi > lo)
+    best = real[wrong[real] == wrong[real].min()]
+    low = np.maximum(lo[best], hi[best] / 4)
+    i = int(np.argmax(hi[best] / low))
+    return float(np.sqrt(low[i] * hi[best][i]))
 
 
 def learn(documents: DataFrame, labels: DataFrame, max_texts: int = 2000, landmarks: int = 96, negatives: int = 12000, positives: int = 1500) -> Model:
@@ -353,8 +372,8 @@ def learn(documents: DataFrame, labels: DataFrame, max_texts: int = 2000, landma
     wanted = F.broadcast(spark.createDataFrame(sorted(ids.items()), "doc_id long, toxic int"))  # at most 2 * max_texts rows
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     sample = docs.join(wanted, "doc_id").select("doc_id", "text", "toxic").repartition(1)
-    r = map_in_arrow(sample, _fit(landmarks, negatives, positives), "landmarks array<binary>, beta array<double>, bias double, slope double, shift double").first()
-    return Model([bytes(x) for x in r["landmarks"]], np.array(r["beta"]), r["bias"], r["slope"], r["shift"])
+    r = map_in_arrow(sample, _fit(landmarks, negatives, positives), "landmarks array<binary>, beta array<double>, bias double, rate double").first()
+    return Model([bytes(x) for x in r["landmarks"]], np.array(r["beta"]), r["bias"], r["rate"])
 
 
 def _fit(landmarks: int, negatives: int, positives: int):
@@ -362,8 +381,8 @@ def _fit(landmarks: int, negatives: int, positives: int):
         """Fit on the bounded sample in one task, so that the driver holds neither texts nor features."""
         rows = sorted({row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)})
         model = fit([t for _, t, _ in rows], [y for *_, y in rows], landmarks, negatives=negatives, positives=positives)
-        names = ["landmarks", "beta", "bias", "slope", "shift"]
-        yield pa.RecordBatch.from_arrays([pa.array([model.landmarks], pa.list_(pa.binary())), pa.array([np.asarray(model.beta, float).tolist()], pa.list_(pa.float64())), *(pa.array([float(x)]) for x in (model.bias, model.slope, model.shift))], names)
+        names = ["landmarks", "beta", "bias", "rate"]
+        yield pa.RecordBatch.from_arrays([pa.array([model.landmarks], pa.list_(pa.binary())), pa.array([np.asarray(model.beta, float).tolist()], pa.list_(pa.float64())), *(pa.array([float(x)]) for x in (model.bias, model.rate))], names)
 
     return run
 
@@ -394,13 +413,14 @@ def _score(model: Model):
                 by = np.argsort(both, kind="stable")
                 known, value = both[by], np.concatenate((value, f[~old]))[by]
                 top, worst = np.full(b - a, model.bias, np.float32), np.full(b - a, -1)
+                m = f[code]
+                rate = rates(m, doc, b - a)
                 if len(h):
-                    m = f[code]
                     by = np.lexsort((m, doc))
                     last = np.flatnonzero(np.concatenate((doc[by][1:] != doc[by][:-1], [True])))
                     top[doc[by][last]], worst[doc[by][last]] = m[by][last], by[last]
-                score = model.score(top.astype(np.float64))
-                names = [low[start[i] : end[i]].tobytes().decode(errors="replace") if i >= 0 else None for i in worst.tolist()]
+                score = model.score(top.astype(np.float64), rate)
+                names = [low[start[i] : end[i]].tobytes().lstrip(bytes([MARK])).decode(errors="replace") if i >= 0 else None for i in worst.tolist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32()), pa.array(names, pa.string())], [batch.schema.names[0], "score", "predicted", "worst"])
 
     return run
@@ -409,7 +429,8 @@ def _score(model: Model):
 def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`SCORED`: per row a score from 0 to 1 of the whole text, 1 predicted at 0.5, and its worst unit.
 
-    Null, empty and wordless texts get the model's score of no unit and no worst one; repeated rows
+    The score goes by the share of a text's units (of FLOOR at least) that the SVM places beyond CUT. Null, empty
+    and wordless texts get the score of no such unit and no worst one; repeated rows
     get equal rows; ids may be null; other columns are ignored; an empty table gives no rows."""
     return map_in_arrow(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), _score(model), SCORED)
 

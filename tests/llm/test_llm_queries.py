@@ -118,14 +118,16 @@ def test_op6_flags_held_out_toxic_rows_and_no_others(tables, run):
 
 
 def test_op6_scores_equal_the_kernel_expansion(spark, tables):
-    """Each text's margin against sum(beta k(x, landmark)) over its units, by the kernel of brute force."""
+    """Each text's score against sum(beta k(x, landmark)) over its units, by the kernel's plain values."""
     docs, labels = (spark.read.parquet(f"{tables[0]}/full/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.learn(docs, labels)
-    marks = [bytes(m) for m in model.landmarks]
+    marks, mark = [bytes(m) for m in model.landmarks], bytes([toxicity.MARK])
     for r in toxicity.score(docs.filter("doc_id between 10 and 40"), model).join(docs.select("doc_id", "text"), "doc_id").collect():
-        units = [w.encode() for w in set(r.text.split()) if 3 <= len(w) <= toxicity.WIDTH]
-        margin = max(float(v) for v in toxicity.gram(units, marks) @ np.asarray(model.beta) + model.bias)
-        assert r.score == pytest.approx(float(model.score(np.array([margin]))[0]), abs=1e-3)
+        units = [mark + w.encode() for w in r.text.split()]
+        assert all(len(u) <= toxicity.WIDTH for u in units)
+        margin = toxicity.gram(units, marks) @ np.asarray(model.beta) + model.bias
+        rate = (margin >= toxicity.CUT).sum() / max(len(units), toxicity.FLOOR)
+        assert r.score == pytest.approx(float(model.score(np.array([margin.max()]), np.array([rate]))[0]), abs=1e-3)
 
 
 def test_op7(tables, run):
