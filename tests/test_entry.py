@@ -23,3 +23,9 @@ def test_nothing_else_imports_the_optional_parts():
     for p in (ROOT / "lodestone").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT / "lodestone").parts:
             assert "lodestone.llm" not in p.read_text(), p
+
+
+def test_entry_where_the_optional_parts_cannot_be_imported(tmp_path):
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('not here')\n")
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 300 and set(e.oracle_sql()) <= set(q) and 'pipeline' not in q and not any(n.startswith('op1_') for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{ROOT}", "PYTHONDONTWRITEBYTECODE": "1"})
