@@ -418,3 +418,26 @@ def html_table(c: Column | str) -> Column:
     rows = F.regexp_extract_all(col(c), F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), html_cell))
     return _table(F.filter(cells, lambda r: F.size(r) > 0))
+
+
+# ---- sentences and names -------------------------------------------------------------------------
+
+# Words that make a sentence a requirement.
+REQUIRING = ("应", "必须", "不得", "不应", "需", "需要", "要求", "shall", "must", "should", "require")
+
+
+def requirement_sentences(c: Column | str) -> Column:
+    """The sentences of a text, cut at line ends, full stops and semicolons, that state a requirement."""
+    parts = F.transform(F.split(col(c), r"[\n。；;]+"), lambda p: F.btrim(p, F.lit(" \t，,。；;")))
+    return F.filter(parts, lambda p: (p != "") & F.exists(F.array(*map(F.lit, REQUIRING)), lambda w: F.contains(F.lower(p), w)))
+
+
+def identifier_points(question: str, name: Column) -> Column:
+    """The summed length of a stated question's identifiers (four characters or more) that a name has, whatever the case; 0 under five."""
+    import re
+
+    total = F.lit(0)
+    for token in dict.fromkeys(re.findall(r"[A-Za-z][A-Za-z0-9_]{3,}", question)):
+        total = total + F.when(F.contains(F.lower(name), F.lit(token.lower())), len(token)).otherwise(0)
+    return F.when(total >= 5, total).otherwise(0)
+

@@ -91,3 +91,22 @@ def edge_problems(edges: DataFrame, nodes: DataFrame, node: str, registered: lis
 
 def path_text(*parts: Column) -> Column:
     return F.concat_ws(" -> ", *parts)
+
+
+def aligned(edges: DataFrame, facts: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """The k best edges (src, relation, dst, fact_id, doc_id, confidence) that an answer rests on: supported by one of its facts, or from one
+    of its documents; supported ones first, then by confidence."""
+    rows = edges.join(facts.select("fact_id").distinct().withColumn("__f", F.lit(1)), "fact_id", "left").join(documents.select("doc_id").distinct().withColumn("__d", F.lit(1)), "doc_id", "left")
+    rows = rows.withColumn("supported", F.col("__f").isNotNull()).filter("supported or __d = 1").drop("__f", "__d")
+    return rows.orderBy(F.desc("supported"), F.desc("confidence"), "src", "dst", "relation", "fact_id").limit(k)
+
+
+def relation_checks(edges: DataFrame, nodes: DataFrame, node: str, kind: str, allowed: list[tuple[str, str, str]]) -> DataFrame:
+    """(src_type, relation, dst_type, n, status) of all edges: consistent if the relation is allowed between those types, unknown if
+    an end has no type, else mismatch."""
+    t = nodes.select(F.col(node).alias("__n"), F.col(kind).alias("__t"))
+    both = edges.join(t.withColumnsRenamed({"__n": "src", "__t": "src_type"}), "src", "left").join(t.withColumnsRenamed({"__n": "dst", "__t": "dst_type"}), "dst", "left")
+    per = both.groupBy("src_type", "relation", "dst_type").agg(F.count("*").alias("n"))
+    known = F.concat_ws("|", "src_type", "relation", "dst_type").isin(*("|".join(a) for a in allowed))
+    return per.withColumn("status", F.when(F.col("src_type").isNull() | F.col("dst_type").isNull(), "unknown").when(known, "consistent").otherwise("mismatch"))
+

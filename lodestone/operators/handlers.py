@@ -88,3 +88,33 @@ def expansion(question: Column) -> Column:
         value = F.struct(F.array(*map(F.lit, intents)).alias("intents"), F.lit(shape).alias("shape"))
         out = F.when(fits, value) if out is None else out.when(fits, value)
     return out.otherwise(F.struct(F.array(F.lit("general_search")).alias("intents"), F.lit("freeform").alias("shape")))
+
+
+def longest_prefixes(words: DataFrame, key: str, word: str, names: DataFrame, name: str, least: int = 2) -> DataFrame:
+    """(key, prefix, hits): for each word the longest of its prefixes, of `least` characters or more, with which any name begins,
+    and how many names do. Prefixes of words and names meet by an equi-join."""
+    cut = lambda c: F.transform(F.sequence(F.lit(least), F.greatest(F.length(c), F.lit(least))), lambda n: F.substring(c, F.lit(1), n))
+    mine = words.filter(F.length(word) >= least).select(key, F.explode(cut(F.col(word))).alias("prefix")).distinct()
+    there = names.filter(F.length(name) >= least).select(name).distinct().select(F.explode(cut(F.col(name))).alias("prefix"), name).distinct().groupBy("prefix").agg(F.count("*").alias("hits"))
+    return mine.join(there, "prefix").groupBy(key).agg(F.max_by("prefix", F.length("prefix")).alias("prefix"), F.max_by("hits", F.length("prefix")).alias("hits"))
+
+
+def entity_pages(entities: DataFrame, facts: DataFrame, key: str, kinds: dict[str, str], most: int = 20) -> DataFrame:
+    """(key, page): a Markdown page of each ready entity (key, name, entity_type, status): title, type, and for each kind of its
+    facts (key, fact_type, rank, text) a section of the `most` best; entities that are not ready have no page."""
+    ready = entities.filter("status = 'ready'")
+    order = F.array_position(F.array(*map(F.lit, kinds)), F.col("fact_type"))
+    top = top_per_group(facts.filter(F.col("fact_type").isin(*kinds)).distinct(), [key, "fact_type"], most, "rank", "text")
+    lines = top.groupBy(key, "fact_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: F.concat(F.lit("- "), x["text"])), "\n").alias("body"))  # `most` at most
+    titles = F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair))
+    parts = lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("at"), F.concat(F.lit("## "), titles[F.col("fact_type")], F.lit("\n"), "body").alias("text")))), lambda x: x["text"]), "\n").alias("sections"))
+    return ready.join(parts, key, "left").select(key, F.concat_ws("\n", F.concat(F.lit("# "), "name"), F.concat(F.lit("type: "), "entity_type"), "sections").alias("page"))
+
+
+def dashboard(documents: DataFrame, parts: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, a count by name): how many rows each part has for every document; documents without any have 0."""
+    out = documents.select(key).distinct()
+    for name, df in parts.items():
+        out = out.join(df.groupBy(key).agg(F.count("*").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+

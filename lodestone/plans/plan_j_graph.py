@@ -93,13 +93,6 @@ def j15(t: Tables) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-@query("j16_subgraph", "SELECT src, relation, dst FROM v_edges WHERE src IN (SELECT concat('S', CAST(s_suppkey AS VARCHAR)) FROM supplier WHERE s_acctbal > 9000) AND dst IN (SELECT concat('P', CAST(p_partkey AS VARCHAR)) FROM part WHERE p_size = 5)")
-def j16(t: Tables) -> DataFrame:
-    a = t.supplier.filter("s_acctbal > 9000").select(F.concat(F.lit("S"), "s_suppkey").alias("src"))
-    b = t.part.filter("p_size = 5").select(F.concat(F.lit("P"), "p_partkey").alias("dst"))
-    return t.v_edges.join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "relation", "dst")
-
-
 @query(
     "j17_edge_validation",
     """SELECT 'unregistered relation' AS problem, count(*) AS n FROM v_edges WHERE relation NOT IN ('part_of', 'located_in') UNION ALL SELECT 'self-loop', count(*) FROM v_edges WHERE src = dst
@@ -121,10 +114,3 @@ def j18(t: Tables) -> DataFrame:
     m = containing(t.documents, "doc_id", "text", terms, "term")
     longer = m.select("doc_id", F.col("term").alias("other"))
     return m.join(longer, (m.doc_id == longer.doc_id) & (F.col("term") != F.col("other")) & F.contains(F.col("other"), F.col("term")), "left_anti")
-
-
-@query("j19_relation_consistency", "SELECT a.entity_type AS src_type, e.relation, b.entity_type AS dst_type, count(*) AS n FROM v_edges e JOIN v_entities a ON e.src = a.entity_id JOIN v_entities b ON e.dst = b.entity_id GROUP BY 1, 2, 3")
-def j19(t: Tables) -> DataFrame:
-    n = t.v_entities
-    a, b = n.select(F.col("entity_id").alias("src"), F.col("entity_type").alias("src_type")), n.select(F.col("entity_id").alias("dst"), F.col("entity_type").alias("dst_type"))
-    return t.v_edges.join(a, "src").join(b, "dst").groupBy("src_type", "relation", "dst_type").agg(F.count("*").alias("n"))

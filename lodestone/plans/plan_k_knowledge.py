@@ -59,13 +59,6 @@ def k13(t: Tables) -> DataFrame:
     return K.entities(t.part, "p_name", "p_type", "p_retailprice", "p_brand")
 
 
-@query("k15_entity_pages", "SELECT p_brand, md5(string_agg('- ' || p_name, chr(10) ORDER BY p_name)) AS page FROM (SELECT DISTINCT p_brand, p_name FROM part) GROUP BY 1")
-def k15(t: Tables) -> DataFrame:
-    names = t.part.select("p_brand", "p_name").distinct()
-    lines = F.transform(F.array_sort(F.collect_list("p_name")), lambda x: F.concat(F.lit("- "), x))
-    return names.groupBy("p_brand").agg(F.md5(F.array_join(lines, "\n")).alias("page"))
-
-
 @query(
     "k16_coverage",
     """SELECT p_partkey, CASE WHEN e AND s THEN 'u3' WHEN s THEN 'u2' WHEN e THEN 'u1' ELSE 'u0' END AS status FROM (SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AS e,

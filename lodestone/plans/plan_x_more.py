@@ -170,20 +170,6 @@ def j20(t: Tables) -> DataFrame:
     return t.v_edges.join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst")
 
 
-@query("j22_prefix_backoff", "WITH w AS (SELECT p_name, string_split(p_name, ' ')[1] AS w FROM (SELECT DISTINCT p_name FROM part)), d AS (SELECT DISTINCT substr(w, 1, 3) AS p FROM w WHERE w LIKE 's%') SELECT p_name, max(length(p)) AS matched FROM w JOIN d ON starts_with(w.w, d.p) GROUP BY 1")
-def j22(t: Tables) -> DataFrame:
-    w = t.part.select("p_name").distinct().withColumn("w", F.element_at(F.split("p_name", " "), 1))
-    d = w.filter("w like 's%'").select(F.substring("w", 1, 3).alias("p")).distinct()
-    prefixes = w.select("p_name", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(F.col("w"), F.lit(1), i))).alias("p"))
-    return prefixes.join(d, "p").groupBy("p_name").agg(F.max(F.length("p")).cast("long").alias("matched"))
-
-
-@query("j23_char_overlap", "SELECT DISTINCT p_type, len(list_intersect(list_distinct(string_split(p_type, '')), list_distinct(string_split('ECONOMIC', '')))) AS n FROM part")
-def j23(t: Tables) -> DataFrame:
-    chars = lambda c: F.array_distinct(F.split(c, ""))
-    return t.part.select("p_type").distinct().select("p_type", F.size(F.array_intersect(chars("p_type"), chars(F.lit("ECONOMIC")))).cast("long").alias("n"))
-
-
 @query("k06_view_selection", "SELECT source, arg_max(doc_id, n_chars * 1000000 - doc_id) AS best, count(*) AS candidates FROM documents GROUP BY 1")
 def k06(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.max_by("doc_id", F.col("n_chars") * 1000000 - F.col("doc_id")).alias("best"), F.count("*").alias("candidates"))
@@ -253,15 +239,3 @@ def m16(t: Tables) -> DataFrame:
     found = near.join(items, "passage").join(t.documents.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("passage")))
     n = found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("sources"))
     return items.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("sources", F.lit(0)).alias("sources"))
-
-
-@query("o02_rows_to_rows", "SELECT doc_id, count(*) AS sentences FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?]')) AS s FROM documents) WHERE trim(s) <> '' GROUP BY 1")
-def o02(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.explode(F.split("text", "[.!?]")).alias("s")).filter("trim(s) <> ''").groupBy("doc_id").agg(F.count("*").alias("sentences"))
-
-
-@query("q02_document_dashboard", "SELECT d.doc_id, d.lang, n_chars, count(DISTINCT e.line_no) AS lines, max(l.quality) AS quality FROM documents d LEFT JOIN v_evidence e ON d.doc_id = e.doc_id LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1, 2, 3")
-def q02(t: Tables) -> DataFrame:
-    lines = t.v_evidence.groupBy("doc_id").agg(F.count("*").alias("lines"))
-    out = t.documents.select("doc_id", "lang", "n_chars").join(lines, "doc_id", "left").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    return out.select("doc_id", "lang", "n_chars", F.coalesce("lines", F.lit(0)).alias("lines"), "quality")
