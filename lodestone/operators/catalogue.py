@@ -121,3 +121,71 @@ def test_drafts(units: DataFrame, rejected: DataFrame, key: str, fingerprint: st
     from lodestone.operators.ranking import keep_best
 
     return keep_best(units.join(rejected.select(fingerprint).distinct(), fingerprint, "left_anti"), [fingerprint], key)
+
+
+# ---- topics, standards, envelopes ----------------------------------------------------------------
+
+
+def topic_entities(entities: DataFrame, topics: list[tuple[int, list[str]]], k: int = 8) -> DataFrame:
+    """(query_id, entity_id, canonical_name, score, confidence) of the k entities that fit each stated topic's terms best: 6 for a name
+    that is a term, 3 for one that has it, 2.5 where only compact forms meet; confidence by the best score."""
+    from pyspark.sql.window import Window
+
+    from lodestone.operators.ranking import top_per_group
+
+    compact = lambda c: F.upper(F.regexp_replace(c, r"[\s\-_+/·:：;；,，.。()（）]+", ""))
+    name = F.col("canonical_name")
+
+    def points(term: str):
+        t = F.lit(term)
+        return F.when((name == t) | (compact(name) == compact(t)), 6.0).when(F.contains(F.upper(name), F.upper(t)), 3.0).when(F.contains(compact(name), compact(t)), 2.5).otherwise(0.0)
+
+    each = F.array(*(F.struct(F.lit(i).alias("query_id"), reduce(lambda a, b: a + b, map(points, terms)).alias("score")) for i, terms in topics))
+    rows = entities.select("entity_id", "canonical_name", F.inline(F.filter(each, lambda x: x["score"] > 0)))
+    best = top_per_group(rows, ["query_id"], k, F.desc("score"), "canonical_name", "entity_id")
+    top = F.max("score").over(Window.partitionBy("query_id"))
+    return best.withColumn("confidence", F.when(top >= 9, 0.95).when(top >= 6, 0.82).when(top >= 3, 0.55).otherwise(0.35))
+
+
+def standard_context(facts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, fact_id) of the facts that belong to the standard a question (query_id, code) names: the standard's own, with or
+    without its year, and the life cycle and versions of its documents."""
+    from lodestone.functions import rules as R
+
+    codes = asked.select("query_id", R.standard_code("code").alias("__code")).filter("__code <> ''")
+    own = facts.filter("fact_type = 'document_standard'").select("fact_id", "doc_id", R.standard_code("value").alias("__own"))
+    own = own.withColumn("__base", F.explode(F.array_distinct(F.array("__own", F.regexp_replace("__own", "—[^—]*$", "")))))  # with and without its last part, so that they meet by equality
+    met = own.join(codes, F.col("__base") == F.col("__code")).select("query_id", "fact_id", "doc_id").distinct()
+    more = facts.filter("fact_type in ('document_lifecycle', 'document_versioning')").select("fact_id", "doc_id").join(met.select("query_id", "doc_id").distinct(), "doc_id")
+    return met.select("query_id", "fact_id").unionByName(more.select("query_id", "fact_id")).distinct()
+
+
+def envelopes(items: DataFrame, key: str, kinds: dict[str, int]) -> DataFrame:
+    """(key, for each kind the number of its items and the ids of the first, by rank): what a question's subgraph holds. Only the
+    first ids of each kind are gathered."""
+    from lodestone.operators.ranking import top_per_group
+
+    counts = items.groupBy(key).agg(*(F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in kinds))
+    first = top_per_group(items, [key, "kind"], max(kinds.values()), "rank", "id")
+    ids = first.groupBy(key).agg(*(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", "id")))), 1, n), lambda x: x["id"].cast("string")), ",").alias(f"{k}_ids") for k, n in kinds.items()))
+    return counts.join(ids, key)
+
+
+# Requirement atoms by the words that suggest them, first match first.
+ATOMS = (("REQATOM-DCDC-OUTPUT-RIPPLE", ("输出纹波", "纹波电压", "纹波", "output ripple", "ripple")), ("REQATOM-DCDC-EFFICIENCY", ("满载效率", "效率", "efficiency")), ("REQATOM-DCDC-SLEEP-CURRENT", ("休眠电流", "静态电流", "sleep current")))
+
+
+def requirement_candidates(texts: DataFrame, key: str, text: str, evidence: str) -> DataFrame:
+    """(key, place, sentence, atom_id, operator, value, unit, confidence): sentences that suggest an atom or state a number: 0.45, and
+    0.25 for either, 0.1 for evidence, 0.95 at most."""
+    from lodestone.functions import rules as R
+
+    low = lambda c: F.lower(c)
+    parts = F.filter(F.transform(F.split(F.col(text), r"[\n。；;]+"), lambda p: F.btrim(p, F.lit(" \t，,。；;"))), lambda p: p != "")
+    atom = lambda c: F.coalesce(*(F.when(reduce(lambda a, b: a | b, (F.contains(low(c), F.lit(w)) for w in words)), F.lit(name)) for name, words in ATOMS))
+    marked = lambda c: F.exists(F.array(*map(F.lit, R.REQUIRING)), lambda w: F.contains(low(c), w))
+    rows = texts.select(key, evidence, F.posexplode(parts).alias("at", "sentence")).withColumn("atom_id", atom(F.col("sentence"))).filter(marked(F.col("sentence")) | F.col("atom_id").isNotNull())
+    rows = rows.withColumn("v", R.numeric_limit("sentence")).filter("atom_id is not null or v.value is not null")
+    sure = 0.45 + F.when(F.col("atom_id").isNotNull(), 0.25).otherwise(0.0) + F.when(F.col("v.value").isNotNull(), 0.25).otherwise(0.0) + F.when(F.col(evidence).isNotNull(), 0.1).otherwise(0.0)
+    return rows.select(key, (F.col("at") + 1).alias("place"), "sentence", "atom_id", F.col("v.operator").alias("operator"), F.col("v.value").alias("value"), F.col("v.unit").alias("unit"), F.round(F.least(F.lit(0.95), sure), 3).alias("confidence"))
+

@@ -118,16 +118,3 @@ def i24(t: Tables) -> DataFrame:
         "channel_bonus": F.when(F.col("channel") == "cosine", 0.04).otherwise(0.08),
     }
     return R.rerank(hits, parts, 10).select("query_id", "doc_id", "score", *parts, "final")
-
-
-@query("i30_topic_resolution", "SELECT c_custkey, CASE WHEN lower(c_name) = 'customer#000000012' THEN 0.95 WHEN starts_with(lower(c_name), 'customer#00000001') THEN 0.82 WHEN contains(lower(c_name), '12') THEN 0.55 END::DOUBLE AS confidence FROM customer WHERE contains(lower(c_name), '12') OR starts_with(lower(c_name), 'customer#00000001')")
-def i30(t: Tables) -> DataFrame:
-    low = F.lower("c_name")
-    tier = F.when(low == "customer#000000012", 0.95).when(F.startswith(low, F.lit("customer#00000001")), 0.82).when(F.contains(low, F.lit("12")), 0.55)
-    return t.customer.select("c_custkey", tier.alias("confidence")).filter("confidence is not null")
-
-
-@query("i32_subgraph_envelope", "SELECT relation, count(*) AS edges, count(DISTINCT src) AS sources, min(src) AS first_source FROM v_edges WHERE src IN ('S1', 'S2', 'S3', 'N1', 'N2') GROUP BY 1")
-def i32(t: Tables) -> DataFrame:
-    e = t.v_edges.filter(F.col("src").isin("S1", "S2", "S3", "N1", "N2"))
-    return e.groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.min("src").alias("first_source"))

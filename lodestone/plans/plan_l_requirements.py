@@ -104,12 +104,6 @@ def l10(t: Tables) -> DataFrame:
     return R.bad_transitions(t.events, "user_id", "ts", "event_type", allowed).select("event_id", "before", "event_type")
 
 
-@query("l11_candidates", "SELECT doc_id, CAST(n AS BIGINT) AS number FROM (SELECT doc_id, regexp_extract(text, 'version ([0-9]+)', 1) AS n FROM documents) WHERE n <> ''")
-def l11(t: Tables) -> DataFrame:
-    n = F.regexp_extract("text", r"version ([0-9]+)", 1)
-    return t.documents.select("doc_id", n.alias("n")).filter("n <> ''").select("doc_id", F.col("n").cast("long").alias("number"))
-
-
 @query("l16_scope_isolation", "SELECT c_custkey FROM customer WHERE c_nationkey IN (1, 2)")
 def l16(t: Tables) -> DataFrame:
     grants = t.spark.createDataFrame([(1, "editor", 3), (2, "editor", 2), (3, "editor", 1), (4, "viewer", 3)], "c_nationkey int, role string, level int")

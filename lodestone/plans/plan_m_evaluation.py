@@ -50,11 +50,6 @@ def m04(t: Tables) -> DataFrame:
     return rows.withColumn("passed", F.col("coverage") >= 0.3)
 
 
-@query("m06_run_log", "SELECT suite_id, code_version, count(*) AS runs, max(started_at) AS last_run FROM v_runs GROUP BY 1, 2")
-def m06(t: Tables) -> DataFrame:
-    return t.v_runs.groupBy("suite_id", "code_version").agg(F.count("*").alias("runs"), F.max("started_at").alias("last_run"))
-
-
 @query(
     "m08_metric_deltas",
     """WITH d AS (SELECT suite_id, CAST(started_at AS DATE) AS day, round(avg(passed), 6) AS pass_rate FROM v_runs GROUP BY 1, 2)

@@ -132,12 +132,6 @@ def i13(t: Tables) -> DataFrame:
     return t.part.filter(J.either(a, b, c)).select("p_partkey", F.round(score, 6).alias("score"))
 
 
-@query("i22_context_union", "SELECT doc_id, 'good' AS kind FROM labels WHERE quality = 1 UNION SELECT doc_id, 'bad' FROM labels WHERE toxic = 1")
-def i22(t: Tables) -> DataFrame:
-    good = t.labels.filter("quality = 1").select("doc_id", F.lit("good").alias("kind"))
-    return good.unionByName(t.labels.filter("toxic = 1").select("doc_id", F.lit("bad").alias("kind"))).distinct()
-
-
 @query("i41_answer_confidence", "SELECT user_id, round(greatest(0, least(1, 0.3 + 0.05 * count(*) FILTER (event_type = 'purchase') - 0.04 * count(*) FILTER (event_type = 'error'))), 4)::DOUBLE AS confidence FROM events GROUP BY 1")
 def i41(t: Tables) -> DataFrame:
     n = lambda k: F.count_if(F.col("event_type") == k)
