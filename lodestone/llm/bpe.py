@@ -28,7 +28,7 @@ from lodestone.llm.textbytes import blocks, expand, mix, span_hashes, text_buffe
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SPACE, LETTER, NUMBER, OTHER = range(4)
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 400_000
 
 
 @lru_cache(1)
