@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, decontaminate, jaccard, langid, licenses, tokenfiles, topk, toxicity, warc
+from lodestone.llm import bpe, chat, decontaminate, jaccard, langid, licenses, periodic, tokenfiles, topk, toxicity, warc
 from lodestone.scratch import scratch_path
 from lodestone.sources import table
 
@@ -16,6 +15,8 @@ VOCABULARY, END_ID, VOCABULARY_SIZE = "byte_bpe_50k.json", 50256, 50257
 
 
 def vocabulary_path() -> str:
+    import public_tokenizers  # only the queries that tokenize need it
+
     return public_tokenizers.path(VOCABULARY)
 
 
@@ -79,9 +80,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse(periodic.with_planted(table(spark, sf_dir, "documents")))
+    best = F.expr("array_min(transform(runs, r -> struct(-r.length AS least, r.start AS start, r.period AS period, r.length AS length)))")
+    lines = F.expr("concat_ws('', transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')))")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_format, op2_license_scan, op3_ngram_jaccard, op4_token_counts, op5_bpe, op6_toxicity, op7_decontaminate, op8_top_k, op9_language_id, op10_warc)
+    for f in (op1_chat_format, op2_license_scan, op3_ngram_jaccard, op4_token_counts, op5_bpe, op6_toxicity, op7_decontaminate, op8_top_k, op9_language_id, op10_warc, op13_periodic_runs)
 }
 
 ORACLE_SQL = {"op8_top_k": OP8_SQL}

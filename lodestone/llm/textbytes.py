@@ -167,6 +167,11 @@ def words(data: np.ndarray, offs: np.ndarray, unicode_marks: bool = False) -> tu
     return _spans(word_flags(data, unicode_marks), offs, offs)
 
 
+def runs_of(flags: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `words`, of the flagged bytes."""
+    return _spans(flags, offs, offs)
+
+
 def _spans(flags: np.ndarray, offs: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the flagged runs, which end at `bounds`, and each text's first run's number."""
     before, after = np.empty(len(flags), bool), np.empty(len(flags), bool)
