@@ -7,17 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, decontaminate, jaccard, langid, licenses, periodic, tokenfiles, topk, toxicity, warc
+from lodestone.llm import alignment, bpe, chat, decontaminate, jaccard, langid, licenses, periodic, tokenfiles, topk, toxicity, warc
 from lodestone.scratch import scratch_path
 from lodestone.sources import table
 
+PIECES = "piece_bpe_32k.model"
 VOCABULARY, END_ID, VOCABULARY_SIZE = "byte_bpe_50k.json", 50256, 50257
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers  # only the queries that tokenize need it
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +81,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path(PIECES))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.collapse(periodic.with_planted(table(spark, sf_dir, "documents")))
     best = F.expr("array_min(transform(runs, r -> struct(-r.length AS least, r.start AS start, r.period AS period, r.length AS length)))")
@@ -91,7 +96,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_format, op2_license_scan, op3_ngram_jaccard, op4_token_counts, op5_bpe, op6_toxicity, op7_decontaminate, op8_top_k, op9_language_id, op10_warc, op13_periodic_runs)
+    for f in (op1_chat_format, op2_license_scan, op3_ngram_jaccard, op4_token_counts, op5_bpe, op6_toxicity, op7_decontaminate, op8_top_k, op9_language_id, op10_warc, op12_token_alignment, op13_periodic_runs)
 }
 
 ORACLE_SQL = {"op8_top_k": OP8_SQL}
