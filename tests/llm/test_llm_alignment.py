@@ -58,7 +58,7 @@ def brute(rows):
 
 def test_query_equals_brute_force(spark, tmp_path):
     rng = random.Random(5)
-    texts = [None, "", " ", "a", "<|endoftext|> is text here", "uses ▁ itself", "<0x41><s></s><unk>", "日本語の文章です。" * 20, "emoji 👩‍👩‍👧 and é́", "x\x00y", "\n\n  \t tabs", "aaaa" * 3000, "zq" * 20000, "9" * 500]
+    texts = [None, "", " ", "a", "<|endoftext|> is text here", "uses ▁ itself", "<0x41><s></s><unk>", "日本語の文章です。" * 20, "emoji 👩‍👩‍👧 and é́", "x\x00y", "\n\n  \t tabs", "aaaa" * 700, "zq" * 1500, "9" * 500]
     vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
     texts += [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 120))) for _ in range(300)]
     texts += [" ".join(rng.choice(vocabulary) for _ in range(200_000))] + ["the same words"] * 5
