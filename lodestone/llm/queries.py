@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import alignment, bpe, chat, decontaminate, jaccard, langid, licenses, periodic, tokenfiles, topk, toxicity, warc
+from lodestone.llm import alignment, bpe, chat, decontaminate, jaccard, langid, licenses, periodic, quality, tokenfiles, topk, toxicity, warc
 from lodestone.scratch import scratch_path
 from lodestone.sources import table
 
@@ -81,6 +81,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path(PIECES))
 
@@ -96,7 +101,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_format, op2_license_scan, op3_ngram_jaccard, op4_token_counts, op5_bpe, op6_toxicity, op7_decontaminate, op8_top_k, op9_language_id, op10_warc, op12_token_alignment, op13_periodic_runs)
+    for f in (op1_chat_format, op2_license_scan, op3_ngram_jaccard, op4_token_counts, op5_bpe, op6_toxicity, op7_decontaminate, op8_top_k, op9_language_id, op10_warc, op11_quality, op12_token_alignment, op13_periodic_runs)
 }
 
 ORACLE_SQL = {"op8_top_k": OP8_SQL}

@@ -24,15 +24,15 @@ def brute(rows):
         groups, links = [], Counter()
         if text:
             a = a_model.encode(" " + text, add_special_tokens=False)
-            b = b_model.encode(text)
+            a_ids, b = a.ids, b_model.encode(text)
             a_bytes = [bytes(byte[c] for c in t) for t in a.tokens]
             b_bytes = [bytes([int(p[3:5], 16)]) if b_model.is_byte(i) else p.replace("▁", " ").encode() for i in b for p in [b_model.id_to_piece(i)]]
             if b"".join(a_bytes) == b"".join(b_bytes) == (" " + text).encode():
                 i = j = x = y = 0
                 own = ([], [])
-                while i < len(a.ids) or j < len(b):
-                    if x <= y and i < len(a.ids) and (x < y or not own[0]):
-                        own[0].append(a.ids[i])
+                while i < len(a_ids) or j < len(b):
+                    if x <= y and i < len(a_ids) and (x < y or not own[0]):
+                        own[0].append(a_ids[i])
                         x += len(a_bytes[i])
                         i += 1
                     else:
