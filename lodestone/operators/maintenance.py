@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.manifest import Conflict, Manifest
+
 
 def upsert(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """`target` with rows of `changes` put in or in place; its columns win where the change has null."""
@@ -71,42 +73,51 @@ def migrate(df: DataFrame, current: int, migrations: list[Migration]) -> tuple[D
 
 
 class Transaction:
-    """Tables that are published together or not at all.
+    """Tables that are published together or not at all, on the versions that the block began with.
 
-    `put` writes beside the table; leaving the block without an error points the tables' current versions to
-    what was written, one rename a table, and with an error removes it. Readers see a version that was whole when
-    it was published."""
+    `put` writes beside the tables; leaving the block without an error names all that was written in one commit of
+    the manifest, and with an error removes it. If others have published meanwhile, the commit is put on top of
+    theirs, unless they changed a table that this block read or wrote: then it raises `Conflict` and
+    leaves nothing. A process that dies before the commit leaves folders that no version names."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.manifest = Manifest(spark, self.root)
+        self.version, self.tables = self.manifest.latest()
         self.staged: dict[str, str] = {}
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.seen: set[str] = set()
 
     def __enter__(self) -> Transaction:
         return self
 
     def put(self, table: str, df: DataFrame) -> None:
-        self.staged[table] = f"{self.root}/{table}/_staged-{uuid.uuid4().hex}"
-        df.write.parquet(self.staged[table])
+        if table in self.staged:
+            self.manifest.discard(self.staged.pop(table))
+        path = f"{self.root}/{table}/{uuid.uuid4().hex}"
+        self.staged[table] = path
+        df.write.parquet(path)
+
+    def read(self, table: str) -> DataFrame:
+        """The table as this block wrote it, or else as it was when the block began."""
+        self.seen.add(table)
+        return self.spark.read.parquet(self.staged.get(table) or self.tables[table])
 
     def __exit__(self, kind, *_) -> bool:
-        for table, path in self.staged.items():
-            if kind is None:
-                at = len(self.versions(table))
-                self.fs.rename(self._path(path), self._path(f"{self.root}/{table}/v{at:09}"))
-            else:
-                self.fs.delete(self._path(path), True)
+        if kind is not None:
+            self._drop()
+            return False
+        version, now = self.version, self.tables
+        while self.staged and not self.manifest.commit(version + 1, now | self.staged):
+            version, now = self.manifest.latest()
+            lost = sorted(t for t in self.seen | self.staged.keys() if now.get(t) != self.tables.get(t))
+            if lost:
+                self._drop()
+                raise Conflict(f"published by another writer since version {self.version}: {', '.join(lost)}")
         return False
 
-    def versions(self, table: str) -> list[str]:
-        folder = self._path(f"{self.root}/{table}")
-        names = [s.getPath().getName() for s in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
-        return sorted(n for n in names if n.startswith("v"))
-
-    def read(self, table: str) -> DataFrame:
-        """The version that was published last."""
-        return self.spark.read.parquet(f"{self.root}/{table}/{self.versions(table)[-1]}")
+    def _drop(self) -> None:
+        for path in self.staged.values():
+            self.manifest.discard(path)
 
 
 def suspicious_files(files: DataFrame, primary: str) -> DataFrame:
