@@ -11,63 +11,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions import text as T
 from lodestone.operators.ranking import keep_best, top_per_group
-from lodestone.scratch import materialize
 
 K1, B = 1.2, 0.75
 
 
-def index(texts: DataFrame, asked: DataFrame, key: str = "doc_id", text: str = "text", norms: bool = True, literal_terms: int = 10_000) -> DataFrame:
-    """(key, dl, norm, counts): each text's length in terms, the norm of its term counts, and how often it has
-    each of the asked terms (`asked` has a column term). Without `norms`, which cost as much as the rest, the norm is null.
-
-    Texts are split once, in one narrow pass, and what is written is a few numbers a text, so that statistics
-    and scores never see the texts again. Up to `literal_terms` terms go into the expression as a set; of more,
-    terms and texts meet by a join."""
-    words = texts.select(key, T.latin_tokens(text).alias("w"))
-    terms = asked.select("term").distinct()
-    squares = F.aggregate(
-        F.sort_array("w"), F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s")),
-        lambda a, x: F.when(a["t"] == x, F.struct(x.alias("t"), (a["n"] + 1).alias("n"), (a["s"] + 2 * a["n"] + 1).alias("s"))).otherwise(F.struct(x.alias("t"), F.lit(1).cast("long").alias("n"), (a["s"] + 1).alias("s"))),
-        lambda a: F.sqrt(a["s"]),
-    )
-    squares = squares if norms else F.lit(None).cast("double")
-    few = [r[0] for r in terms.limit(literal_terms + 1).collect()]
-    if len(few) <= literal_terms:
-        hits = F.filter("w", lambda x: x.isin(few) if few else F.lit(False))
-        counts = F.transform(F.array_distinct("hits"), lambda x: F.struct(x.alias("term"), F.size(F.filter("hits", lambda y: y == x)).cast("long").alias("tf")))
-        out = words.select(key, F.size("w").cast("long").alias("dl"), squares.alias("norm"), hits.alias("hits")).select(key, "dl", "norm", counts.alias("counts"))
-    else:
-        hit = words.select(key, F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
-        per = hit.groupBy(key).agg(F.collect_list(F.struct("term", "tf")).alias("counts"))
-        out = words.select(key, F.size("w").cast("long").alias("dl"), squares.alias("norm")).join(per, key, "left")
-        out = out.withColumn("counts", F.coalesce("counts", F.array().cast("array<struct<term: string, tf: bigint>>")))
-    return materialize(out, "term-index")
-
-
-def _postings(index: DataFrame, key: str) -> DataFrame:
-    return index.filter(F.size("counts") > 0).select(key, "dl", "norm", F.inline("counts"))
-
-
-def bm25(index: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, key, score) of every text that has a query term, over an `index` of those terms.
+def bm25(hits: DataFrame, size: tuple[int, float], queries: DataFrame, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, key, score) of every text that has a query term, over an index's `hits` of those terms and its `size`.
 
     `queries` has a row for each distinct (query_id, term). Statistics cover all texts; only the rows
     of query terms are scored, so the shuffle is of hits."""
-    n, mean = index.filter("dl > 0").agg(F.count("*"), F.avg("dl")).first()
-    hits = _postings(index, key)
+    n, mean = size
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
     return hits.join(queries.join(df, "term"), "term").withColumn("part", part).groupBy("query_id", key).agg(F.sum("part").alias("score"))
 
 
-def tf_cosine(index: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+def tf_cosine(hits: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
     """(query_id, key, score): cosine of term counts; `queries` has (query_id, term, tf)."""
     q_norms = queries.groupBy("query_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("qn"))
     q = queries.join(q_norms, "query_id").select("query_id", "term", (F.col("tf") / F.col("qn")).alias("w"))
-    return _postings(index, key).join(q, "term").groupBy("query_id", key).agg((F.sum(F.col("tf") * F.col("w")) / F.first("norm")).alias("score"))
+    return hits.join(q, "term").groupBy("query_id", key).agg((F.sum(F.col("tf") * F.col("w")) / F.first("norm")).alias("score"))
 
 
 def best_k(scored: DataFrame, k: int, item: str = "doc_id") -> DataFrame:

@@ -231,6 +231,7 @@ _CASES = "(VALUES (1, 'license', 'must'), (1, 'password', 'negative'), (2, 'gene
 def m14(t: Tables) -> DataFrame:
     """All cases are asked at once, and their hits held against the anchors."""
     q = Q.asked(t)
-    hits = R.best_k(R.bm25(R.index(t.documents, q, norms=False), q.select("query_id", "term")), 10)
+    index = Q.searchable(t)
+    hits = R.best_k(R.bm25(index.hits(q), index.size, q.select("query_id", "term")), 10)
     anchors = t.spark.createDataFrame([(1, "license", "must"), (1, "password", "negative"), (2, "general public license", "must"), (2, "version", "must"), (3, "all rights reserved", "must"), (4, "schein", "must"), (5, "mail", "must"), (5, "order", "must")], "case_id int, anchor string, kind string")
     return E.retrieval_run(hits, t.documents, anchors).select("case_id", "must", "found", "best_rank", "recall_at_5", "negatives")

@@ -32,10 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path; nothing is there yet."""
-    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _root(spark: SparkSession) -> str:
+def scratch_root(spark: SparkSession) -> str:
+    """The application's own folder in the shared one."""
     return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
 
 
@@ -57,7 +58,7 @@ def free(*tables: DataFrame) -> None:
 
 def purge(spark: SparkSession) -> None:
     """Delete all scratch tables of this application, once no result reads them any more."""
-    release(spark, _root(spark))
+    release(spark, scratch_root(spark))
 
 
 def release(spark: SparkSession, path: str) -> None:

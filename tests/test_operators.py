@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import evaluation, folds, graph, joins, maintenance, ranking, retrieval, vectors
+from lodestone.operators import evaluation, folds, graph, joins, maintenance, ranking, vectors
 from lodestone.scratch import materialize, shared_dir
 
 
@@ -91,14 +91,6 @@ def test_ancestors_reach_any_depth_and_cycles_end(spark):
     assert graph.ancestors(tree.limit(0)).count() == 0
 
 
-def test_the_index_is_the_same_by_set_and_by_join(spark):
-    texts = spark.createDataFrame([(1, "the license, the end"), (2, ""), (3, None), (4, "License of a password")], "doc_id long, text string")
-    asked = spark.createDataFrame([(1, "license", 1), (1, "the", 1), (2, "nowhere", 1)], "query_id int, term string, tf int")
-    flat = lambda n: sorted((r.doc_id, r.dl, r.norm, sorted((c.term, c.tf) for c in r.counts)) for r in retrieval.index(texts.filter("text is not null"), asked, literal_terms=n).collect())
-    assert flat(10) == flat(0) and flat(10)[0] == (1, 4, 6**0.5, [("license", 1), ("the", 2)])
-    assert {(r.query_id, r.doc_id) for r in retrieval.bm25(retrieval.index(texts, asked, norms=False), asked.select("query_id", "term")).collect()} == {(1, 1), (1, 4)}
-
-
 def test_contained_terms_meet_on_their_rarest_token(spark):
     texts = spark.createDataFrame([(1, "the end of the line"), (2, "the line of the end"), (3, "")], "k long, text string")
     terms = spark.createDataFrame([("The end",), ("of the",), ("the",), ("end line",), ("zzz",), ("!",)], "term string")
