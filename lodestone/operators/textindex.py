@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators.manifest import Manifest
-from lodestone.scratch import scratch_root
+from lodestone.scratch import materialize, scratch_root
 
 _COLUMNS = {"keys": ", digest string, dl long", "gone": "", "postings": ", dl long, norm double, term string, tf long, bucket int"}
 
@@ -180,8 +180,8 @@ class TextIndex:
 
     def hits(self, asked: DataFrame) -> DataFrame:
         """(key, dl, norm, term, tf) of every text that has one of the terms of `asked`: the buckets of those terms are read,
-        in which the terms lie side by side."""
-        terms = asked.select("term").distinct()
-        here = [r[0] for r in terms.select(self._bucket()).distinct().collect()]
-        found = self._read("postings", only=F.col("bucket").isin(here) if here else F.lit(False)).drop("bucket").join(terms, "term", "left_semi")
+        in which the terms lie side by side. The terms are written first, so that Spark knows their size when it chooses the join."""
+        terms = materialize(asked.select("term").distinct().withColumn("bucket", self._bucket()), "asked-terms")
+        here = [r[0] for r in terms.select("bucket").distinct().collect()]
+        found = self._read("postings", only=F.col("bucket").isin(here) if here else F.lit(False)).drop("bucket").join(terms.select("term"), "term", "left_semi")
         return self._alive(found, self.state["segments"]).select(F.col("key").alias(self.key), "dl", "norm", "term", "tf")
