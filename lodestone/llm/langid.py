@@ -15,6 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.llm.batches import map_in_arrow
 
@@ -31,14 +32,14 @@ def held_out(id_column: str = "doc_id"):
 def learn(documents: DataFrame, texts_per_language: int = 800, dictionary_bytes: int = 98304, excerpt_chars: int = 400, max_texts: int = 100_000, total_bytes: int = 64_000_000) -> dict[str, bytes]:
     """A dictionary for each language of the training rows (non-null lang, not held out), however many.
 
-    The sample is bounded: about `texts_per_language` rows of each language by a hash of the id, fewer if
+    The sample is bounded: about `texts_per_language` rows of each language by a hash of id and text, equal rows once, fewer if
     there are so many languages that more than `max_texts` rows would be read in all, but one at least; one
     excerpt of `excerpt_chars` code points each, from a place in the text that the hash picks. The driver
-    gets a row per language and the sample. Dictionaries are of `dictionary_bytes` bytes, or of an equal share
+    gets a row per language and the sample, at most `texts_per_language` rows of each. Dictionaries are of `dictionary_bytes` bytes, or of an equal share
     of `total_bytes` if that is less, so that what is sent to the executors is bounded."""
     train = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    h = F.xxhash64(F.col("doc_id").cast("long"))
-    counts = {r["lang"]: r for r in train.groupBy("lang").agg(F.count("*").alias("n"), F.min(h).alias("least")).collect()}
+    h = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    counts = {r["lang"]: r for r in train.groupBy("lang").agg(F.approx_count_distinct(h).alias("n"), F.min(h).alias("least")).collect()}
     if not counts:
         return {}
     each, wide = max(1, min(texts_per_language, max_texts // len(counts))), 1 << 63
@@ -46,6 +47,7 @@ def learn(documents: DataFrame, texts_per_language: int = 800, dictionary_bytes:
     bounds = F.broadcast(documents.sparkSession.createDataFrame(bounds, "lang string, bound long"))  # a row per language
     place = F.lit(1) + F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(1)), F.greatest(F.length("text") - excerpt_chars, F.lit(1)).cast("long")).cast("int")
     chosen = train.select("lang", h.alias("h"), "doc_id", F.substring("text", place, F.lit(excerpt_chars)).alias("excerpt")).join(bounds, "lang").filter("h <= bound")
+    chosen = chosen.select("lang", "h", "doc_id", "excerpt").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "excerpt"))).filter(F.col("place") <= each)
     own: dict[str, list[tuple]] = {lang: [] for lang in counts}
     for r in chosen.collect():
         own[r["lang"]].append((r["h"], r["doc_id"], r["excerpt"]))

@@ -8,9 +8,10 @@ squared-hinge SVM there. The decision function sum(beta_m k(x, landmark_m)) is l
 subsequence features, so it is evaluated exactly from one weight per triple of bytes.
 
 Labels are of whole texts, and words of insults may occur in clean ones by chance. A text is toxic by the
-rate of its units that the SVM places beyond `CUT`; training alternates between choosing the units that
+rate of its units that the SVM places beyond a margin; training alternates between choosing the units that
 make each toxic text toxic and fitting the SVM to those against units of clean texts, and sets the rate
-between the labelled texts of either kind.
+between the labelled texts of either kind. The margin is chosen among CUTS by two halves of the learnable texts that
+judge each other.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ from lodestone.llm.textbytes import LOWER, blocks, expand, span_hashes, text_buf
 
 SCORED = "doc_id long, score double, predicted int, worst string"
 P, LAMBDA, WIDTH, STRIDE = 3, 0.75, 16, 8
-#: The byte before a unit that begins with its word, the margin from which a unit counts, the fewest units that a rate is
-#: taken of, how often a unit counts in a text, how much more frequent an insult is in toxic texts, and the bytes of a gram.
-MARK, CUT, FLOOR, REPEATS, RATIO, GRAM = 1, 0.9, 30, 3, 8.0, 5
+#: The byte before a unit that begins with its word, the fewest units that a rate is taken of, how often a unit counts in a text, how much more frequent an insult is in toxic texts, and the bytes of a gram.
+MARK, FLOOR, REPEATS, RATIO, GRAM = 1, 30, 3, 8.0, 5
+#: Margins from which a unit may count.
+CUTS = (0.3, 0.5, 0.7, 0.9, 1.1)
 _CACHE = 1_000_000
 
 
@@ -180,12 +182,13 @@ def gram(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """beta over landmarks, a bias, and the rate of units beyond CUT at which a text is as likely toxic as not."""
+    """beta over landmarks, a bias, the margin from which a unit counts, and the rate of such units at which a text is as likely toxic as not."""
 
     landmarks: list[bytes] = field(default_factory=list)
     beta: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -1.0
     rate: float = 1.0
+    cut: float = CUTS[-1]
 
     def __post_init__(self) -> None:
         self.kernel = Kernel(self.landmarks, np.asarray(self.beta, float)[:, None])
@@ -197,12 +200,12 @@ class Model:
     def score(self, top: np.ndarray, rate: np.ndarray) -> np.ndarray:
         """0.5 at the model's rate, more above it; below, at least what the worst unit's margin is worth, under 0.3."""
         odds = (rate / self.rate) ** 2
-        return np.maximum(odds / (1 + odds), 0.3 / (1 + np.exp(-np.clip(2 * (top - CUT), -30, 30))))
+        return np.maximum(odds / (1 + odds), 0.3 / (1 + np.exp(-np.clip(2 * (top - self.cut), -30, 30))))
 
 
-def rates(margins: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Each text's share of units beyond CUT, of FLOOR units at least."""
-    return np.bincount(doc, margins >= CUT, n) / np.maximum(np.bincount(doc, minlength=n), FLOOR)
+def rates(margins: np.ndarray, doc: np.ndarray, n: int, cut: float) -> np.ndarray:
+    """Each text's share of units beyond the margin `cut`, of FLOOR units at least."""
+    return np.bincount(doc, margins >= cut, n) / np.maximum(np.bincount(doc, minlength=n), FLOOR)
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-4, steps: int = 15) -> tuple[np.ndarray, float]:
@@ -234,16 +237,37 @@ def gapped(text: bytes, rng: np.random.Generator) -> bytes:
 
 
 def fit(texts: list[str], toxic: list[int], landmarks: int = 96, rounds: int = 3, negatives: int = 12000, positives: int = 1500, seed: int = 5) -> Model:
-    """Fit on a bounded sample of labelled texts. One class alone gives a model that flags nothing."""
+    """Fit on a bounded sample of labelled texts. One class alone gives a model that flags nothing.
+
+    Each half of the texts sets the rates for every margin of CUTS and is judged on the other half; the margin with the
+    least sum of both classes' error shares is taken, the larger of equal ones."""
     model = trained(texts, toxic, landmarks, rounds, negatives, positives, seed)
     if model.landmarks:
-        buf, offs = text_buffer(pa.array([t or "" for t in texts], pa.string()))
-        low, start, end, doc = units(buf, offs)
-        _, first, code = np.unique(span_hashes(low, start, end), return_index=True, return_inverse=True)
-        model.rate = threshold(rates(model.margins(low, start[first], end[first])[code], doc, len(texts)), np.array(toxic, bool))
+        y = np.array(toxic, bool)
+        wrong = np.zeros(len(CUTS))
+        for side in (0, 1):
+            own, other = [slice(k, None, 2) for k in (side, 1 - side)]
+            half = trained(texts[own], toxic[own], landmarks, rounds, negatives, positives, seed)
+            if half.landmarks:
+                (m, doc), (m_other, doc_other) = _margins(half, texts[own]), _margins(half, texts[other])
+                for i, cut in enumerate(CUTS):
+                    level = threshold(rates(m, doc, len(y[own]), cut), y[own])
+                    flagged = rates(m_other, doc_other, len(y[other]), cut) >= level
+                    wrong[i] += sum((flagged != y[other])[y[other] == kind].mean() for kind in (False, True) if (y[other] == kind).any())
+        model.cut = CUTS[int(np.flatnonzero(wrong <= wrong.min() + 1e-9)[-1])]
+        m, doc = _margins(model, texts)
+        model.rate = threshold(rates(m, doc, len(texts), model.cut), y)
     return model
 
 
+def _margins(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The margin of each unit and its text."""
+    buf, offs = text_buffer(pa.array([t or "" for t in texts], pa.string()))
+    low, start, end, doc = units(buf, offs)
+    _, first, code = np.unique(span_hashes(low, start, end), return_index=True, return_inverse=True)
+    return model.margins(low, start[first], end[first])[code], doc
+
+
 def trained(texts: list[str], toxic: list[int], landmarks: int, rounds: int, negatives: int, positives: int, seed: int) -> Model:
     """The SVM, its rate not yet set.
 
@@ -355,10 +379,11 @@ def threshold(rate: np.ndarray, y: np.ndarray) -> float:
     return float(np.sqrt(low[i] * hi[best][i]))
 
 
-def learn(documents: DataFrame, labels: DataFrame, max_texts: int = 2000, landmarks: int = 96, negatives: int = 12000, positives: int = 1500) -> Model:
+def learn(documents: DataFrame, labels: DataFrame, max_texts: int = 2000, landmarks: int = 96, negatives: int = 12000, positives: int = 1500, max_bytes: int = 64_000_000) -> Model:
     """Fit on at most about `max_texts` labelled texts that are not held out, by a hash of the id; half
     of them toxic if there are so many; `landmarks`, `negatives` and `positives` bound what `fit` draws from
-    them. Null labels, ids and texts are left out; an id with both labels is toxic."""
+    them. Of rows that share an id each text counts once, and texts of the least digests are taken while they are at most
+    2 * `max_texts` and `max_bytes` bytes in all (one at least). Null labels, ids and texts are left out; an id with both labels is toxic."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -371,9 +396,16 @@ def learn(documents: DataFrame, labels: DataFrame, max_texts: int = 2000, landma
     spark = documents.sparkSession
     wanted = F.broadcast(spark.createDataFrame(sorted(ids.items()), "doc_id long, toxic int"))  # at most 2 * max_texts rows
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    sample = docs.join(wanted, "doc_id").select("doc_id", "text", "toxic").repartition(1)
-    r = map_in_arrow(sample, _fit(landmarks, negatives, positives), "landmarks array<binary>, beta array<double>, bias double, rate double").first()
-    return Model([bytes(x) for x in r["landmarks"]], np.array(r["beta"]), r["bias"], r["rate"])
+    sample = docs.join(wanted, "doc_id").select("doc_id", "text", "toxic", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "text")).alias("digest"))
+    kept = {}
+    for r in sample.select("digest", F.octet_length("text").alias("size")).distinct().orderBy("digest").limit(2 * max_texts).collect():
+        if kept and sum(kept.values()) + r["size"] > max_bytes:
+            break
+        kept[r["digest"]] = r["size"]
+    picked = F.broadcast(spark.createDataFrame([(d,) for d in kept], "digest string"))  # at most 2 * max_texts rows
+    sample = sample.join(picked, "digest").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("doc_id", "text", "toxic"))).drop("digest").repartition(1)
+    r = map_in_arrow(sample, _fit(landmarks, negatives, positives), "landmarks array<binary>, beta array<double>, bias double, rate double, cut double").first()
+    return Model([bytes(x) for x in r["landmarks"]], np.array(r["beta"]), r["bias"], r["rate"], r["cut"])
 
 
 def _fit(landmarks: int, negatives: int, positives: int):
@@ -381,8 +413,8 @@ def _fit(landmarks: int, negatives: int, positives: int):
         """Fit on the bounded sample in one task, so that the driver holds neither texts nor features."""
         rows = sorted({row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)})
         model = fit([t for _, t, _ in rows], [y for *_, y in rows], landmarks, negatives=negatives, positives=positives)
-        names = ["landmarks", "beta", "bias", "rate"]
-        yield pa.RecordBatch.from_arrays([pa.array([model.landmarks], pa.list_(pa.binary())), pa.array([np.asarray(model.beta, float).tolist()], pa.list_(pa.float64())), *(pa.array([float(x)]) for x in (model.bias, model.rate))], names)
+        names = ["landmarks", "beta", "bias", "rate", "cut"]
+        yield pa.RecordBatch.from_arrays([pa.array([model.landmarks], pa.list_(pa.binary())), pa.array([np.asarray(model.beta, float).tolist()], pa.list_(pa.float64())), *(pa.array([float(x)]) for x in (model.bias, model.rate, model.cut))], names)
 
     return run
 
@@ -414,7 +446,7 @@ def _score(model: Model):
                 known, value = both[by], np.concatenate((value, f[~old]))[by]
                 top, worst = np.full(b - a, model.bias, np.float32), np.full(b - a, -1)
                 m = f[code]
-                rate = rates(m, doc, b - a)
+                rate = rates(m, doc, b - a, model.cut)
                 if len(h):
                     by = np.lexsort((m, doc))
                     last = np.flatnonzero(np.concatenate((doc[by][1:] != doc[by][:-1], [True])))
@@ -429,7 +461,7 @@ def _score(model: Model):
 def score(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`SCORED`: per row a score from 0 to 1 of the whole text, 1 predicted at 0.5, and its worst unit.
 
-    The score goes by the share of a text's units (of FLOOR at least) that the SVM places beyond CUT. Null, empty
+    The score goes by the share of a text's units (of FLOOR at least) that the SVM places beyond the model's margin. Null, empty
     and wordless texts get the score of no such unit and no worst one; repeated rows
     get equal rows; ids may be null; other columns are ignored; an empty table gives no rows."""
     return map_in_arrow(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), _score(model), SCORED)

@@ -126,7 +126,7 @@ def test_op6_scores_equal_the_kernel_expansion(spark, tables):
         units = [mark + w.encode() for w in r.text.split()]
         assert all(len(u) <= toxicity.WIDTH for u in units)
         margin = toxicity.gram(units, marks) @ np.asarray(model.beta) + model.bias
-        rate = (margin >= toxicity.CUT).sum() / max(len(units), toxicity.FLOOR)
+        rate = (margin >= model.cut).sum() / max(len(units), toxicity.FLOOR)
         assert r.score == pytest.approx(float(model.score(np.array([margin.max()]), np.array([rate]))[0]), abs=1e-3)
 
 
