@@ -66,10 +66,10 @@ def backfill(facts_: DataFrame, units: DataFrame, doc: str, page: str, unit: str
 
 
 def scope_change(old: Column, new: Column) -> Column:
-    """new_scope, done, same, improved (fewer, none new) or expanded of two sets of pages."""
+    """new_scope, done, improved (fewer pages, whichever they are), expanded (others among no fewer) or still_open of two sets of pages."""
     return (
-        F.when(F.size(old) == 0, "new_scope").when(F.size(new) == 0, "done").when(F.array_sort(old) == F.array_sort(new), "same")
-        .when(F.size(F.array_except(new, old)) == 0, "improved").otherwise("expanded")
+        F.when((F.size(old) == 0) & (F.size(new) > 0), "new_scope").when((F.size(old) > 0) & (F.size(new) == 0), "done")
+        .when(F.size(new) < F.size(old), "improved").when(F.size(F.array_except(new, old)) > 0, "expanded").otherwise("still_open")
     )
 
 

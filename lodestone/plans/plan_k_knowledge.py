@@ -92,10 +92,15 @@ def k21(t: Tables) -> DataFrame:
 
 @query(
     "k26_scope_change",
-    """WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type) FILTER (event_id % 2 = 0))) AS o, list_sort(list_distinct(list(event_type) FILTER (event_id % 2 = 1 AND value > 30))) AS n FROM events GROUP BY 1),
-    t AS (SELECT user_id, coalesce(o, []) AS o, coalesce(n, []) AS n FROM s)
-    SELECT user_id, CASE WHEN len(o) = 0 THEN 'new_scope' WHEN len(n) = 0 THEN 'done' WHEN o = n THEN 'same' WHEN len(list_filter(n, lambda x: NOT list_contains(o, x))) = 0 THEN 'improved' ELSE 'expanded' END AS status FROM t""",
+    """WITH p AS (SELECT user_id, event_type IN ('error', 'signup') AS earlier, event_type IN ('purchase', 'view') AS later, k % 9 + 1 AS page FROM events JOIN v_props USING (event_id)),
+    s AS (SELECT user_id, count(DISTINCT page) FILTER (earlier) AS o, count(DISTINCT page) FILTER (later) AS n FROM p GROUP BY 1),
+    f AS (SELECT user_id, count(*) AS fresh FROM (SELECT user_id, page FROM p WHERE later EXCEPT SELECT user_id, page FROM p WHERE earlier) GROUP BY 1)
+    SELECT user_id, CASE WHEN o = 0 AND n > 0 THEN 'new_scope' WHEN o > 0 AND n = 0 THEN 'done' WHEN n < o THEN 'improved' WHEN coalesce(fresh, 0) = 0 THEN 'still_open' ELSE 'expanded' END AS status FROM s LEFT JOIN f USING (user_id)""",
 )
 def k26(t: Tables) -> DataFrame:
-    per = t.events.groupBy("user_id").agg(F.collect_set(F.when(F.col("event_id") % 2 == 0, F.col("event_type"))).alias("o"), F.collect_set(F.when((F.col("event_id") % 2 == 1) & (F.col("value") > 30), F.col("event_type"))).alias("n"))
-    return per.select("user_id", K.scope_change(F.col("o"), F.col("n")).alias("status"))
+    """Pages at risk in an earlier report (errors and signups) against a later one (purchases and views)."""
+    page = (F.col("k") % 9 + 1).alias("page")
+    pages = t.events.join(t.v_props, "event_id").select("user_id", "event_type", page)
+    per = lambda *kinds: F.collect_set(F.when(F.col("event_type").isin(*kinds), F.col("page")))
+    sets = pages.groupBy("user_id").agg(per("error", "signup").alias("o"), per("purchase", "view").alias("n"))
+    return sets.select("user_id", K.scope_change(F.col("o"), F.col("n")).alias("status"))
