@@ -78,13 +78,13 @@ def proximity(left: DataFrame, right: DataFrame, group: str, left_at: str, right
     return own.join(near, [group, "__bucket"]).filter(F.abs(F.col(left_at) - F.col(right_at)) <= distance).drop("__bucket")
 
 
-def _spread(rows: DataFrame, key: str, *order: str) -> DataFrame:
+def spread(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """Rows dealt into ranges of (key, order), with the number of their range; written once, so that a task that is
     run again finds the same ranges. A key of any size is spread over as many ranges as it fills."""
     return materialize(rows.repartitionByRange(key, *order).withColumn("__part", F.spark_partition_id()), "ranges")
 
 
-def _last_known(placed: DataFrame, key: str, order: list[str], value: str, alias: str, ahead: bool = False) -> DataFrame:
+def last_known(placed: DataFrame, key: str, order: list[str], value: str, alias: str, ahead: bool = False) -> DataFrame:
     """`placed` with the last non-null value of the key at or before each row (`ahead`: the first at or after it).
 
     Ranges are filled on their own, and what a key carries into a range is the last value of its earlier ranges:
@@ -107,9 +107,9 @@ def nearest(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at:
     r = right.filter(F.col(key).isNotNull()).select(F.col(key), F.col(right_at).alias("__at"), F.struct(F.col(right_at).alias("p"), F.col(value).alias("v")).alias("__r"), F.lit(0).alias("__left"))
     r = r.groupBy(key, "__at", "__left").agg(F.min("__r").alias("__r"))
     own = left.withColumn("__at", F.col(left_at)).withColumn("__left", F.lit(1))
-    placed = _spread(own.unionByName(r, allowMissingColumns=True), key, "__at", "__left")
-    back = _last_known(placed, key, ["__at", "__left"], "__r", "__b")
-    found = _last_known(back, key, ["__at", "__left"], "__r", "__a", ahead=True).filter("__left = 1")
+    placed = spread(own.unionByName(r, allowMissingColumns=True), key, "__at", "__left")
+    back = last_known(placed, key, ["__at", "__left"], "__r", "__b")
+    found = last_known(back, key, ["__at", "__left"], "__r", "__a", ahead=True).filter("__left = 1")
     gap = lambda c: F.abs(F.col("__at") - F.col(f"{c}.p"))
     pick = F.when(F.col("__a").isNull() | (gap("__b") <= gap("__a")), F.col("__b.v")).otherwise(F.col("__a.v"))
     return found.withColumn(alias, F.when(F.col("__b").isNull(), F.col("__a.v")).otherwise(pick)).drop("__at", "__left", "__r", "__a", "__b", "__part")
@@ -121,8 +121,8 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     r = right.filter(F.col(key).isNotNull()).select(F.col(key), F.col(right_time).alias("__at"), F.struct(F.col(value).alias("v")).alias("__v"), F.lit(1 if strict else 0).alias("__order"))
     r = r.groupBy(key, "__at", "__order").agg(F.max("__v").alias("__v"))
     own = left.withColumn("__at", F.col(left_time)).withColumn("__order", F.lit(0 if strict else 1)).withColumn("__left", F.lit(True))
-    placed = _spread(own.unionByName(r, allowMissingColumns=True), key, "__at", "__order")
-    found = _last_known(placed, key, ["__at", "__order"], "__v", "__found").filter("__left")
+    placed = spread(own.unionByName(r, allowMissingColumns=True), key, "__at", "__order")
+    found = last_known(placed, key, ["__at", "__order"], "__v", "__found").filter("__left")
     return found.withColumn(alias, F.col("__found.v")).drop("__at", "__v", "__order", "__left", "__found", "__part")
 
 

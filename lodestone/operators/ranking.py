@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.joins import last_known, spread
 from lodestone.scratch import materialize
 
 
@@ -34,9 +35,9 @@ def inject(hits: DataFrame, injected: DataFrame, keys: list[str], score: str) ->
 
 
 def round_robin(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
-    """k rows, the first of every group before the second of any; groups in order of their key."""
+    """k rows, the first of every group before the second of any; groups in order of their key. No group keeps more than k rows."""
     w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("turn", F.row_number().over(w)).orderBy("turn", group).limit(k)
+    return df.withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= k).orderBy("turn", group).limit(k)
 
 
 def shards(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -58,15 +59,16 @@ def shards(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
 
 
 def diversify(df: DataFrame, code: str, position: str) -> DataFrame:
-    """`place` from 1: the first row of every code in order of appearance, then the rest in order."""
-    first = F.row_number().over(Window.partitionBy(code).orderBy(position)) == 1
-    return df.withColumn("__rest", (~first).cast("int"))
+    """Whether a row is not the first of its code (`__rest`), by a grouped minimum; positions are unique."""
+    firsts = df.groupBy(F.col(code).alias("__code")).agg(F.min(position).alias("__first"))
+    joined = df.join(firsts, F.col(code).eqNullSafe(F.col("__code")))
+    return joined.withColumn("__rest", (F.col(position) != F.col("__first")).cast("int")).drop("__code", "__first")
 
 
 def carried(df: DataFrame, group: str, order: list[str], value: Column, alias: str) -> DataFrame:
-    """The last non-null value so far in each group."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(alias, F.last(value, True).over(w))
+    """The last non-null value so far in each group (groups without a key are left unfilled). A group may hold any share of
+    the rows: ranges are filled on their own, and one row a range and group carries on."""
+    return last_known(spread(df.withColumn("__value", value), group, *order), group, order, "__value", alias).drop("__value", "__part")
 
 
 def fill_from_later(df: DataFrame, keys: list[str], order: str, filled: list[str]) -> DataFrame:

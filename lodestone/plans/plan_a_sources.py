@@ -35,14 +35,17 @@ def a06(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.strip_tags("html").alias("s"))
 
 
-@query("a08_whole_texts", "SELECT c_nationkey AS page, count(*) AS lines, CAST(sum(length(c_name)) AS BIGINT) AS chars FROM customer GROUP BY 1")
+@query(
+    "a08_whole_texts",
+    """SELECT lang, source, count(*) AS lines, CAST(sum(length(block)) AS BIGINT) AS chars FROM (SELECT lang, source, unnest(string_split(text, chr(10))) AS block FROM documents) WHERE block <> '' GROUP BY 1, 2""",
+)
 def a08(t: Tables) -> DataFrame:
-    """A text file for each nation's customers, each read whole and cut into blocks."""
+    """The documents' texts in files of a folder for each language and source, of 500 texts at most; each read whole and cut into blocks."""
     path = scratch_path(t.spark, "texts")
-    t.customer.select("c_nationkey", F.col("c_name").alias("value")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    t.documents.select("lang", "source", F.col("text").alias("value")).repartition("lang", "source").write.partitionBy("lang", "source").option("maxRecordsPerFile", 500).text(path)
     whole = t.spark.read.option("wholetext", "true").text(path)
-    blocks = whole.select(F.col("c_nationkey").cast("long").alias("page"), F.explode(F.split("value", "\n")).alias("block")).filter("block <> ''")
-    return blocks.groupBy("page").agg(F.count("*").alias("lines"), F.sum(F.length("block")).alias("chars"))
+    blocks = whole.select("lang", "source", F.explode(F.split("value", "\n")).alias("block")).filter("block <> ''")
+    return blocks.groupBy("lang", "source").agg(F.count("*").alias("lines"), F.sum(F.length("block")).alias("chars"))
 
 
 @query("a10_nested_documents", "SELECT conv_id AS doc_id, CAST(turn // 4 AS INTEGER) AS page_no, role AS type, text FROM conversations")

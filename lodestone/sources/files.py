@@ -28,8 +28,8 @@ def source_type(path: Column | str) -> Column:
 def register(found: DataFrame, known: DataFrame, content: str = "content") -> DataFrame:
     """Files whose content is new: sha256 added, one row a content, those in `known` (sha256) left out."""
     hashed = found.withColumn("sha256", F.sha2(F.col(content).cast("binary"), 256))
-    first = F.row_number().over(Window.partitionBy("sha256").orderBy("path"))
-    return hashed.join(known.select("sha256"), "sha256", "left_anti").withColumn("__n", first).filter("__n = 1").drop("__n")
+    fresh = hashed.join(known.select("sha256"), "sha256", "left_anti")
+    return fresh.groupBy("sha256").agg(F.min_by(F.struct(*found.columns), "path").alias("f")).select("sha256", "f.*")
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
