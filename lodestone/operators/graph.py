@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.joins import substrings
 from lodestone.scratch import materialize
 
 
@@ -110,3 +111,31 @@ def relation_checks(edges: DataFrame, nodes: DataFrame, node: str, kind: str, al
     known = F.concat_ws("|", "src_type", "relation", "dst_type").isin(*("|".join(a) for a in allowed))
     return per.withColumn("status", F.when(F.col("src_type").isNull() | F.col("dst_type").isNull(), "unknown").when(known, "consistent").otherwise("mismatch"))
 
+
+
+def type_report(questions: DataFrame, candidates: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """What filtering candidates by entity class would do to each question: (question_id, classes, total, dropped, kept, lost, reason).
+
+    questions: question_id, question; candidates: question_id, candidate_id (unique), text; surfaces: surface, class_id. A candidate
+    is dropped if it mentions an entity of another class and none of the question's; one that mentions neither is lost evidence. Nothing is
+    dropped where the question has no class, or all entities share one. Names of less than two characters are not looked for."""
+    names = surfaces.select(F.lower("surface").alias("name"), "class_id").filter("length(name) >= 2").distinct()
+    distinct = names.agg(F.count_distinct("class_id").alias("__classes"))  # one row
+
+    def classes(texts: DataFrame, key: str, text: str) -> DataFrame:
+        low = texts.select(key, F.lower(text).alias("__low"))
+        return substrings(low, key, "__low", names, "name").join(names, "name").filter("class_id IS NOT NULL").select(key, "class_id").distinct()
+
+    asked = classes(questions, "question_id", "question")
+    mentioned = candidates.select("question_id", "candidate_id").join(classes(candidates, "candidate_id", "text"), "candidate_id")
+    own = asked.withColumn("__own", F.lit(True))
+    marks = mentioned.join(own, ["question_id", "class_id"], "left").groupBy("candidate_id").agg(F.bool_or(F.coalesce("__own", F.lit(False))).alias("own"), F.bool_or(F.col("__own").isNull()).alias("other"))
+    per = candidates.join(marks, "candidate_id", "left").groupBy("question_id").agg(
+        F.count("*").alias("total"), F.count_if(F.col("other") & ~F.col("own")).alias("__dropped"), F.count_if(F.col("own").isNull()).alias("__lost")
+    )
+    named = asked.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set("class_id")), ",").alias("classes"))
+    rows = questions.select("question_id").join(named, "question_id", "left").join(per, "question_id", "left").crossJoin(F.broadcast(distinct))
+    reason = F.when(F.col("total").isNull(), "no_candidates").when(F.col("classes").isNull(), "query_has_no_known_entity_class").when(F.col("__classes") <= 1, "single_class_ontology_no_diversity").otherwise("projected")
+    on = lambda c: F.when(F.col("reason") == "projected", F.col(c)).otherwise(0)
+    total = F.coalesce("total", F.lit(0))
+    return rows.withColumn("reason", reason).select("question_id", "classes", total.alias("total"), on("__dropped").alias("dropped"), (total - on("__dropped")).alias("kept"), on("__lost").alias("lost"), "reason")

@@ -74,3 +74,25 @@ def o02(t: Tables) -> DataFrame:
 @query("q02_document_dashboard", "SELECT d.doc_id, (SELECT count(*) FROM v_evidence e WHERE e.doc_id = d.doc_id) AS evidence, (SELECT count(*) FROM labels l WHERE l.doc_id = d.doc_id) AS labels, (SELECT count(*) FROM v_evidence e WHERE e.doc_id = d.doc_id AND contains(e.normalized_text, 'icense')) AS facts FROM documents d")
 def q02(t: Tables) -> DataFrame:
     return H.dashboard(t.documents, {"evidence": t.v_evidence, "labels": t.labels, "facts": t.v_evidence.filter(F.contains("normalized_text", F.lit("icense")))}, "doc_id")
+
+
+_CANDIDATE = "CASE (s_suppkey + s_nationkey) % 4 WHEN 0 THEN s_name WHEN 1 THEN concat('in ', n_name, ': ', s_name) WHEN 2 THEN 'nothing known' ELSE concat(n_name, ' only') END"
+_ASKED = "CASE n_nationkey % 5 WHEN 4 THEN 'what is new?' ELSE concat('who delivers from ', lower(n_name), '?') END"
+
+
+@query(
+    "j20_loss_report",
+    f"""WITH q AS (SELECT n_nationkey AS question_id, lower({_ASKED}) AS t FROM nation), c AS (SELECT (s_nationkey + 3) % 25 AS question_id, s_suppkey AS candidate_id, lower({_CANDIDATE}) AS t FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+    a AS (SELECT DISTINCT question_id, entity_type FROM q JOIN v_entities ON contains(t, lower(canonical_name))), k AS (SELECT question_id, string_agg(entity_type, ',' ORDER BY entity_type) AS classes FROM a GROUP BY 1),
+    m AS (SELECT DISTINCT c.question_id, candidate_id, entity_type FROM c JOIN v_entities ON contains(t, lower(canonical_name))),
+    w AS (SELECT candidate_id, bool_or(a.entity_type IS NOT NULL) AS own, bool_or(a.entity_type IS NULL) AS other FROM m LEFT JOIN a ON a.question_id = m.question_id AND a.entity_type = m.entity_type GROUP BY 1),
+    p AS (SELECT question_id, count(*) AS total, count(*) FILTER (other AND NOT own) AS dropped, count(*) FILTER (own IS NULL) AS lost FROM c LEFT JOIN w USING (candidate_id) GROUP BY 1)
+    SELECT question_id, classes, coalesce(total, 0) AS total, CASE WHEN total IS NULL OR classes IS NULL THEN 0 ELSE dropped END AS dropped, coalesce(total, 0) - CASE WHEN total IS NULL OR classes IS NULL THEN 0 ELSE dropped END AS kept,
+      CASE WHEN total IS NULL OR classes IS NULL THEN 0 ELSE lost END AS lost, CASE WHEN total IS NULL THEN 'no_candidates' WHEN classes IS NULL THEN 'query_has_no_known_entity_class' ELSE 'projected' END AS reason
+    FROM q LEFT JOIN k USING (question_id) LEFT JOIN p USING (question_id)""",
+)
+def j20(t: Tables) -> DataFrame:
+    """Suppliers as candidates of the questions about nations; names of all entities as surfaces of their types."""
+    questions = t.nation.selectExpr("n_nationkey AS question_id", f"{_ASKED} AS question")
+    candidates = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).selectExpr("(s_nationkey + 3) % 25 AS question_id", "s_suppkey AS candidate_id", f"{_CANDIDATE} AS text")
+    return G.type_report(questions, candidates, t.v_entities.select(F.col("canonical_name").alias("surface"), F.col("entity_type").alias("class_id")))
