@@ -46,25 +46,18 @@ def containing(texts: DataFrame, text_key: str, text: str, terms: DataFrame, ter
     return found.select(text_key, F.col("__term").alias(term)).distinct()
 
 
-def _grams(c: Column, n: Column) -> Column:
-    """The distinct stretches of n characters."""
-    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))).otherwise(F.array().cast("array<string>"))
-
-
-def substrings(texts: DataFrame, text_key: str, text: str, terms: DataFrame, term: str, width: int = 3) -> DataFrame:
+def substrings(texts: DataFrame, text_key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
     """(text_key, term) where the text contains the term anywhere, for short texts (questions, names, titles).
 
-    A term meets the texts that have its rarest gram (`width` characters, or the whole of a shorter term) by an
-    equi-join, and each such pair is verified once."""
+    Terms meet the stretches of each distinct text that are as long as some term, by an equi-join on the whole
+    of them. So every pair that is formed is a hit: rows grow with the texts and hits alone, whatever terms share."""
     t = terms.select(F.col(term).alias("__term")).filter("__term <> ''").distinct()
-    size = F.least(F.length("__term"), F.lit(width))
-    own = t.select("__term", F.explode(_grams(F.col("__term"), size)).alias("__gram"))
-    rows = texts.select(text_key, F.col(text).alias("__text"))
-    each = rows.select(text_key, "__text", F.explode(F.flatten(F.array(*(_grams(F.col("__text"), F.lit(n)) for n in range(1, width + 1))))).alias("__gram"))
-    counts = each.select("__gram").join(own.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
-    rarest = own.join(counts, "__gram", "left").groupBy("__term").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__gram").alias("g"))).alias("__a")).filter("__a.n > 0")
-    met = each.join(rarest.select("__term", F.col("__a.g").alias("__gram")), "__gram").filter(F.contains("__text", F.col("__term")))
-    return met.select(text_key, F.col("__term").alias(term)).distinct()
+    sizes = t.agg(F.collect_set(F.length("__term")).alias("__sizes"))  # one row, a number for each length of terms
+    rows = texts.select(text_key, F.col(text).alias("__text")).filter("__text <> ''")
+    each = rows.select("__text").distinct().crossJoin(F.broadcast(sizes)).select("__text", F.explode("__sizes").alias("__size")).filter(F.length("__text") >= F.col("__size"))
+    starts = F.sequence(F.lit(1), F.length("__text") - F.col("__size") + 1)
+    stretches = each.select("__text", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("__text", i, F.col("__size"))))).alias("__term"))
+    return rows.join(stretches.join(t, "__term"), "__text").select(text_key, F.col("__term").alias(term)).distinct()
 
 
 def proximity(left: DataFrame, right: DataFrame, group: str, left_at: str, right_at: str, distance: int) -> DataFrame:

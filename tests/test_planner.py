@@ -1,6 +1,7 @@
 """The question planner: every intent and reason occurs, and names are found wherever they stand."""
 
 import random
+import tempfile
 
 from lodestone.operators import joins, planner
 from lodestone.plans import registry
@@ -15,6 +16,17 @@ def test_substrings_equal_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == sorted((i, w) for i, t in texts for w in terms if t and w and w in t)
 
 
+def test_substrings_form_no_pairs_that_share_a_part_only(spark):
+    """Many names of one pattern meet many questions of it: what is generated grows with the texts, not with names times texts."""
+    terms = spark.range(3000).selectExpr("concat('proj-', lpad(id, 6, '0')) AS w")
+    texts = spark.range(3000).selectExpr("id", "concat('status of proj-', lpad(id * 7 % 4000, 6, '0')) AS t")
+    found = joins.substrings(texts, "id", "t", terms, "w")
+    path = tempfile.mkdtemp()
+    found.write.mode("overwrite").parquet(path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(i, f"proj-{i * 7 % 4000:06d}") for i in range(3000) if i * 7 % 4000 < 3000]
+    assert "contains(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()  # no pair is formed to be checked afterwards
+
+
 def test_generated_questions_are_of_every_kind(spark, data):
     rows = registry.queries()["l14_intent_planner"](spark, f"{data}/sf0.01").collect()
     intents = {r["intent"] for r in rows}
