@@ -152,8 +152,9 @@ def c14(t: Tables) -> DataFrame:
     "SELECT run_id, lag(run_id) OVER (PARTITION BY suite_id ORDER BY started_at, run_id) AS previous_run_id FROM v_runs",
 )
 def c15(t: Tables) -> DataFrame:
-    runs = t.v_runs.select("run_id", "suite_id", "started_at")
-    return joins.as_of(runs, runs, "suite_id", "started_at", "started_at", "run_id", "previous_run_id", strict=True).select("run_id", "previous_run_id")
+    at = F.struct(F.col("started_at").isNull(), "started_at", "run_id").alias("at")  # of runs that start together the smaller one is earlier; those without a start come last
+    runs = t.v_runs.select("run_id", "suite_id", at)
+    return joins.as_of(runs, runs, "suite_id", "at", "at", "run_id", "previous_run_id", strict=True).select("run_id", "previous_run_id")
 
 
 @query(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import evaluation, folds, graph, joins, maintenance, ranking, vectors
+from lodestone.plans import registry
 from lodestone.scratch import materialize, shared_dir
 
 
@@ -38,6 +39,20 @@ def test_as_of_strict_and_not(spark):
     assert rows(joins.as_of(left, right, "k", "t", "u", "v", "r", strict=True), "t") == [("k", 3, None), ("k", 5, 1)]
 
 
+def test_previous_run_of_runs_that_start_together(spark, tmp_path):
+    """Runs of one suite with the same start follow each other by id, as in the SQL."""
+    spark.sql("SELECT id AS event_id, if(id = 5, NULL, timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, id div 3)) AS ts, 0L AS user_id, 'click' AS event_type, 1D AS value, '{}' AS props FROM range(8)").write.parquet(f"{tmp_path}/events.parquet")
+    got = rows(registry.queries()["c15_as_of_previous_run"](spark, str(tmp_path)), "run_id")
+    assert got == [(0, None), (1, 0), (2, 1), (3, 2), (4, 3), (5, 7), (6, 4), (7, 6)]
+
+
+def test_merged_hits_take_the_smaller_of_equally_scored(spark):
+    hits = spark.createDataFrame([("k", 2.0, "b", 9), ("k", 2.0, "a", 4), ("k", 2.0, "a", 7), ("k", 3.0, "a", None), ("k", 1.0, "c", 1), ("z", None, "c", 1)], "k string, s double, c string, id int")
+    for n in (1, 4):
+        for way in ("id", "-id"):
+            assert rows(ranking.merge_hits(hits.orderBy(F.expr(way)).repartition(n), ["k"], "s", "c", ["id"]), "k") == [("k", 3.0, "a,b,c", 4), ("z", None, "c", None)]
+
+
 def test_a_key_over_many_ranges_is_filled_across_them(spark):
     n = 4000
     left = spark.range(n).selectExpr("CASE WHEN id % 5 = 0 THEN 'z' ELSE 'k' END AS k", "id AS p")
