@@ -26,6 +26,21 @@ def normalise(c: Column | str) -> Column:
     return F.lower(collapse(c))
 
 
+#: Letters by their upper-case letter, each one letter: the title form where the upper form has several, none for ligatures.
+_UPPER = {c: u for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))) if (u := c.upper() if len(c.upper()) == 1 else c.title()) != c and len(u) == 1} | {"ß": "ẞ"}
+
+
+def simple_upper(c: Column | str) -> Column:
+    """Upper case letter by letter, as in SQL engines: the number of characters stays (Spark's own makes SS of ß)."""
+    ascii_ = "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(col(c), ascii_ + "".join(_UPPER), ascii_.upper() + "".join(_UPPER.values()))
+
+
+def simple_lower(c: Column | str) -> Column:
+    """Lower case letter by letter: no dot of its own for the dotted I, one sigma wherever it stands."""
+    return F.lower(F.translate(col(c), "İΣ", "iσ"))
+
+
 def tokens(c: Column | str) -> Column:
     """Lower-case tokens and CJK runs, in order."""
     return F.regexp_extract_all(F.lower(col(c)), F.lit(f"{TOKEN}|[{CJK}]+"), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
+
 # Patterns of the signals.
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WORD = r"[A-Za-z0-9\x{4e00}-\x{9fff}]"
@@ -33,6 +35,11 @@ def _within(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def _six(c: Column) -> Column:
+    """Six digits of a score of 0 to 1 by its binary value, as SQL engines round; Spark's own rounds the shortest decimal that prints it."""
+    return F.floor(c * 1e6 + 0.5) / 1e6
+
+
 def _continues(prev: Column, now: Column) -> Column:
     """Whether a clause number (an array) follows another: the same, a later sibling, its first child level, or back up to no earlier a part."""
     a, b = F.size(prev), F.size(now)
@@ -53,7 +60,7 @@ def scored(views: DataFrame) -> DataFrame:
     rows = rows.withColumns({"v_lines": lines, "v_rest": rest, "v_tokens": tokens, "v_clauses": F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(1))})
     pipes = F.filter("v_lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2)
     aligned = F.filter("v_lines", lambda x: (_count(x, r"\s{2,}") >= 2) & (_count(x, WORD) >= 6))
-    plain = F.transform("v_lines", lambda x: F.lower(F.regexp_replace(x, r"\s+", " ")))
+    plain = F.transform("v_lines", lambda x: T.simple_lower(F.regexp_replace(x, r"\s+", " ")))
     numbers = F.transform("v_clauses", lambda x: F.transform(F.split(x, r"\."), lambda p: p.try_cast("decimal(38,0)")))
     rows = rows.withColumns({
         "total_chars": F.length(text), "v_solid": F.length(F.regexp_replace(text, SPACE, "")), "v_symbols": F.length("v_rest"), "v_unread": _count(F.col("v_rest"), UNREADABLE),
@@ -93,7 +100,7 @@ def scored(views: DataFrame) -> DataFrame:
         "low_readability": (c("readability_score") < 0.35) & (c("total_chars") > 200), "header_footer_noise": c("header_footer_noise_ratio") > 0.35, "duplicate_lines": c("duplicate_line_ratio") > 0.35,
         "weak_table_structure": (c("table_density") > 0.18) & (c("row_column_signal_count") < 2),
     }
-    rows = rows.withColumns({"score": F.round(score, 6), "structure_quality_score": F.round("structure_quality_score", 6), "flags": F.array_join(F.array_compact(F.array(*(F.when(f, F.lit(k)) for k, f in flags.items()))), ",")})
+    rows = rows.withColumns({"score": _six(score), "structure_quality_score": _six(F.col("structure_quality_score")), "flags": F.array_join(F.array_compact(F.array(*(F.when(f, F.lit(k)) for k, f in flags.items()))), ",")})
     return rows.drop(*(x for x in rows.columns if x.startswith("v_")))
 
 

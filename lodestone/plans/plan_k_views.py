@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.operators import parseviews as V
 from lodestone.plans.registry import query
 from lodestone.plans.views import Tables
@@ -11,7 +12,7 @@ from lodestone.plans.views import Tables
 _VIEWS = [
     ("native_text", "plain", "text"),
     ("html", "layout_html", "replace(replace(text, '. ', concat(chr(10), '1.', CAST(doc_id % 7 AS {s}), ' ')), ', ', ' | ')"),
-    ("ocr_html", "ocr", "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN concat(upper(text), chr(10), '3.1 x', chr(10), '3.1.2 y', chr(10), '4 z') WHEN 2 THEN concat('Page 3', chr(10), text, ' (continued)', chr(10), 'Page 3') ELSE concat('<table><tr><td>a</td></tr></table>', chr(10), replace(text, ' ', '   ')) END"),
+    ("ocr_html", "ocr", "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN concat({upper}, chr(10), '3.1 x', chr(10), '3.1.2 y', chr(10), '4 z') WHEN 2 THEN concat('Page 3', chr(10), text, ' (continued)', chr(10), 'Page 3') ELSE concat('<table><tr><td>a</td></tr></table>', chr(10), replace(text, ' ', '   ')) END"),
 ]
 _W = r"[A-Za-z0-9\x{4e00}-\x{9fff}]"
 _N = lambda c, p: f"len(regexp_extract_all({c}, '{p}'))"
@@ -22,7 +23,7 @@ _FLAGS = {
     "no_text": "total_chars = 0", "low_text_density": "total_chars < 80", "symbol_noise": "symbols > 0.38", "unreadable_text": "unread > 0.08", "low_readability": "readable < 0.35 AND total_chars > 200",
     "header_footer_noise": "noise > 0.35", "duplicate_lines": "dup > 0.35", "weak_table_structure": "density > 0.18 AND rowcol < 2",
 }
-_ORACLE = f"""WITH v AS ({' UNION ALL '.join(f"SELECT doc_id, {i} AS ordinal, '{k}' AS view_type, '{p}' AS parser, {t.format(s='VARCHAR')} AS text, 1 + doc_id % 11 AS block_count FROM documents" for i, (k, p, t) in enumerate(_VIEWS))}),
+_ORACLE = f"""WITH v AS ({' UNION ALL '.join(f"SELECT doc_id, {i} AS ordinal, '{k}' AS view_type, '{p}' AS parser, {t.format(s='VARCHAR', upper='upper(text)')} AS text, 1 + doc_id % 11 AS block_count FROM documents" for i, (k, p, t) in enumerate(_VIEWS))}),
 a AS (SELECT *, {_TRIM("coalesce(text, '')")} AS t FROM v),
 b AS (SELECT *, list_filter(list_transform(string_split_regex(t, '{V.LINE_ENDS}'), lambda x: {_TRIM('x')}), lambda x: x <> '') AS lines, regexp_replace(t, '{V.SPACE}', '', 'g') AS solid, regexp_extract_all(t, '{_W}+') AS tokens, regexp_extract_all(t, '{V.CLAUSE}', 1) AS clauses FROM a),
 c AS (SELECT *, regexp_replace(solid, '{_W}', '', 'g') AS rest, list_filter(lines, lambda x: len(x) - len(replace(x, '|', '')) >= 2) AS pipes, list_filter(lines, lambda x: {_N('x', chr(92) + 's{2,}')} >= 2 AND {_N('x', _W)} >= 6) AS aligned,
@@ -44,7 +45,8 @@ SELECT doc_id, count(*) AS views, max(view_type) FILTER (n = 1) AS view_type, ma
 
 @query("k06_parse_view_selection", _ORACLE)
 def k06_views(t: Tables) -> DataFrame:
-    views = t.documents.select("doc_id", F.lit(1).alias("page_no"), F.expr("1 + doc_id % 11").alias("block_count"), F.inline(F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(k).alias("view_type"), F.lit(p).alias("parser"), F.expr(x.format(s="STRING")).alias("text")) for i, (k, p, x) in enumerate(_VIEWS)))))
+    documents = t.documents.withColumn("upper_text", T.simple_upper("text"))
+    views = documents.select("doc_id", F.lit(1).alias("page_no"), F.expr("1 + doc_id % 11").alias("block_count"), F.inline(F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(k).alias("view_type"), F.lit(p).alias("parser"), F.expr(x.format(s="STRING", upper="upper_text")).alias("text")) for i, (k, p, x) in enumerate(_VIEWS)))))
     chosen = V.selected(V.scored(views))
     chain = F.regexp_replace("chain", r":score=[0-9.]+", "")  # its scores are those of `scored`, to three digits
     return chosen.select("doc_id", (F.size(F.split("chain", " > "))).cast("long").alias("views"), "view_type", "score", "flags", chain.alias("chain"))

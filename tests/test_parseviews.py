@@ -1,8 +1,12 @@
 """Scores and choice of parse views on texts that show single signals."""
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.operators import parseviews
+from lodestone.plans import registry
 
 
 def views(spark, *rows):
@@ -28,3 +32,31 @@ def test_choice_prefers_score_then_text_then_order(spark):
     out = parseviews.selected(parseviews.scored(views(spark, ("native_text", "!!! ### $$$"), ("html", good), ("ocr_html", None), ("native_text", "?")))).first()
     assert out["view_type"] == "html" and out["reason"].startswith("highest_score:") and out["reason"].endswith("view_type=html; parser=p")
     assert out["chain"].count(" > ") == 3 and "ocr_html:unavailable" in out["chain"]
+
+
+def test_case_is_changed_letter_by_letter_as_in_the_sql(spark):
+    letters = [(i, chr(i)) for i in (*range(1, 0x2000), *range(0xFB00, 0xFFFE))] + [(0x20000, "ΟΔΟΣ")]  # without pairs that are younger than the JVM's Unicode
+    df = spark.createDataFrame(letters, "i int, c string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("i", T.simple_upper("c"), T.simple_lower("c")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE x AS SELECT unnest(?) AS i, unnest(?) AS c", [[i for i, _ in letters], [c for _, c in letters]])
+    assert got == {i: (u, w) for i, u, w in con.execute("SELECT i, upper(c), lower(c) FROM x").fetchall()}
+
+
+def test_scores_are_rounded_by_their_binary_value(spark):
+    values = [0.2580625, 0.2584625, 0.2565125, 0.0000005, 0.1234565, 1.0, 0.0]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    con = duckdb.connect()
+    assert [r[0] for r in df.select(parseviews._six(F.col("x"))).collect()] == [con.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in values]
+
+
+def test_views_of_texts_whose_upper_form_is_longer_equal_the_sql(spark, tmp_path):
+    text = "Straße und Fuß, groß. Öl *** in ß### heiß "
+    docs = spark.createDataFrame([(i, text * (1 + i)) for i in range(12)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    name = "k06_parse_view_selection"
+    want = con.execute(f"SELECT doc_id, view_type, score, flags, chain FROM ({registry.oracle_sql()[name]})").fetchall()
+    got = registry.queries()[name](spark, str(tmp_path)).select("doc_id", "view_type", "score", "flags", "chain").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
