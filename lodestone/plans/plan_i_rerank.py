@@ -64,7 +64,8 @@ _ROWS = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in CANDIDATE.items()) + " F
 def candidates(t: Tables) -> DataFrame:
     """Each candidate with its question's columns; ten questions are a small side."""
     asked = t.spark.createDataFrame(QUESTIONS, _Q)
-    return t.part.selectExpr(*(f"{e} AS {n}" for n, e in CANDIDATE.items())).join(F.broadcast(asked), "query_id")  # ten rows
+    parts = t.part.repartition("p_partkey")  # a small file is few tasks, but what is scored of a row is much
+    return parts.selectExpr(*(f"{e} AS {n}" for n, e in CANDIDATE.items())).join(F.broadcast(asked), "query_id")  # ten rows
 
 
 # ---- plain forms of what a question says, and SQL about candidates --------------------------------
