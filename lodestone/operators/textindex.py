@@ -1,6 +1,8 @@
 """A stored inverted index that is brought up to date instead of built anew.
 
-Postings lie in segments, in folders by term bucket. A segment holds the texts that were new or changed when it was
+Postings lie in segments, a row a text and a column for each term bucket, so that a search reads the columns of its
+terms, and a text's postings are written by the task that splits it: nothing is shuffled or sorted, and a task's
+memory does not grow with the source. A segment holds the texts that were new or changed when it was
 written, by a digest of each text, and the keys whose earlier postings it ends. A refresh compares digests by
 anti-joins, splits only those texts, and publishes one segment more; `compact` merges all segments into
 one without dead postings. Segments and their statistics are named by one commit of a manifest, so a
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -19,9 +22,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators.manifest import Manifest
-from lodestone.scratch import materialize, scratch_root
+from lodestone.scratch import free, materialize, scratch_root
 
-_COLUMNS = {"keys": ", digest string, dl long", "gone": "", "postings": ", dl long, norm double, term string, tf long, bucket int"}
+_GROUP = 6  # terms are dealt into groups of so many buckets, then into buckets
+_TERMS = "array<struct<term: string, tf: bigint>>"
+_COLUMNS = {"keys": ", digest string, dl long", "gone": "", "postings": ", dl long, norm double"}
 
 
 def source_stamp(df: DataFrame) -> str | None:
@@ -42,15 +47,19 @@ def _run_lengths(words: str) -> tuple[Column, Column]:
     return F.when(F.size(w) > 0, starts).otherwise(F.array().cast("array<int>")).alias("starts"), counts.alias("counts")
 
 
+def _between(first: int, end: int) -> Callable[[Column], Column]:
+    return lambda x: (x["bucket"] >= first) & (x["bucket"] < end)
+
+
 class TextIndex:
     """The index of one source of texts under a folder that all executors share.
 
     Keys are meant to be unique: of rows that share one, that with the least digest is indexed; rows without a key are
-    not. A null text has no terms. `buckets` parts the terms and `spread` each bucket; both hold from the first refresh on."""
+    not. A null text has no terms. `buckets` parts the terms and holds from the first refresh on."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "doc_id", text: str = "text", buckets: int = 32, spread: int = 1):
+    def __init__(self, spark: SparkSession, root: str, key: str = "doc_id", text: str = "text", buckets: int = 32):
         self.spark, self.root, self.key, self.text = spark, root.rstrip("/"), key, text
-        self.buckets, self.spread = buckets, spread
+        self.buckets = buckets
         self.manifest = Manifest(spark, self.root)
         self.version, self.state = self.manifest.latest()
         self.kind = self.state.get("kind")  # of the keys
@@ -104,28 +113,35 @@ class TextIndex:
         return counts if self._publish(segments, stamp) else None
 
     def _write_segment(self, rows: DataFrame, path: str) -> int:
-        """Keys with digest and length; postings by bucket. Texts are split and counted row by row, once, and only
-        postings move. Of rows that share a key that with the least digest stays. Returns the number of keys."""
+        """Keys with digest and length; postings by bucket. Texts are split, counted and dealt into buckets row by row, once. Of
+        rows that share a key that with the least digest stays. Returns the number of keys."""
         words = rows.select("key", "digest", F.sort_array(T.latin_tokens("text")).alias("w"))
         starts, counts = _run_lengths("w")
         words = words.select("key", "digest", "w", starts).select("key", "digest", F.size("w").cast("long").alias("dl"), counts)
         norm = F.sqrt(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x["tf"] * x["tf"])).alias("norm")
-        words.select("key", "digest", "dl", norm, "counts").write.parquet(f"{path}/counted")
-        counted = self.spark.read.parquet(f"{path}/counted")
-        counted.groupBy("key").agg(F.min(F.struct("digest", "dl")).alias("m")).select("key", "m.*").write.parquet(f"{path}/keys")
+        placed = F.transform("counts", lambda x: F.struct(self._bucket(x["term"]).alias("bucket"), x.alias("of"))).alias("placed")
+        groups = [F.filter("placed", _between(a, a + _GROUP)).alias(f"g{a}") for a in range(0, self.buckets, _GROUP)]
+        columns = [F.transform(F.filter(f"g{b - b % _GROUP}", _between(b, b + 1)), lambda x: x["of"]).alias(f"b{b}") for b in range(self.buckets)]
+        words.select("key", "digest", "dl", norm, placed).select("key", "digest", "dl", "norm", *groups).select("key", "digest", "dl", "norm", *columns).write.parquet(f"{path}/postings")
+        postings = self.spark.read.parquet(f"{path}/postings")
+        postings.groupBy("key").agg(F.min(F.struct("digest", "dl")).alias("m")).select("key", "m.*").write.parquet(f"{path}/keys")
         n = self.spark.read.parquet(f"{path}/keys").count()
-        if counted.count() > n:
-            counted = counted.groupBy("key").agg(F.min_by(F.struct("dl", "norm", "counts"), "digest").alias("m")).select("key", "m.*")
-        self._write_postings(counted.select("key", "dl", "norm", F.inline("counts")).withColumn("bucket", self._bucket()), path)
-        self.manifest.discard(f"{path}/counted")
+        if postings.count() > n:
+            self._write_once(postings, path)
         return n
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+    def _write_once(self, postings: DataFrame, path: str) -> None:
+        """The postings again, one row for each key, in place of those that were written; only keys that are repeated are grouped."""
+        again = materialize(postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "repeated")
+        rest = [c for c in postings.columns if c not in ("key", "digest")]
+        merged = postings.join(again, "key", "left_semi").groupBy("key").agg(F.min_by(F.struct(*rest), "digest").alias("m")).select("key", "m.*")
+        postings.join(again, "key", "left_anti").select("key", *rest).unionByName(merged).write.parquet(f"{path}/once")
+        self.manifest.discard(f"{path}/postings")
+        self.manifest.fs.rename(self.manifest._path(f"{path}/once"), self.manifest._path(f"{path}/postings"))
+        free(again)
 
-    def _write_postings(self, postings: DataFrame, path: str) -> None:
-        dealt = postings.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(self.spread)).cast("int")).repartition("bucket", "part")
-        dealt.sortWithinPartitions("bucket", "term", "key").drop("part").write.partitionBy("bucket").parquet(f"{path}/postings")
+    def _bucket(self, term: Column | str = "term") -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def _publish(self, segments: list[dict], stamp: str | None) -> bool:
         live = self._live_keys(segments).agg(F.count("*"), F.count_if(F.col("dl") > 0), F.sum("dl")).first()
@@ -139,7 +155,7 @@ class TextIndex:
     def compact(self) -> bool:
         """Merge all segments into one that holds living postings only; False if another writer was first."""
         path = f"{self.root}/segments/{uuid.uuid4().hex}"
-        self._write_postings(self._alive(self._read("postings"), self.state["segments"]).drop("seg"), path)
+        self._alive(self._read("postings"), self.state["segments"]).drop("seg").write.parquet(f"{path}/postings")
         self._live_keys().write.parquet(f"{path}/keys")
         return self._publish([{"path": path, "gone": False}], self.state["stamp"])
 
@@ -153,13 +169,13 @@ class TextIndex:
 
     # ---- reading -------------------------------------------------------------------------------
 
-    def _read(self, what: str, segments: list[dict] | None = None, only: Column | None = None) -> DataFrame:
-        """`keys`, `postings` or `gone` of all segments, with the segment's number."""
+    def _read(self, what: str, segments: list[dict] | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """`keys`, `postings` (of all buckets, or some) or `gone` of all segments, with the segment's number."""
+        columns = "".join(f", b{b} {_TERMS}" for b in (range(self.buckets) if buckets is None else buckets)) if what == "postings" else ""
         parts = []
         for i, s in enumerate(segments or self.state["segments"]):
             if what != "gone" or s["gone"]:
-                df = self.spark.read.schema(f"key {self.kind}{_COLUMNS[what]}").parquet(f"{s['path']}/{what}").withColumn("seg", F.lit(i))
-                parts.append(df if only is None else df.filter(only))
+                parts.append(self.spark.read.schema(f"key {self.kind}{_COLUMNS[what]}{columns}").parquet(f"{s['path']}/{what}").withColumn("seg", F.lit(i)))
         return reduce(DataFrame.unionByName, parts)
 
     def _alive(self, rows: DataFrame, segments: list[dict]) -> DataFrame:
@@ -179,9 +195,10 @@ class TextIndex:
         return self.state["texts"], self.state["terms"] / self.state["texts"] if self.state["texts"] else 0.0
 
     def hits(self, asked: DataFrame) -> DataFrame:
-        """(key, dl, norm, term, tf) of every text that has one of the terms of `asked`: the buckets of those terms are read,
-        in which the terms lie side by side. The terms are written first, so that Spark knows their size when it chooses the join."""
+        """(key, dl, norm, term, tf) of every text that has one of the terms of `asked`: the buckets of those terms are read. The
+        terms are written first, so that Spark knows their size when it chooses the join."""
         terms = materialize(asked.select("term").distinct().withColumn("bucket", self._bucket()), "asked-terms")
-        here = [r[0] for r in terms.select("bucket").distinct().collect()]
-        found = self._read("postings", only=F.col("bucket").isin(here) if here else F.lit(False)).drop("bucket").join(terms.select("term"), "term", "left_semi")
-        return self._alive(found, self.state["segments"]).select(F.col("key").alias(self.key), "dl", "norm", "term", "tf")
+        here = sorted(r[0] for r in terms.filter("bucket IS NOT NULL").select("bucket").distinct().collect())
+        found = self._alive(self._read("postings", buckets=here), self.state["segments"])
+        listed = F.concat(*(F.col(f"b{b}") for b in here)) if here else F.array().cast(_TERMS)
+        return found.select(F.col("key").alias(self.key), "dl", "norm", F.inline(listed)).join(terms.select("term"), "term", "left_semi").select(self.key, "dl", "norm", "term", "tf")

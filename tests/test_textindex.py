@@ -92,3 +92,13 @@ def test_bm25_over_hits(spark, index):
     index.refresh(frame(spark, [(1, "b a", ""), (2, "c", ""), (4, "b b b", "")]))
     asked = spark.createDataFrame([(1, "b"), (1, "none")], "query_id int, term string")
     assert {(r.query_id, r.doc_id) for r in retrieval.bm25(index.hits(asked), index.size, asked).collect()} == {(1, 1), (1, 4)}
+
+
+def test_a_text_is_one_row_and_buckets_are_columns(spark, index):
+    texts = {k: " ".join(f"t{k + i}" for i in range(50)) for k in range(20)} | {99: "b"}
+    index.refresh(frame(spark, [(k, t, "") for k, t in texts.items()] + [(99, "b", "")]))
+    postings = spark.read.parquet(index.state["segments"][-1]["path"] + "/postings")
+    assert postings.count() == 21 and {f"b{b}" for b in range(4)} <= set(postings.columns)
+    assert hits(spark, index) == brute({99: "b"})
+    read = index.hits(spark.createDataFrame([("b",)], "term string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(f"b{b}#" in read for b in range(4)) == 1
