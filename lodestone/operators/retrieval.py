@@ -12,8 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.ranking import keep_best, top_per_group
+from lodestone.scratch import materialize
 
 K1, B = 1.2, 0.75
+_TEXTS_A_TASK = 16384
+
+
+def dealt(hits: DataFrame, texts: int, key: str) -> DataFrame:
+    """Hits dealt by text into tasks of so many texts of an index of `texts` that what a task sums or sorts stays small; Spark would
+    go by the bytes of a shuffle, and keys and scores take few."""
+    return hits.repartition(max(1, -(-texts // _TEXTS_A_TASK)), key)
 
 
 def bm25(hits: DataFrame, size: tuple[int, float], queries: DataFrame, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
@@ -25,14 +33,17 @@ def bm25(hits: DataFrame, size: tuple[int, float], queries: DataFrame, key: str
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
-    return hits.join(queries.join(df, "term"), "term").withColumn("part", part).groupBy("query_id", key).agg(F.sum("part").alias("score"))
+    weighed = materialize(queries.join(df, "term"), "weighed")  # so that Spark knows its size, and hits need not be shuffled by term
+    parts = hits.join(weighed, "term").select("query_id", key, part.alias("part"))
+    return dealt(parts, n, key).groupBy("query_id", key).agg(F.sum("part").alias("score"))
 
 
-def tf_cosine(hits: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(query_id, key, score): cosine of term counts; `queries` has (query_id, term, tf)."""
+def tf_cosine(hits: DataFrame, texts: int, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(query_id, key, score): cosine of term counts over `hits` of an index of so many texts; `queries` has (query_id, term, tf)."""
     q_norms = queries.groupBy("query_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("qn"))
     q = queries.join(q_norms, "query_id").select("query_id", "term", (F.col("tf") / F.col("qn")).alias("w"))
-    return hits.join(q, "term").groupBy("query_id", key).agg((F.sum(F.col("tf") * F.col("w")) / F.first("norm")).alias("score"))
+    parts = hits.join(q, "term").select("query_id", key, (F.col("tf") * F.col("w")).alias("part"), "norm")
+    return dealt(parts, texts, key).groupBy("query_id", key).agg((F.sum("part") / F.first("norm")).alias("score"))
 
 
 def best_k(scored: DataFrame, k: int, item: str = "doc_id") -> DataFrame:

@@ -68,7 +68,8 @@ def i02(t: Tables) -> DataFrame:
 @query("i04_tf_cosine", f"WITH {_Q}{_COS} {_TOP.format('cs', 20)}")
 def i04(t: Tables) -> DataFrame:
     q = asked(t)
-    return R.best_k(R.tf_cosine(searchable(t).hits(q), q), 20)
+    index = searchable(t)
+    return R.best_k(R.tf_cosine(index.hits(q), index.size[0], q), 20)
 
 
 _NORM = "sqrt(list_dot_product(CAST({0}.embedding AS DOUBLE[]), CAST({0}.embedding AS DOUBLE[])))"
@@ -97,7 +98,7 @@ def hybrid_hits(t: Tables, k: int) -> DataFrame:
     q = asked(t)
     index = searchable(t)
     hits = index.hits(q)
-    return R.hybrid({"bm25": (R.bm25(hits, index.size, q.select("query_id", "term")), 1.0), "cosine": (R.tf_cosine(hits, q), 0.6)}, k)
+    return R.hybrid({"bm25": (R.bm25(hits, index.size, q.select("query_id", "term")), 1.0), "cosine": (R.tf_cosine(hits, index.size[0], q), 0.6)}, k)
 
 
 @query("i07_hybrid_merge", _HYBRID)
