@@ -55,6 +55,17 @@ def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(latin_tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def cjk_characters(c: Column | str) -> Column:
+    """The CJK characters of a string, each an item."""
+    return F.regexp_extract_all(col(c), F.lit(f"[{CJK}]"), F.lit(0))
+
+
+def array_grams(characters: str, n: int) -> Column:
+    """All n-grams of an array column of characters; none if it is shorter."""
+    many = F.transform(F.sequence(F.lit(1), F.size(characters) - (n - 1)), lambda i: F.array_join(F.slice(characters, i, n), ""))
+    return F.when(F.size(characters) >= n, many).otherwise(F.array().cast("array<string>"))
+
+
 def grams(c: Column | str, n: int) -> Column:
     """All character n-grams of a string; none if it is shorter."""
     s = col(c)
