@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.ranking import top_per_group
+from lodestone.scratch import materialize
+
+_ROWS_A_TASK = 200_000
 
 # How a question asks for all values of an entity.
 LISTED = "有哪些|哪些|所有|全部|什么.*源"
@@ -92,11 +95,16 @@ def expansion(question: Column) -> Column:
 
 def longest_prefixes(words: DataFrame, key: str, word: str, names: DataFrame, name: str, least: int = 2) -> DataFrame:
     """(key, prefix, hits): for each word the longest of its prefixes, of `least` characters or more, with which any name begins,
-    and how many names do. Prefixes of words and names meet by an equi-join."""
+    and how many names do. Prefixes of distinct words and names meet by an equi-join; keys meet their words afterwards, dealt
+    into tasks of about as many rows, so that what a task holds does not grow with the table."""
     cut = lambda c: F.transform(F.sequence(F.lit(least), F.greatest(F.length(c), F.lit(least))), lambda n: F.substring(c, F.lit(1), n))
-    mine = words.filter(F.length(word) >= least).select(key, F.explode(cut(F.col(word))).alias("prefix")).distinct()
-    there = names.filter(F.length(name) >= least).select(name).distinct().select(F.explode(cut(F.col(name))).alias("prefix"), name).distinct().groupBy("prefix").agg(F.count("*").alias("hits"))
-    return mine.join(there, "prefix").groupBy(key).agg(F.max_by("prefix", F.length("prefix")).alias("prefix"), F.max_by("hits", F.length("prefix")).alias("hits"))
+    own = words.filter(F.length(word) >= least).select(key, F.col(word).alias("__word"))
+    there = names.filter(F.length(name) >= least).select(name).distinct().select(F.explode(cut(F.col(name))).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("hits"))
+    met = own.select("__word").distinct().select("__word", F.explode(cut(F.col("__word"))).alias("prefix")).join(there, "prefix")
+    longest = F.max(F.struct(F.length("prefix").alias("length"), "prefix", "hits")).alias("__best")
+    best = materialize(met.groupBy("__word").agg(longest), "prefixes")
+    dealt = own.repartition(max(1, -(-own.count() // _ROWS_A_TASK)), key)
+    return dealt.join(best, "__word").groupBy(key).agg(F.max("__best").alias("__best")).select(key, "__best.prefix", "__best.hits")
 
 
 def entity_pages(entities: DataFrame, facts: DataFrame, key: str, kinds: dict[str, str], most: int = 20) -> DataFrame:
