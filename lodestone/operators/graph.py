@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 from lodestone.operators.joins import substrings
 from lodestone.scratch import materialize
 
+_ROWS_A_TASK = 500_000
+
 
 def build_edges(rows: DataFrame, keys: list[str], confidence: str, evidence: str) -> DataFrame:
-    """One edge a key: the highest confidence and how many distinct pieces of evidence support it."""
-    return rows.groupBy(*keys).agg(F.max(confidence).alias("confidence"), F.countDistinct(evidence).alias("n_evidence"))
+    """One edge a key: the highest confidence and how many distinct pieces of evidence support it.
+
+    Rows are dealt by key and one of 16 parts of the evidence into tasks of about as many rows, so that what a task holds does not grow
+    with the table, and a key of many rows is spread; what the parts of a key count is added up."""
+    n = max(1, -(-rows.count() // _ROWS_A_TASK))
+    own = rows.select(*keys, F.col(confidence).alias("confidence"), F.col(evidence).alias("__evidence"), F.pmod(F.xxhash64(evidence), F.lit(16)).cast("int").alias("__part"))
+    once = own.repartition(n, *keys, "__part").groupBy(*keys, "__part", "__evidence").agg(F.max("confidence").alias("confidence"))
+    parts = once.groupBy(*keys, "__part").agg(F.max("confidence").alias("confidence"), F.count("__evidence").alias("n"))
+    return parts.repartition(n, *keys).groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.sum("n").alias("n_evidence"))
 
 
 def simple_paths(edges: DataFrame, start: DataFrame, max_hops: int) -> DataFrame:
