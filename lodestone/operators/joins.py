@@ -132,9 +132,34 @@ def compared(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, "old_value", "new_value", change.alias("change"))
 
 
-def overlapping(left: DataFrame, right: DataFrame, left_key: str, right_key: str, item: str) -> DataFrame:
-    """(left_key, right_key, shared) of rows whose exploded items meet, and how many they share."""
-    return left.select(left_key, item).distinct().join(right.select(right_key, item).distinct(), item).groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
+def overlapping(rows: DataFrame, key: str, item: str, a: str = "a", b: str = "b", most: int = 64) -> DataFrame:
+    """(a, b, shared) of two keys, a the smaller, that have an item in common, and how many they share.
+
+    Each key's items travel with it, and of the meetings of a pair that by its least shared item counts, so that pairs leave the join
+    as they are: they outnumber the rows by far, and none is shuffled. Items are hashed to 64 bits: where one bit is common and
+    not that of two items on both sides, one item is shared, and the items need not be compared. Keys of over `most` items
+    would be copied too often; their meetings are summed by pair."""
+    x = rows.select(F.col(key).alias("__key"), F.col(item).alias("__item")).filter("__key IS NOT NULL AND __item IS NOT NULL").distinct()
+    sizes = materialize(x.groupBy("__key").agg(F.count("*").alias("__n")), "sizes")
+    small = sizes.filter(F.col("__n") <= most).select("__key")
+    listed = x.join(small, "__key", "left_semi").withColumn("__bit", F.pmod(F.xxhash64("__item"), F.lit(64)).cast("int")).groupBy("__key")
+    listed = listed.agg(F.sort_array(F.collect_list("__item")).alias("__items"), F.sort_array(F.collect_list("__bit")).alias("__bits"))
+    mask = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    twice = F.filter("__bits", lambda x, i: (i > 0) & (F.get("__bits", i - 1) == x))
+    listed = materialize(listed.select("__key", "__items", mask("__bits").alias("__mask"), mask(twice).alias("__twice"), F.explode("__items").alias("__item")), "listed")
+    left, right = (listed.withColumnsRenamed({"__key": n, "__items": f"__{n}", "__mask": f"__{n}m", "__twice": f"__{n}t"}) for n in (a, b))
+    common = F.col(f"__{a}m").bitwiseAND(F.col(f"__{b}m"))
+    single = (F.bit_count(common) == 1) & (common.bitwiseAND(F.col(f"__{a}t")).bitwiseAND(F.col(f"__{b}t")) == 0)
+    both = F.array_intersect(f"__{a}", f"__{b}")
+    pairs = left.join(right, "__item").filter((F.col(a) < F.col(b)) & F.when(single, True).otherwise(both[0] == F.col("__item")))
+    pairs = pairs.select(a, b, F.when(single, 1).otherwise(F.size(both)).cast("long").alias("shared"))
+    large = sizes.filter(F.col("__n") > most).select("__key").withColumn("__large", F.lit(True))
+    if large.isEmpty():
+        return pairs
+    marked = x.join(large, "__key", "left").withColumn("__large", F.col("__large").isNotNull())
+    left, right = (marked.withColumnsRenamed({"__key": n, "__large": f"__{n}"}) for n in (a, b))
+    met = left.join(right, "__item").filter((F.col(a) < F.col(b)) & (F.col(f"__{a}") | F.col(f"__{b}")))
+    return pairs.unionByName(met.groupBy(a, b).agg(F.count("*").alias("shared")))
 
 
 def either(*conditions: Column) -> Column:

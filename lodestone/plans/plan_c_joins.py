@@ -170,8 +170,7 @@ def c15b(t: Tables) -> DataFrame:
 
 @query("c16_set_overlap_join", "WITH x AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared FROM x a JOIN x b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey GROUP BY 1, 2")
 def c16(t: Tables) -> DataFrame:
-    x = t.lineitem.select("l_orderkey", "l_partkey")
-    return joins.overlapping(x.withColumnRenamed("l_orderkey", "a"), x.withColumnRenamed("l_orderkey", "b"), "a", "b", "l_partkey").filter("a < b")
+    return joins.overlapping(t.lineitem, "l_orderkey", "l_partkey")
 
 
 @query("c17_lookup_join", "SELECT n_name, r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
