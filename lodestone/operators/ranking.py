@@ -23,11 +23,12 @@ def top_per_group(df: DataFrame, keys: list[str], k: int, *order: Column | str)
 
 
 def merge_hits(hits: DataFrame, keys: list[str], score: str, channel: str, filled: list[str]) -> DataFrame:
-    """One row a key: the highest score, all channels in order and joined, and of each of `filled` the
+    """One row a key: the highest score, all channels in order and joined (null without any), and of each of `filled` the
     value of the best-scored row that has one, ties to the smaller value."""
     first = lambda c: F.struct((~F.isnan(F.col(score).cast("double"))).alias("number"), (-F.col(score)).alias("worse"), F.col(c).alias("value"))
     best = lambda c: F.min(F.when(F.col(c).isNotNull() & F.col(score).isNotNull(), first(c)))["value"].alias(c)
-    return hits.groupBy(*keys).agg(F.max(score).alias(score), F.array_join(F.array_sort(F.collect_set(channel)), ",").alias("channels"), *map(best, filled))
+    channels = F.when(F.count(channel) > 0, F.array_join(F.array_sort(F.collect_set(channel)), ",")).alias("channels")
+    return hits.groupBy(*keys).agg(F.max(score).alias(score), channels, *map(best, filled))
 
 
 def inject(hits: DataFrame, injected: DataFrame, keys: list[str], score: str) -> DataFrame:

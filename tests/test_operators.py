@@ -53,6 +53,11 @@ def test_merged_hits_take_the_smaller_of_equally_scored(spark):
             assert rows(ranking.merge_hits(hits.orderBy(F.expr(way)).repartition(n), ["k"], "s", "c", ["id"]), "k") == [("k", 3.0, "a,b,c", 4), ("z", None, "c", None)]
 
 
+def test_merged_hits_without_a_channel_have_none(spark):
+    hits = spark.createDataFrame([("k", 2.0, None, 9), ("k", 1.0, None, 4), ("z", 1.0, "", 1)], "k string, s double, c string, id int")
+    assert rows(ranking.merge_hits(hits, ["k"], "s", "c", ["id"]), "k") == [("k", 2.0, None, 9), ("z", 1.0, "", 1)]
+
+
 def test_a_key_over_many_ranges_is_filled_across_them(spark):
     n = 4000
     left = spark.range(n).selectExpr("CASE WHEN id % 5 = 0 THEN 'z' ELSE 'k' END AS k", "id AS p")
