@@ -32,13 +32,14 @@ _UPPER = {c: u for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000))
 
 def simple_upper(c: Column | str) -> Column:
     """Upper case letter by letter, as in SQL engines: the number of characters stays (Spark's own makes SS of ß)."""
-    ascii_ = "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(col(c), ascii_ + "".join(_UPPER), ascii_.upper() + "".join(_UPPER.values()))
+    ascii_, s = "abcdefghijklmnopqrstuvwxyz", col(c)
+    return F.when(F.octet_length(s) == F.length(s), F.upper(s)).otherwise(F.translate(s, ascii_ + "".join(_UPPER), ascii_.upper() + "".join(_UPPER.values())))
 
 
 def simple_lower(c: Column | str) -> Column:
     """Lower case letter by letter: no dot of its own for the dotted I, one sigma wherever it stands."""
-    return F.lower(F.translate(col(c), "İΣ", "iσ"))
+    s = col(c)
+    return F.lower(F.when(F.contains(s, F.lit("İ")) | F.contains(s, F.lit("Σ")), F.translate(s, "İΣ", "iσ")).otherwise(s))
 
 
 def tokens(c: Column | str) -> Column:

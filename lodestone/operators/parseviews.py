@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache, reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +26,73 @@ NOISE = [
 STANDARD = r"^\s*(?:iso|iec|gb/t|qc/t)\s*[\d-]+"
 CONTINUED = [r"（续）", r"(?i)\(continued\)", r"(?i)\bcontinued\b", r"续表", r"表\s*\S+\s*续", r"(?im)^\s*(?:continued|cont\.)\s*$"]
 VIEW_BONUS = {"html": 0.03, "ocr_html": 0.02}
+# The same sets for texts taken apart by characters.
+_SPACES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_SPACE, _WORD, _LETTER, _VOWEL, _CJK, _UNREAD, _BAR, _ODD = [1 << i for i in range(8)]
+_NOISE_WORDS = "doi", "copyright", "rights", "published", "received:", "accepted:"  # one of them is in a line of the second or third pattern of noise
+_COUNTED = "chars", "spaces", "words", "unread", "tokens", "single", "runs", "bars", "odd"
+_SEEN = "wide", "noise", "continued", "tag", "cased"
+_COUNTS = f"struct<{', '.join(f'{k}: int' for k in _COUNTED + _SEEN)}>"
+_CHARS = 1 << 18  # texts of so many characters are counted at a time
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """The sets that each code point belongs to, as bits."""
+    unread = {*range(0x09), *range(0x0E, 0x1C), *range(0x7F, 0x85), *range(0x86, 0xA0), 0xFFFD, *range(0x1D7CE, 0x1D800)}
+    out = np.fromiter((_UNREAD * (i in unread or (k := unicodedata.category(chr(i)))[0] in "LMS" or k == "Co") for i in range(0x110000)), np.uint8, 0x110000)
+    letters = [*range(0x41, 0x5B), *range(0x61, 0x7B)]
+    for kind, chars in ((_SPACE, map(ord, _SPACES)), (_WORD | _LETTER, letters), (_VOWEL, map(ord, "aeiouAEIOU")), (_WORD, range(0x30, 0x3A)), (_WORD | _CJK, range(0x4E00, 0xA000)), (_BAR, [0x7C]), (_ODD, {*map(ord, _SPACES)} - {0x20, 0x0A})):
+        out[list(chars)] |= kind
+    out[(out & (_SPACE | _WORD)) > 0] &= ~_UNREAD & 0xFF  # of what is neither blank nor a word
+    return out
+
+
+def _counted(texts: list[str]) -> np.ndarray:
+    """A column a text of _COUNTED: characters, blanks, word characters, unreadable ones, tokens, those of one character, runs of letters or CJK
+    characters that read, bars, and blanks that are neither a space nor a line end; and of _SEEN, whether it can hold what patterns look for."""
+    kinds = _kinds()[np.frombuffer("".join(f"{t}\n" for t in texts).encode("utf-32-le"), np.uint32)]  # no run goes on past a text
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    at = lambda kind: (kinds & kind) > 0
+    per_text = lambda places: np.diff(np.searchsorted(places, ends), prepend=0)
+
+    def runs(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.flatnonzero(np.diff(at(kind).view(np.int8), prepend=0))
+        return edges[::2], edges[1::2]
+
+    start, end = runs(_WORD)
+    first, last = runs(_LETTER)
+    vowels = np.flatnonzero(at(_VOWEL))
+    read = first[(last - first >= 3) & (np.searchsorted(vowels, last) > np.searchsorted(vowels, first))]
+    cjk, over = runs(_CJK)
+    places = lambda kind: per_text(np.flatnonzero(at(kind)))
+    counts = ends - np.insert(ends, 0, 0)[:-1] - 1, places(_SPACE) - 1, places(_WORD), places(_UNREAD), per_text(start), per_text(start[end - start == 1]), per_text(read) + per_text(cjk[over - cjk >= 2]), places(_BAR), places(_ODD)
+    return np.stack([*counts, *np.array([_seen(t) for t in texts], np.int64).reshape(-1, len(_SEEN)).T])
+
+
+def _seen(t: str) -> list[bool]:
+    low = t.replace("İ", "i").lower()
+    return ["  " in t, any(w in low for w in _NOISE_WORDS), "continued" in low or "cont." in low or "续" in t, "<" in t, "İ" in t or "Σ" in t]
+
+
+def _characters(texts: pa.Array) -> pa.Array:
+    """`_counted` of UTF-8, a bounded part at a time."""
+    found, part, size = [], [], 0
+    for t in texts:
+        part.append(t.as_py().decode(errors="replace"))
+        size += len(part[-1])
+        if size > _CHARS:
+            found.append(_counted(part))
+            part, size = [], 0
+    if part or not found:
+        found.append(_counted(part))
+    return pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in np.concatenate(found, axis=1)], _COUNTED + _SEEN)
+
+
+def _trimmed(c: Column) -> Column:
+    """Without blanks at its ends; looked through only if it has one."""
+    blank = lambda at: F.contains(F.lit(_SPACES), F.substring(c, at, 1))
+    return F.when(blank(1) | blank(-1), F.btrim(c, F.lit(_SPACES))).otherwise(c)
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -51,38 +123,46 @@ def _continues(prev: Column, now: Column) -> Column:
 def scored(views: DataFrame) -> DataFrame:
     """`views` (text, block_count, view_type, ...) with `score`, its signals and `flags`. A null text counts as empty.
 
-    Counts are columns below the ratios and those below the scores, so that each is taken once a row."""
-    text = F.col("v_text")
-    rows = views.withColumn("v_text", F.regexp_replace(F.coalesce("text", F.lit("")), f"^{SPACE}+|{SPACE}+$", ""))
-    lines = F.filter(F.transform(F.split(text, LINE_ENDS), lambda x: F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")), lambda x: x != "")
-    rest = F.regexp_replace(F.regexp_replace(text, SPACE, ""), WORD, "")
-    tokens = F.regexp_extract_all(text, F.lit(WORD + "+"), F.lit(0))
-    rows = rows.withColumns({"v_lines": lines, "v_rest": rest, "v_tokens": tokens, "v_clauses": F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(1))})
+    Counts are columns below the ratios and those below the scores, so that each is taken once a row. Characters are counted by table,
+    and patterns whose sign texts seldom hold are tried on those texts or lines alone that hold it."""
+    c, text, none = F.col, F.col("v_text"), F.array().cast("array<string>")
+    rows = views.withColumn("v_text", F.coalesce("text", F.lit(""))).withColumn("v_text", _trimmed(text))
+    rows = rows.withColumn("v_chars", F.arrow_udf(_characters, _COUNTS)(text.cast("binary")))
+    n, seen = lambda k: c(f"v_chars.{k}"), lambda k: c(f"v_chars.{k}") > 0
+    parts = F.when(seen("odd"), F.split(text, LINE_ENDS)).otherwise(F.split(text, "\n"))
+    rows = rows.withColumn("v_lines", F.filter(F.transform(parts, _trimmed), lambda x: x != ""))
+    begins = lambda x, chars: F.contains(F.lit(chars), F.substring(x, 1, 1))
+    numbered = F.exists("v_lines", lambda x: begins(x, "#0123456789"))
+    listed = F.exists("v_lines", lambda x: begins(x, "-*0123456789") | F.substring(x, 2, 1).isin(".", ")"))
     pipes = F.filter("v_lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2)
-    aligned = F.filter("v_lines", lambda x: (_count(x, r"\s{2,}") >= 2) & (_count(x, WORD) >= 6))
-    plain = F.transform("v_lines", lambda x: T.simple_lower(F.regexp_replace(x, r"\s+", " ")))
-    numbers = F.transform("v_clauses", lambda x: F.transform(F.split(x, r"\."), lambda p: p.try_cast("decimal(38,0)")))
+    aligned = F.filter("v_lines", lambda x: x.rlike(r"(?s)\s\s\S.*?\s\s") & x.rlike(f"(?:{WORD}[^{WORD[1:]}*+){{6}}"))
+    wide, lines = seen("wide") | seen("odd"), c("v_lines")
+    spaced = F.when(wide, F.transform(lines, lambda x: F.regexp_replace(x, r"\s+", " "))).otherwise(lines)
+    plain = F.when(seen("cased"), F.transform(spaced, T.simple_lower)).otherwise(F.transform(spaced, F.lower))
+    clauses = F.when(numbered, F.regexp_extract_all(text, F.lit(CLAUSE), F.lit(1))).otherwise(none)
+    tagged = lambda t, pattern: F.when(seen("tag"), _count(t, pattern)).otherwise(0)
     rows = rows.withColumns({
-        "total_chars": F.length(text), "v_solid": F.length(F.regexp_replace(text, SPACE, "")), "v_symbols": F.length("v_rest"), "v_unread": _count(F.col("v_rest"), UNREADABLE),
-        "v_single": F.size(F.filter("v_tokens", lambda x: F.length(x) == 1)), "v_n_tokens": F.size("v_tokens"),
-        "language_run_count": _count(text, r"[\x{4e00}-\x{9fff}]{2,}") + F.size(F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda x: x.rlike("[aeiouAEIOU]"))),
-        "heading_count": _count(text, HEADING), "table_signal_count": _count(F.lower(text), "<table") + _count(text, r"\|"), "list_signal_count": _count(text, LIST),
-        "v_pipes": pipes, "v_aligned": aligned, "v_plain": plain, "v_numbers": numbers, "v_n_lines": F.size("v_lines"),
-        "continuation_signal_count": sum((_count(text, p) for p in CONTINUED), F.lit(0)),
-    })
+        "total_chars": n("chars"), "v_solid": n("chars") - n("spaces"), "v_symbols": n("chars") - n("spaces") - n("words"), "v_unread": n("unread"), "v_single": n("single"), "v_n_tokens": n("tokens"), "language_run_count": n("runs"),
+        "heading_count": F.when(numbered, _count(text, HEADING)).otherwise(0), "table_signal_count": tagged(F.lower(text), "<table") + n("bars"), "list_signal_count": F.when(listed, _count(text, LIST)).otherwise(0),
+        "v_pipes": F.when(n("bars") > 1, pipes).otherwise(none), "v_aligned": F.when(wide, aligned).otherwise(none), "v_plain": plain, "v_n_lines": F.size("v_lines"), "v_noisy": seen("noise"),
+        "v_numbers": F.transform(clauses, lambda x: F.transform(F.split(x, r"\."), lambda p: p.try_cast("decimal(38,0)"))),
+        "continuation_signal_count": F.when(seen("continued"), sum((_count(text, p) for p in CONTINUED), F.lit(0))).otherwise(0),
+        "v_tr": tagged(text, r"(?i)<\s*tr\b"), "v_td": tagged(text, r"(?i)<\s*t[dh]\b"), "v_table": tagged(text, r"(?i)<\s*table\b"),
+    }).drop("v_text", "v_lines", "v_chars")
     chars = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.length(x))
-    noisy = lambda x: (F.length(x) <= 3) | x.rlike(NOISE[0]) | x.rlike(NOISE[1]) | x.rlike(NOISE[2]) | (x.rlike(STANDARD) & (F.length(x) < 40)) | x.rlike(NOISE[3])
+    number = lambda x: begins(x, "0123456789p第") & (x.rlike(NOISE[0]) | x.rlike(NOISE[3]))
+    shorter = lambda x, k: (F.octet_length(x) < 4 * k) & (F.length(x) < k)
+    noisy = lambda x: shorter(x, 4) | number(x) | (c("v_noisy") & (x.rlike(NOISE[1]) | x.rlike(NOISE[2]))) | (shorter(x, 40) & x.rlike(STANDARD))
     n = F.size("v_numbers")
     pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: _continues(F.get("v_numbers", i - 1), F.get("v_numbers", i)).cast("int"))
     rows = rows.withColumns({
-        "row_column_signal_count": _count(text, r"(?i)<\s*tr\b") + F.size("v_pipes") + F.size("v_aligned"),
-        "v_table_chars": chars("v_pipes") + chars("v_aligned") + _count(text, r"(?i)<\s*t[dh]\b") * 8 + _count(text, r"(?i)<\s*table\b") * 24,
+        "row_column_signal_count": c("v_tr") + F.size("v_pipes") + F.size("v_aligned"),
+        "v_table_chars": chars("v_pipes") + chars("v_aligned") + c("v_td") * 8 + c("v_table") * 24,
         "clause_number_count": n, "clause_continuity_score": F.when(n >= 2, F.aggregate(pairs, F.lit(0), lambda a, x: a + x) / (n - 1)).when(n == 1, 1.0).otherwise(0.0),
         "header_footer_noise_ratio": _over(F.size(F.filter("v_plain", noisy)), F.col("v_n_lines")), "duplicate_line_ratio": _over(F.col("v_n_lines") - F.size(F.array_distinct("v_plain")), F.col("v_n_lines")),
         "semantic_ratio": _over(F.col("v_solid") - F.col("v_symbols"), F.col("v_solid")), "symbol_ratio": _over(F.col("v_symbols"), F.col("v_solid")), "unreadable_ratio": _over(F.col("v_unread"), F.col("v_solid")),
         "singleton_token_ratio": F.when(F.col("v_n_tokens") > 0, F.col("v_single") / F.col("v_n_tokens")).otherwise(1.0),
     })
-    c = F.col
     density = F.when(c("total_chars") > 0, F.least(F.lit(1.0), c("language_run_count") / F.greatest(c("total_chars") / 120.0, F.lit(1.0)))).otherwise(0.0)
     penalty = F.least(F.lit(0.9), c("symbol_ratio") * 0.55 + c("unreadable_ratio") * 3.0 + c("singleton_token_ratio") * 0.22)
     rows = rows.withColumns({"readability_score": _within(c("semantic_ratio") * 0.55 + density * 0.45 - penalty), "table_density": F.least(F.lit(1.0), c("v_table_chars") / F.greatest(c("total_chars"), F.lit(1)))})

@@ -60,3 +60,36 @@ def test_views_of_texts_whose_upper_form_is_longer_equal_the_sql(spark, tmp_path
     want = con.execute(f"SELECT doc_id, view_type, score, flags, chain FROM ({registry.oracle_sql()[name]})").fetchall()
     got = registry.queries()[name](spark, str(tmp_path)).select("doc_id", "view_type", "score", "flags", "chain").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+ODD = [
+    "", "a", "ab", "  x  ", "a b c de fgh", "rhythm xyz strength", "a1 b22 汉字 字 汉a", "汉汉汉", "été naïve", "x|y|z | w", "tab\there  and   there\twords here\tare", "no-break space　wide", "emoji \U0001f600 \U0001d7d9", "\x01\x02 control \x7f",
+    "Vithkuqi \U00010570\U00010571, Toto \U0001e290\U0001e291, Kawi \U00011f04",  # letters younger than the JVM's Unicode
+    "a\x0bb\x0cc\x1cd\x1de\x1ef", "copyright Page 3\nPage 3\nDOI: 10.1234/x", "all  rights\treserved by us", "published\tonline 1 May", "To be (Continued)\n续表\ncont.", "<TR><Td>a</tD></tr> < table >", "1. One\n2) Two\n- three\na. four", "# T\n1 A\n1.1 B\n1.2 C\n2 D", "iso 9001\nGB/T 12-3 part", "ΟΔΟΣ İstanbul ΟΔΟΣ\nΟΔΟΣ",
+]
+
+
+def test_characters_are_counted_as_the_patterns_of_the_sql_match():
+    got = dict(zip(parseviews._COUNTED, parseviews._counted(ODD).tolist(), strict=False))
+    con = duckdb.connect()
+    count = lambda c, p: f"len(regexp_extract_all({c}, '{p}'))"
+    solid = f"regexp_replace(regexp_replace(t, '{parseviews.SPACE}', '', 'g'), '{parseviews.WORD}', '', 'g')"
+    want = {
+        "chars": "len(t)", "spaces": count("t", parseviews.SPACE), "words": count("t", parseviews.WORD), "unread": count(solid, parseviews.UNREADABLE), "tokens": count("t", parseviews.WORD + "+"), "bars": count("t", r"\|"),
+        "single": f"len(list_filter(regexp_extract_all(t, '{parseviews.WORD}+'), lambda x: len(x) = 1))",
+        "runs": count("t", r"[\x{4e00}-\x{9fff}]{2,}") + " + len(list_filter(regexp_extract_all(t, '[A-Za-z]{3,}'), lambda x: regexp_matches(x, '[aeiouAEIOU]')))",
+    }
+    rows = con.execute(f"SELECT {', '.join(f'{x} AS {k}' for k, x in want.items())} FROM (SELECT unnest(?) AS t)", [ODD]).fetchall()
+    assert {k: got[k] for k in want} == {k: list(x) for k, x in zip(want, zip(*rows, strict=True), strict=True)}
+
+
+def test_views_of_odd_texts_equal_the_sql(spark, tmp_path):
+    texts = [t * k for t in [x + ". " for x in ODD] for k in (1, 9)]
+    docs = spark.createDataFrame([(4 * i + k, t) for i, t in enumerate(texts) for k in range(4)] + [(9999, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    name = "k06_parse_view_selection"
+    want = con.execute(f"SELECT doc_id, view_type, score, flags, chain FROM ({registry.oracle_sql()[name]})").fetchall()
+    got = registry.queries()[name](spark, str(tmp_path)).select("doc_id", "view_type", "score", "flags", "chain").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
